@@ -189,3 +189,15 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", "error").otherwise("info").alias("level"),
         text.alias("message"),
     )
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines, document lines and page sources together: everything that may hold indicators."""
+    columns = ["entry_id", "file_id", "message"]
+    pages = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("entry_id"),
+        (F.col("page_id") + 1_000_000).alias("file_id"),
+        F.col("url").alias("message"),
+    )
+    lines = entries(spark, sf_dir).select("entry_id", (F.col("file_id") + 2_000_000).alias("file_id"), "message")
+    return messages(spark, sf_dir).select(*columns).union(pages).union(lines)

@@ -79,6 +79,29 @@ CTES = {
 }
 
 
+CTES["corpus"] = f"""
+        SELECT entry_id, file_id, message FROM ({CTES['messages']}) UNION ALL
+        SELECT 'p' || page_id, page_id + 1000000, url FROM pages UNION ALL
+        SELECT entry_id, file_id + 2000000, message FROM ({CTES['entries']})"""
+
+# \\b of RE2 knows ASCII only: letters and digits outside ASCII become a word character,
+# everything else outside ASCII a blank
+GUARDED = r"regexp_replace(regexp_replace(message, '[^\x00-\x7F\P{L}]', '_', 'g'), '[^\x00-\x7F]', ' ', 'g')"
+
+
+def find_all(source: str, patterns: Mapping[str, str], keep: Sequence[str], lowered: Sequence[str] = ()) -> str:
+    """Rows (keep..., kind, ioc_value), one per distinct match of a pattern in `t` of a row of `source`."""
+    cols = ", ".join(keep)
+    parts = []
+    for kind, pattern in patterns.items():
+        value = "lower(m)" if kind in lowered else "m"
+        parts.append(
+            f"SELECT {cols}, '{kind}' AS kind, {value} AS ioc_value FROM (SELECT {cols}, "
+            f"unnest(list_distinct(regexp_extract_all(t, {text(pattern)}))) AS m FROM {source})"
+        )
+    return " UNION ALL ".join(parts)
+
+
 def with_ctes(names: str | Sequence[str], body: str) -> str:
     """WITH the named tables, then `body`, which may go on with its own CTEs (`, x AS (...) SELECT`)."""
     if isinstance(names, str):

@@ -155,12 +155,12 @@ def late_night(spark, sf_dir):
     s.with_ctes(
         "flows",
         """SELECT flow_id, src, coalesce(lag(dst) OVER w, -1) AS prev_dst FROM flows
-        WINDOW w AS (PARTITION BY src ORDER BY us, l_orderkey, l_linenumber)""",
+        WINDOW w AS (PARTITION BY src ORDER BY us, l_orderkey, l_linenumber, dst, dst_port)""",
     ),
 )
 def previous_event(spark, sf_dir):
     """The row before, per key, with windows cut into time segments."""
     found = ordered.previous_row(
-        adapt.flows(spark, sf_dir), ["src"], ["ts", "l_orderkey", "l_linenumber"], ["dst"], segment_seconds=86400 * 90
+        adapt.flows(spark, sf_dir), ["src"], ["ts", "l_orderkey", "l_linenumber", "dst", "dst_port"], ["dst"], segment_seconds=86400 * 90
     )
     return found.select("flow_id", "src", F.coalesce("prev_dst", F.lit(-1)).alias("prev_dst"))
