@@ -147,17 +147,12 @@ MESSAGE_TEMPLATES = (
 )
 
 
-def _fill(template: str, parts: dict):
-    pieces = []
-    for chunk in template.split("{"):
-        if "}" in chunk:
-            name, rest = chunk.split("}", 1)
-            pieces.append(parts[name])
-            if rest:
-                pieces.append(F.lit(rest))
-        elif chunk:
-            pieces.append(F.lit(chunk))
-    return F.concat(*pieces)
+def _fill(templates, slot, parts: dict):
+    """The chosen template with its named places filled in."""
+    out = F.element_at(F.array(*[F.lit(t) for t in templates]), slot + 1)
+    for name, value in parts.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return out
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,9 +169,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "pub": F.concat(F.lit("203.0.113."), k),
     }
-    text = F.lit(None).cast("string")
-    for i in reversed(range(len(MESSAGE_TEMPLATES))):
-        text = F.when(F.col("k") % 20 == i, _fill(MESSAGE_TEMPLATES[i], parts)).otherwise(text)
+    text = _fill(MESSAGE_TEMPLATES, F.col("k") % 20, parts)
     return events.select(
         F.col("event_id").cast("string").alias("entry_id"),
         F.col("user_id").alias("file_id"),

@@ -13,13 +13,21 @@ def is_ipv4(col: Column) -> Column:
     return F.coalesce(col.rlike(IPV4), F.lit(False))
 
 
+def _bind(value: Column, body) -> Column:
+    """`body(value)` with the value computed once per row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ipv4_to_long(col: Column) -> Column:
     """Address as a number; null when it is not an IPv4 address."""
-    octets = F.split(col, r"\.")
-    value = F.lit(0).cast("long")
-    for i in range(4):
-        value = value * 256 + F.try_element_at(octets, F.lit(i + 1)).try_cast("long")
-    return F.when(is_ipv4(col), value)
+
+    def number(octets):
+        value = F.lit(0).cast("long")
+        for i in range(4):
+            value = value * 256 + F.get(octets, F.lit(i)).try_cast("long")
+        return value
+
+    return F.when(is_ipv4(col), _bind(F.split(col, r"\."), number))
 
 
 def _cidr_bounds(cidr: str) -> tuple[int, int]:
@@ -45,13 +53,15 @@ PRIVATE_NETWORKS = (
 
 
 def is_private_ip(col: Column) -> Column:
-    number = ipv4_to_long(col)
-    hit = F.lit(False)
-    for network in PRIVATE_NETWORKS:
-        low, high = _cidr_bounds(network)
-        hit = hit | number.between(low, high)
-    v6 = ~is_ipv4(col) & F.lower(col).rlike(r"^(::1$|::$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)")
-    return F.coalesce(hit, F.lit(False)) | F.coalesce(v6, F.lit(False))
+    def inside(number):
+        hit = F.lit(False)
+        for network in PRIVATE_NETWORKS:
+            low, high = _cidr_bounds(network)
+            hit = hit | number.between(low, high)
+        return F.coalesce(hit, F.lit(False))
+
+    v6 = F.lower(col).rlike(r"^(::1$|::$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)")
+    return F.when(is_ipv4(col), _bind(ipv4_to_long(col), inside)).otherwise(F.coalesce(v6, F.lit(False)))
 
 
 def is_ip(col: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsieve.functions.net import lookup
+from logsieve.functions.rows import explode_computed
 from logsieve.operators.stats import entropy_of_counts, stat_outliers
 
 # fixed values
@@ -175,7 +176,7 @@ def suspicious_process(df: DataFrame, process: str = "process_name", names: Sequ
     """One row per name found in a process name."""
     known = F.array(*[F.lit(n) for n in names])
     hits = F.filter(known, lambda n: F.contains(F.lower(process), n))
-    return df.withColumn("matched_name", F.explode(hits))
+    return explode_computed(df, df.columns, hits, "matched_name")
 
 
 def process_parents(df: DataFrame, process: str = "process_name", parent: str = "parent_process", over: int = 5):
@@ -187,7 +188,7 @@ def process_parents(df: DataFrame, process: str = "process_name", parent: str =
 def _sensitive_change(df, text, words, operation, changes):
     known = F.array(*[F.lit(w) for w in words])
     hits = F.filter(known, lambda w: F.contains(F.lower(text), w))
-    return df.where(F.col(operation).isin(*changes)).withColumn("matched_word", F.explode(hits))
+    return explode_computed(df.where(F.col(operation).isin(*changes)), df.columns, hits, "matched_word")
 
 
 def suspicious_file_op(df: DataFrame, path: str = "file_path", operation: str = "operation") -> DataFrame:

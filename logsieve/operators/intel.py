@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logsieve.functions.rows import explode_computed
+
 LOCAL_CONFIDENCE = 0.95
 LOCAL_SCORE = 80
 
@@ -169,8 +171,12 @@ def dns_pivot(records: DataFrame, key: Sequence[str], kind: str = "type", value:
 
 def behaviour_iocs(reports: DataFrame, keep: Sequence[str], sections: Sequence[str]) -> DataFrame:
     """Rows (section, value) out of array columns of a behaviour report."""
-    tagged = [F.transform(F.coalesce(F.col(s), F.array().cast("array<string>")), lambda v, s=s: F.struct(F.lit(s).alias("section"), v.alias("ioc_value"))) for s in sections]
-    return reports.select(*keep, F.explode(F.concat(*tagged)).alias("_b")).select(*keep, "_b.*").distinct()
+    def tagged(section):
+        values = F.coalesce(F.col(section), F.array().cast("array<string>"))
+        return F.transform(values, lambda v: F.struct(F.lit(section).alias("section"), v.alias("ioc_value")))
+
+    rows = explode_computed(reports, keep, F.concat(*[tagged(x) for x in sections]), "_b")
+    return rows.select(*keep, "_b.*").distinct()
 
 
 def latest_reports(reports: DataFrame, key: Sequence[str], ts: str = "report_ts") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.functions import net
+from logsieve.functions.rows import explode_computed
 from logsieve.functions.text import contains_any, is_dga_by_entropy, is_phishing_context, matched_names
 
 # fixed values: patterns of the basic pass
@@ -107,23 +108,20 @@ ATTACHMENT_ENDINGS = (".exe", ".scr", ".vbs", ".js", ".zip", ".rar")
 
 def find_all(text: Column, patterns: Mapping[str, str]) -> Column:
     """Array of (kind, value) of every match of every pattern, without repeats inside the text."""
-    found = [
-        F.transform(
-            F.array_distinct(F.regexp_extract_all(text, F.lit(POSSESSIVE.get(name, pattern)), F.lit(0))),
-            lambda v, n=name: F.struct(F.lit(n).alias("kind"), (F.lower(v) if n in LOWERED else v).alias("value")),
-        )
-        for name, pattern in patterns.items()
-    ]
-    return F.concat(*found)
+    return F.concat(*[_matches(text, name, pattern, name in LOWERED) for name, pattern in patterns.items()])
+
+
+def _matches(text: Column, name: str, pattern: str, lowered: bool) -> Column:
+    values = F.array_distinct(F.regexp_extract_all(text, F.lit(POSSESSIVE.get(name, pattern)), F.lit(0)))
+    return F.transform(
+        values, lambda v: F.struct(F.lit(name).alias("kind"), (F.lower(v) if lowered else v).alias("value"))
+    )
 
 
 def extract(df: DataFrame, text: Column, patterns: Mapping[str, str], keep: Sequence[str]) -> DataFrame:
     """One row per (row of df, kind, value) found; the text itself is not carried along."""
-    return (
-        df.select(*keep, find_all(F.coalesce(text, F.lit("")), patterns).alias("_found"))
-        .select(*keep, F.explode("_found").alias("_m"))
-        .select(*keep, F.col("_m.kind").alias("kind"), F.col("_m.value").alias("ioc_value"))
-    )
+    found = explode_computed(df, keep, find_all(F.coalesce(text, F.lit("")), patterns), "_m")
+    return found.select(*keep, F.col("_m.kind").alias("kind"), F.col("_m.value").alias("ioc_value"))
 
 
 def extract_iocs(df: DataFrame, columns: Sequence[str] = ("message",), keep: Sequence[str] = ("entry_id", "file_id")):
@@ -190,15 +188,8 @@ def extract_advanced(
 
 def hash_contexts(df: DataFrame, text: str = "message", keep: Sequence[str] = ("entry_id",), around: int = 50):
     """Each hash with the characters around its first place in the text."""
-    patterns = {k: ADVANCED_PATTERNS[k] for k in ("md5", "sha1", "sha256", "sha512")}
-    hits = [
-        F.transform(
-            F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))),
-            lambda v, n=n: F.struct(F.lit(n).alias("kind"), v.alias("value")),
-        )
-        for n, p in patterns.items()
-    ]
-    rows = df.select(*keep, F.col(text).alias("_t"), F.explode(F.concat(*hits)).alias("_m"))
+    hits = [_matches(F.col(text), n, ADVANCED_PATTERNS[n], False) for n in ("md5", "sha1", "sha256", "sha512")]
+    rows = explode_computed(df, [*keep, F.col(text).alias("_t")], F.concat(*hits), "_m")
     at = F.position(F.col("_m.value"), F.col("_t"))
     start = F.greatest(at - around, F.lit(1))
     size = at + F.length("_m.value") + around - start
@@ -212,7 +203,7 @@ def hash_contexts(df: DataFrame, text: str = "message", keep: Sequence[str] = ("
 
 def context_flags(df: DataFrame, text: str = "message", keep: Sequence[str] = ("entry_id",)) -> DataFrame:
     """One row per wording pattern found in a text."""
-    return df.select(*keep, F.explode(matched_names(F.col(text), CONTEXT_PATTERNS)).alias("flag"))
+    return explode_computed(df, keep, matched_names(F.col(text), CONTEXT_PATTERNS), "flag")
 
 
 def base64_previews(iocs: DataFrame, value: str = "ioc_value") -> DataFrame:
@@ -243,7 +234,7 @@ def url_intel(urls: DataFrame, url: str = "url") -> DataFrame:
             F.when(net.has_webshell_path(u), F.struct(F.lit("webshell_path").alias("finding"), F.lit(0.9).alias("confidence"))),
         )
     )
-    return urls.select("*", F.explode(flags).alias("_f")).select(*urls.columns, "_f.finding", "_f.confidence")
+    return explode_computed(urls, urls.columns, flags, "_f").select(*urls.columns, "_f.finding", "_f.confidence")
 
 
 def domain_verdicts(domains: DataFrame, domain: str = "domain") -> DataFrame:
@@ -258,7 +249,8 @@ def domain_verdicts(domains: DataFrame, domain: str = "domain") -> DataFrame:
             ),
         )
     )
-    return domains.select("*", F.explode(flags).alias("_f")).select(*domains.columns, "_f.threat_type", "_f.confidence")
+    found = explode_computed(domains, domains.columns, flags, "_f")
+    return found.select(*domains.columns, "_f.threat_type", "_f.confidence")
 
 
 def domain_ip_links(iocs: DataFrame, per: str = "file_id") -> DataFrame:
@@ -267,11 +259,8 @@ def domain_ip_links(iocs: DataFrame, per: str = "file_id") -> DataFrame:
     The addresses are taken out of the URL, so both sides meet on equality.
     """
     urls = iocs.where(F.col("ioc_type") == "urls").select(per, F.col("ioc_value").alias("url")).distinct()
-    inside = urls.select(
-        per,
-        net.url_host(F.col("url")).alias("domain"),
-        F.explode(F.array_distinct(F.regexp_extract_all("url", F.lit(BASIC_PATTERNS["ips"]), F.lit(0)))).alias("ip"),
-    )
+    addresses = F.array_distinct(F.regexp_extract_all("url", F.lit(BASIC_PATTERNS["ips"]), F.lit(0)))
+    inside = explode_computed(urls, [per, net.url_host(F.col("url")).alias("domain")], addresses, "ip")
     known_ips = iocs.where(F.col("ioc_type") == "ips").select(per, F.col("ioc_value").alias("ip")).distinct()
     known_domains = (
         iocs.where(F.col("ioc_type") == "domains").select(per, F.lower("ioc_value").alias("domain")).distinct()
@@ -300,9 +289,11 @@ def file_hash_links(contexts: DataFrame, paths: DataFrame, per: str = "file_id",
     names = paths.select(per, name.alias("file_name")).where("file_name <> ''").distinct()
     names = names.withColumn("_gram", F.substring("file_name", 1, GRAM))
     around = F.lower("context")
-    grams = contexts.select(
-        per, "kind", F.col("ioc_value").alias("hash"), around.alias("_context"),
-        F.explode(F.array_distinct(F.concat(*[_grams(around, n) for n in range(1, GRAM + 1)]))).alias("_gram"),
+    grams = explode_computed(
+        contexts,
+        [per, "kind", F.col("ioc_value").alias("hash"), around.alias("_context")],
+        F.array_distinct(F.concat(*[_grams(around, n) for n in range(1, GRAM + 1)])),
+        "_gram",
     )
     return (
         grams.join(names, [per, "_gram"])
@@ -332,14 +323,13 @@ def suspicious_agents(df: DataFrame, text: str = "message", keep: Sequence[str]
 
 def dga_dns_queries(df: DataFrame, text: str = "message", keep: Sequence[str] = ("entry_id",)) -> DataFrame:
     is_dns = contains_any(F.col(text), ("DNS query", "DNS response"))
-    found = df.where(is_dns).select(
-        *keep, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(BASIC_PATTERNS["domains"]), F.lit(0)))).alias("domain")
-    )
+    named = F.array_distinct(F.regexp_extract_all(text, F.lit(BASIC_PATTERNS["domains"]), F.lit(0)))
+    found = explode_computed(df.where(is_dns), keep, named, "domain")
     return found.where(is_dga_by_entropy(F.lower("domain"))).withColumn("confidence", F.lit(0.8))
 
 
 def suspicious_attachments(df: DataFrame, text: str = "message", keep: Sequence[str] = ("entry_id",)) -> DataFrame:
-    names = df.select(*keep, F.explode(F.regexp_extract_all(text, F.lit(ATTACHMENT_PATTERN), F.lit(1))).alias("attachment"))
+    names = explode_computed(df, keep, F.regexp_extract_all(text, F.lit(ATTACHMENT_PATTERN), F.lit(1)), "attachment")
     bad = F.lit(False)
     for ending in ATTACHMENT_ENDINGS:
         bad = bad | F.lower("attachment").endswith(ending)
@@ -370,7 +360,7 @@ def cloud_iocs(df: DataFrame, params: str, source_ip: str, key_id: str, keep: Se
     found = F.concat(
         tagged("ips", F.array_union(address, in_params)), tagged("domains", F.array_union(domains, buckets)), tagged("keys", key)
     )
-    return df.select(*keep, F.explode(F.array_distinct(found)).alias("_i")).select(*keep, "_i.ioc_type", "_i.ioc_value")
+    return explode_computed(df, keep, F.array_distinct(found), "_i").select(*keep, "_i.ioc_type", "_i.ioc_value")
 
 
 def flow_iocs(df: DataFrame, src: str, dst: str, port: str, keep: Sequence[str]) -> DataFrame:
@@ -386,4 +376,4 @@ def flow_iocs(df: DataFrame, src: str, dst: str, port: str, keep: Sequence[str])
             ),
         )
     )
-    return df.select(*keep, F.explode(found).alias("_i")).select(*keep, "_i.ioc_type", "_i.ioc_value")
+    return explode_computed(df, keep, found, "_i").select(*keep, "_i.ioc_type", "_i.ioc_value")
