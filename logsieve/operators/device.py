@@ -87,12 +87,17 @@ def installs(df: DataFrame) -> DataFrame:
     return df.where((F.col("tag") == "PackageManager") & contains_any(F.lower("message"), ("install", "added")))
 
 
-def bad_packages(df: DataFrame, packages: DataFrame) -> DataFrame:
-    """Install messages that name a listed package: names are cut out of the message and joined."""
-    named = explode_computed(
-        installs(df), df.columns, F.array_distinct(F.regexp_extract_all("message", F.lit(r"[a-zA-Z][\w]*(?:\.[a-zA-Z][\w]*)+"), F.lit(0))), "package"
-    )
-    return named.join(packages.select("package").distinct(), "package", "left_semi")
+# fixed values: names of harmful packages
+BAD_PACKAGES = (
+    "com.malware", "com.spyware", "com.trojan", "com.android.system.update", "com.google.service", "com.whatsapp.update",
+    "com.android.systemui.overlay",
+)
+
+
+def bad_packages(df: DataFrame, packages: tuple[str, ...] = BAD_PACKAGES) -> DataFrame:
+    """Install messages that name a harmful package, one row per package."""
+    named = F.filter(F.array(*[F.lit(p) for p in packages]), lambda p: F.contains(F.col("message"), p))
+    return explode_computed(installs(df), df.columns, named, "package")
 
 
 def device_summary(df: DataFrame, keep: tuple[str, ...] = ("pid",)) -> DataFrame:
