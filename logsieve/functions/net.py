@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logsieve.functions.rows import bind
+
 IPV4 = r"^((25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)$"
 IPV6 = r"^[0-9a-fA-F:]*:[0-9a-fA-F:]*:[0-9a-fA-F:.]*$"
 
@@ -13,11 +15,6 @@ def is_ipv4(col: Column) -> Column:
     return F.coalesce(col.rlike(IPV4), F.lit(False))
 
 
-def _bind(value: Column, body) -> Column:
-    """`body(value)` with the value computed once per row, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def ipv4_to_long(col: Column) -> Column:
     """Address as a number; null when it is not an IPv4 address."""
 
@@ -27,7 +24,7 @@ def ipv4_to_long(col: Column) -> Column:
             value = value * 256 + F.get(octets, F.lit(i)).try_cast("long")
         return value
 
-    return F.when(is_ipv4(col), _bind(F.split(col, r"\."), number))
+    return F.when(is_ipv4(col), bind(F.split(col, r"\."), number))
 
 
 def _cidr_bounds(cidr: str) -> tuple[int, int]:
@@ -61,7 +58,7 @@ def is_private_ip(col: Column) -> Column:
         return F.coalesce(hit, F.lit(False))
 
     v6 = F.lower(col).rlike(r"^(::1$|::$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)")
-    return F.when(is_ipv4(col), _bind(ipv4_to_long(col), inside)).otherwise(F.coalesce(v6, F.lit(False)))
+    return F.when(is_ipv4(col), bind(ipv4_to_long(col), inside)).otherwise(F.coalesce(v6, F.lit(False)))
 
 
 def is_ip(col: Column) -> Column:

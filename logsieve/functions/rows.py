@@ -16,3 +16,8 @@ def explode_computed(df: DataFrame, keep: Sequence[str | Column], array: Column,
     rows of empty arrays are dropped afterwards.
     """
     return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def bind(value: Column, body) -> Column:
+    """`body(value)` with the value computed once per row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

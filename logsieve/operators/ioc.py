@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.functions import net
-from logsieve.functions.rows import explode_computed
+from logsieve.functions.rows import bind, explode_computed
 from logsieve.functions.text import contains_any, is_dga_by_entropy, is_phishing_context, matched_names
 
 # fixed values: patterns of the basic pass
@@ -272,10 +272,13 @@ GRAM = 3
 
 
 def _grams(text: Column, size: int) -> Column:
-    count = F.length(text) - size + 1
-    return F.when(
-        count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(text, i, size))
-    ).otherwise(F.array().cast("array<string>"))
+    def cut(bound: Column) -> Column:
+        last = F.greatest(F.length(bound) - size + 1, F.lit(1))
+        return F.filter(
+            F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(bound, i, size)), lambda g: F.length(g) == size
+        )
+
+    return bind(text, cut)
 
 
 def file_hash_links(contexts: DataFrame, paths: DataFrame, per: str = "file_id", path: str = "ioc_value") -> DataFrame:

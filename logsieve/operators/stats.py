@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,13 +24,19 @@ def entropy_of_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFra
     )
 
 
-def order_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """`q1 = sorted[n//4]` and `q3 = sorted[3n//4]` of each key, with mean, deviation and count.
+QUARTILES = {"q1": (1, 4), "q3": (3, 4)}
+
+
+def order_statistics(
+    df: DataFrame, keys: Sequence[str], value: str, positions: Mapping[str, tuple[int, int]] | None = None
+) -> DataFrame:
+    """`sorted[n * a // b]` of each key for every position (a, b), with mean, deviation and count.
 
     Equal values are counted first; positions are then found on the running count per
     value range, so the rows of one key are spread over its ranges.
     """
     keys = list(keys)
+    wanted = dict(positions or QUARTILES)
     base = df.where(F.col(value).isNotNull())
     moments = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_values"),
@@ -50,13 +56,12 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFram
     offsets = per_range.select(
         *keys, "_range", F.coalesce(F.sum("_range_n").over(before), F.lit(0)).alias("_offset"), "_range_n"
     )
-    q1_at = F.floor(F.col("n_values") / 4)
-    q3_at = F.floor(F.col("n_values") * 3 / 4)
-    # only the two ranges that hold a quartile are looked into
-    hits = _join(offsets, moments.select(*keys, "n_values"), keys).where(
-        ((q1_at >= F.col("_offset")) & (q1_at < F.col("_offset") + F.col("_range_n")))
-        | ((q3_at >= F.col("_offset")) & (q3_at < F.col("_offset") + F.col("_range_n")))
-    )
+    places = {n: F.floor(F.col("n_values") * a / b) for n, (a, b) in wanted.items()}
+    holds = F.lit(False)
+    for place in places.values():
+        holds = holds | ((place >= F.col("_offset")) & (place < F.col("_offset") + F.col("_range_n")))
+    # only the ranges that hold a wanted position are looked into
+    hits = _join(offsets, moments.select(*keys, "n_values"), keys).where(holds)
     inside = ranged.select(*keys, "_range", value, "_n").join(
         hits.select(*keys, "_range", "_offset"), [*keys, "_range"]
     )
@@ -66,11 +71,10 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFram
         inside.select(*keys, value, "_n", upto.alias("_upto")), moments.select(*keys, "n_values"), keys
     )
     first = F.col("_upto") - F.col("_n")
-    quartiles = placed.groupBy(*keys).agg(
-        F.max(F.when((q1_at >= first) & (q1_at < F.col("_upto")), F.col(value))).alias("q1"),
-        F.max(F.when((q3_at >= first) & (q3_at < F.col("_upto")), F.col(value))).alias("q3"),
+    found = placed.groupBy(*keys).agg(
+        *[F.max(F.when((at >= first) & (at < F.col("_upto")), F.col(value))).alias(n) for n, at in places.items()]
     )
-    return _join(moments.drop("_low", "_high"), quartiles, keys)
+    return _join(moments.drop("_low", "_high"), found, keys)
 
 
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

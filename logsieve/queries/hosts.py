@@ -175,20 +175,21 @@ def archive_member_types(spark, sf_dir):
 
 
 MARK_SQL = {
-    kind: " + ".join(f"CAST(regexp_matches(html, {s.text(p.replace(chr(92) + 'x{90}', chr(92) + 'x{90}'))}) AS INTEGER)" for p in patterns)
+    kind: " + ".join(f"CAST(regexp_matches(html, {s.text(p)}) AS INTEGER)" for p in patterns)
     for kind, patterns in hostscan.DOCUMENT_MARKS.items()
 }
+EVAL, UNESCAPE, NO_LETTERS = s.text(r"eval\s*\("), s.text(r"unescape\s*\("), s.text(r"[^\pL\pN]")
 
 
 @query(
     "document_marks",
     f"""WITH d AS (SELECT page_id, html || CASE page_id % 3 WHEN 0 THEN ' eval(unescape(x)); getURL(y)' WHEN 1 THEN ' util.printf("%45000f", n); app.alert(1)' ELSE '' END AS html FROM pages),
     c AS (SELECT page_id, {', '.join(f'{v} AS {k}' for k, v in MARK_SQL.items())},
-      CAST(regexp_matches(html, 'eval\\s*\\(') AS INTEGER) + CAST(regexp_matches(html, 'unescape\\s*\\(') AS INTEGER) + CAST(contains(html, 'replace') AND contains(html, 'function') AS INTEGER)
-      + CAST(length(regexp_replace(html, '[^\\pL\\pN]', '', 'g')) / greatest(length(html), 1) < 0.3 AS INTEGER) >= 2 AS obfuscated FROM d),
+      CAST(regexp_matches(html, {EVAL}) AS INTEGER) + CAST(regexp_matches(html, {UNESCAPE}) AS INTEGER) + CAST(contains(html, 'replace') AND contains(html, 'function') AS INTEGER)
+      + CAST(length(regexp_replace(html, {NO_LETTERS}, '', 'g')) / greatest(length(html), 1) < 0.3 AS INTEGER) >= 2 AS obfuscated FROM d),
     p AS (SELECT *, CASE WHEN javascript > 0 THEN 20 ELSE 0 END + CASE WHEN suspicious_api > 0 THEN 20 ELSE 0 END + CASE WHEN shellcode > 0 THEN 50 ELSE 0 END + CASE WHEN exploit > 0 THEN 50 ELSE 0 END
       + CASE WHEN obfuscated THEN 30 ELSE 0 END AS threat_points FROM c)
-    SELECT *, CASE WHEN threat_points >= 150 THEN 'CRITICAL' WHEN threat_points >= 100 THEN 'HIGH' WHEN threat_points >= 50 THEN 'MEDIUM' WHEN threat_points >= 20 THEN 'LOW' ELSE 'SAFE' END AS threat_level FROM p""".replace("\\\\", "\\"),
+    SELECT *, CASE WHEN threat_points >= 150 THEN 'CRITICAL' WHEN threat_points >= 100 THEN 'HIGH' WHEN threat_points >= 50 THEN 'MEDIUM' WHEN threat_points >= 20 THEN 'LOW' ELSE 'SAFE' END AS threat_level FROM p""",
 )
 def document_marks(spark, sf_dir):
     slot = F.col("page_id") % 3

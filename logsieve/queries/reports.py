@@ -213,3 +213,22 @@ def combined_level(spark, sf_dir):
 )
 def batch_totals(spark, sf_dir):
     return rounded(report.totals(scores(spark, sf_dir)))
+
+
+@query("log_anomaly_findings")
+def log_anomaly_findings(spark, sf_dir):
+    """Findings of all log detectors in their common shape."""
+    from logsieve.plans.analysis import anomalies
+
+    found = anomalies(adapt.messages(spark, sf_dir))
+    return found.select("finding_id", "type", "severity", "confidence", F.round("score", 6).alias("score"), "entity")
+
+
+@query("file_analysis_scores")
+def file_analysis_scores(spark, sf_dir):
+    """Scores of all files out of rules, signatures and behaviour patterns."""
+    from logsieve.plans.analysis import analyze
+    from logsieve.queries.rules import SIGMA, SIGNATURES
+
+    scores = analyze(adapt.messages(spark, sf_dir), SIGMA, SIGNATURES)["scores"]
+    return scores.select("file_id", "threat_score", F.round("confidence", 6).alias("confidence"), "severity")
