@@ -150,6 +150,8 @@ def read_json_logs(spark: SparkSession, path: str, lines: bool = False) -> DataF
         return json_entries(objects(numbered))
     documents = read_documents(spark, path)
     whole = F.trim("text")
-    # a file that is not one JSON value is a file of JSON lines
-    parts = F.when(whole.startswith("[") | F.try_parse_json(whole).isNotNull(), F.array(whole)).otherwise(F.split(whole, "\n"))
+    # a file whose lines are all objects is a file of JSON lines
+    rows = F.filter(F.transform(F.split(whole, "\n"), F.trim), lambda r: r != "")
+    is_lines = (F.size(rows) > 1) & F.forall(rows, lambda r: r.startswith("{") & r.endswith("}"))
+    parts = F.when(is_lines, rows).otherwise(F.array(whole))
     return json_entries(objects(explode_computed(documents, ["file_id"], parts, "text")))
