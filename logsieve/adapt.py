@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has fewer files than cores; large tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return events.select(
@@ -33,7 +39,7 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line of each document, timed one second apart from a per-document start."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"))
     lines = documents.select(
         F.col("doc_id").alias("file_id"), "source", F.posexplode(F.split("text", "\n")).alias("line_no", "message")
     )
@@ -157,7 +163,7 @@ def _fill(templates, slot, parts: dict):
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines with security wording, one per event."""
-    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    events = spread(table(spark, sf_dir, "events")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     user, k = F.col("user_id").cast("string"), F.col("k").cast("string")
     parts = {
         "u": user,

@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: accepted formats, tried in this order
+from logsieve.functions.rows import bind
+
+# fixed values: accepted formats and the shape a text must have before one is tried, in this order
 TIMESTAMP_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy/MM/dd HH:mm:ss",
-    "dd/MM/yyyy HH:mm:ss",
-    "MM/dd/yyyy HH:mm:ss",
-    "dd/MMM/yyyy:HH:mm:ss Z",
-    "dd/MMM/yyyy:HH:mm:ss",
-    "dd-MMM-yyyy HH:mm:ss",
-    "MM/dd/yyyy hh:mm:ss a",
-    "yyyy-MM-dd",
-    "dd-MM-yyyy",
-    "MM-dd-yyyy",
+    ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", r"^\d{4}-\d{2}-\d{2}T[\d:]{8}\.\d{6}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{2}-\d{2}T[\d:]{8}$"),
+    ("yyyy-MM-dd HH:mm:ss.SSSSSS", r"^\d{4}-\d{2}-\d{2} [\d:]{8}\.\d{6}$"),
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} [\d:]{8}$"),
+    ("yyyy/MM/dd HH:mm:ss", r"^\d{4}/\d{2}/\d{2} [\d:]{8}$"),
+    ("dd/MM/yyyy HH:mm:ss", r"^\d{2}/\d{2}/\d{4} [\d:]{8}$"),
+    ("MM/dd/yyyy HH:mm:ss", r"^\d{2}/\d{2}/\d{4} [\d:]{8}$"),
+    ("dd/MMM/yyyy:HH:mm:ss Z", r"^\d{2}/[A-Za-z]{3}/\d{4}:[\d:]{8} [+-]\d{4}$"),
+    ("dd/MMM/yyyy:HH:mm:ss", r"^\d{2}/[A-Za-z]{3}/\d{4}:[\d:]{8}$"),
+    ("dd-MMM-yyyy HH:mm:ss", r"^\d{2}-[A-Za-z]{3}-\d{4} [\d:]{8}$"),
+    ("MM/dd/yyyy hh:mm:ss a", r"^\d{2}/\d{2}/\d{4} [\d:]{8} [AaPp][Mm]$"),
+    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
+    ("dd-MM-yyyy", r"^\d{2}-\d{2}-\d{4}$"),
+    ("MM-dd-yyyy", r"^\d{2}-\d{2}-\d{4}$"),
 )
 ISO_LIKE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:?\d{2})?$"
 SYSLOG_LIKE = r"^[A-Za-z]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}$"
@@ -32,22 +34,30 @@ TIME_ZONES = {
 
 
 def normalize_timestamp(col: Column, year: int | None = None) -> Column:
-    """Text or epoch number to a timestamp; null when nothing fits."""
-    text = F.trim(col.cast("string"))
-    iso = F.when(text.rlike(ISO_LIKE), text.try_cast("timestamp"))
-    number = F.when(text.rlike(r"^\d{9,19}(\.\d+)?$"), text.try_cast("double"))
-    epoch = (
-        F.when(number >= 1e17, F.timestamp_micros((number / 1e3).cast("long")))
-        .when(number >= 1e14, F.timestamp_micros(number.cast("long")))
-        .when(number >= 1e11, F.timestamp_millis(number.cast("long")))
-        .otherwise(F.timestamp_seconds(number))
-    )
-    parsed = [F.try_to_timestamp(text, F.lit(f)) for f in TIMESTAMP_FORMATS]
-    candidates = [iso, epoch, *parsed]
-    if year is not None:
-        folded = F.concat(F.lit(f"{year} "), F.regexp_replace(text, r"\s+", " "))
-        candidates.append(F.when(text.rlike(SYSLOG_LIKE), F.try_to_timestamp(folded, F.lit("yyyy MMM d HH:mm:ss"))))
-    return F.coalesce(*candidates)
+    """Text or epoch number to a timestamp; null when nothing fits.
+
+    The text is bound first: a filter on the result is pushed below the projection, where
+    an unbound text would be computed again for every format.
+    """
+
+    def read(text: Column) -> Column:
+        iso = F.when(text.rlike(ISO_LIKE), text.try_cast("timestamp"))
+        number = F.when(text.rlike(r"^\d{9,19}(\.\d+)?$"), text.try_cast("double"))
+        epoch = (
+            F.when(number >= 1e17, F.timestamp_micros((number / 1e3).cast("long")))
+            .when(number >= 1e14, F.timestamp_micros(number.cast("long")))
+            .when(number >= 1e11, F.timestamp_millis(number.cast("long")))
+            .otherwise(F.timestamp_seconds(number))
+        )
+        # a parser is only called on text of its shape: a failed call costs far more than a match
+        parsed = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f))) for f, shape in TIMESTAMP_FORMATS]
+        candidates = [iso, epoch, *parsed]
+        if year is not None:
+            folded = F.concat(F.lit(f"{year} "), F.regexp_replace(text, r"\s+", " "))
+            candidates.append(F.when(text.rlike(SYSLOG_LIKE), F.try_to_timestamp(folded, F.lit("yyyy MMM d HH:mm:ss"))))
+        return F.coalesce(*candidates)
+
+    return bind(F.trim(col.cast("string")), read)
 
 
 def to_utc(ts: Column, zone: Column) -> Column:

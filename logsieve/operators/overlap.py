@@ -15,22 +15,21 @@ from pyspark.sql import functions as F
 
 
 def distinct_sets(df: DataFrame, key: str, token: str) -> tuple[DataFrame, DataFrame]:
-    """(members: key -> set_id, tokens: set_id -> token, size). Sets are named by a digest of their contents."""
-    rows = df.where(F.col(key).isNotNull() & F.col(token).isNotNull()).select(F.col(key).alias("_k"), F.col(token).cast("string").alias("_t")).distinct()
-    # an order-free digest, so that no set has to be gathered to be named
+    """(members: key -> set_id, tokens: set_id -> token, size). A set is named by its smallest key."""
+    rows = df.where(F.col(key).isNotNull() & F.col(token).isNotNull()).select(F.col(key).alias("_k"), F.col(token).alias("_t")).distinct()
+    # an order-free digest, so that no set has to be gathered to be compared
     low, high = F.xxhash64("_t"), F.xxhash64(F.lit("second"), "_t")
-    names = rows.groupBy("_k").agg(
-        F.count(F.lit(1)).alias("_size"),
+    digest = ["size", "_x", "_y", "_s"]
+    named = rows.groupBy("_k").agg(
+        F.count(F.lit(1)).alias("size"),
         F.bit_xor(low).alias("_x"),
         F.bit_xor(high).alias("_y"),
         F.sum(F.pmod(low, F.lit(2_147_483_647))).alias("_s"),
     )
-    named = names.select(
-        F.col("_k").alias(key), F.concat_ws("-", "_size", "_x", "_y", "_s").alias("set_id"), F.col("_size").alias("size")
-    )
-    keepers = named.groupBy("set_id", "size").agg(F.min(key).alias(key))
-    tokens = rows.join(keepers, rows["_k"] == keepers[key]).select("set_id", "size", F.col("_t").alias("token"))
-    return named.select(key, "set_id", "size"), tokens
+    heads = named.groupBy(*digest).agg(F.min("_k").alias("set_id"))
+    members = named.join(heads, digest).select(F.col("_k").alias(key), "set_id", "size")
+    tokens = rows.join(heads.select("set_id", "size"), F.col("_k") == F.col("set_id")).select("set_id", "size", F.col("_t").alias("token"))
+    return members, tokens
 
 
 def _ranked(tokens: DataFrame) -> DataFrame:

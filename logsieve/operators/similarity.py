@@ -34,15 +34,12 @@ def near_duplicates(df: DataFrame, key: str, text: str, over: float = 0.8, size:
     # the texts are read once more for every use of the shingles unless they are written down
     members, tokens = cut_lineage(members), cut_lineage(tokens)
     pairs = jaccard_pairs(tokens, over)
-    heads = members.groupBy("set_id").agg(F.min(key).alias("head"), F.count(F.lit(1)).alias("members"))
-    left = heads.select(F.col("set_id").alias("a_set"), F.col("head").alias("a_key"), F.col("members").alias("a_members"))
-    right = heads.select(F.col("set_id").alias("b_set"), F.col("head").alias("b_key"), F.col("members").alias("b_members"))
+    # a set is named by its smallest key
+    sizes = members.groupBy("set_id").agg(F.count(F.lit(1)).alias("_n"))
+    left = sizes.select(F.col("set_id").alias("a_set"), F.col("_n").alias("first_members"))
+    right = sizes.select(F.col("set_id").alias("b_set"), F.col("_n").alias("second_members"))
     named = pairs.join(left, "a_set").join(right, "b_set")
-    swap = F.col("a_key") <= F.col("b_key")
-    pick = lambda x: F.when(swap, F.col(f"a_{x}")).otherwise(F.col(f"b_{x}"))
-    other = lambda x: F.when(swap, F.col(f"b_{x}")).otherwise(F.col(f"a_{x}"))
     out = named.select(
-        pick("key").alias("first_key"), other("key").alias("second_key"), pick("members").alias("first_members"),
-        other("members").alias("second_members"), "similarity",
+        F.col("a_set").alias("first_key"), F.col("b_set").alias("second_key"), "first_members", "second_members", "similarity"
     )
     return out, members

@@ -33,7 +33,7 @@ def records(spark, sf_dir):
             F.col("event_id").cast("string").alias("eventID"),
         )
     )
-    return adapt.log_events(spark, sf_dir).select("event_id", obj.alias("object"))
+    return adapt.spread(adapt.log_events(spark, sf_dir)).select("event_id", obj.alias("object"))
 
 
 def calls(spark, sf_dir):

@@ -20,7 +20,7 @@ from logsieve.queries.registry import query
     SELECT first_key, second_key, first_members, second_members, round(sim, 6) AS similarity FROM p WHERE sim > 0.5""",
 )
 def near_duplicates(spark, sf_dir):
-    pairs, _ = similarity.near_duplicates(adapt.table(spark, sf_dir, "documents"), "doc_id", "text", over=0.5)
+    pairs, _ = similarity.near_duplicates(adapt.spread(adapt.table(spark, sf_dir, "documents")), "doc_id", "text", over=0.5)
     return rounded(pairs)
 
 
@@ -33,12 +33,8 @@ def near_duplicates(spark, sf_dir):
 )
 def set_overlap_pairs(spark, sf_dir):
     rows = adapt.table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_partkey") % 64).alias("t"))
-    pairs, members = overlap.set_overlap_pairs(rows, "l_suppkey", "t", 0.8)
-    heads = members.groupBy("set_id").agg(F.min("l_suppkey").alias("head"))
-    a = heads.select(F.col("set_id").alias("a_set"), F.col("head").alias("a"))
-    b = heads.select(F.col("set_id").alias("b_set"), F.col("head").alias("b"))
-    named = pairs.join(a, "a_set").join(b, "b_set")
-    return rounded(named.select(F.least("a", "b").alias("ka"), F.greatest("a", "b").alias("kb"), "similarity"))
+    pairs, _ = overlap.set_overlap_pairs(rows, "l_suppkey", "t", 0.8)
+    return rounded(pairs.select(F.col("a_set").alias("ka"), F.col("b_set").alias("kb"), "similarity"))
 
 
 @query("duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logsieve.functions.clock import normalize_timestamp
 from logsieve.functions.net import lookup
-from logsieve.sources.jsonlogs import field, objects
+from logsieve.sources.jsonlogs import objects
 from logsieve.sources.lines import read_documents
 
 # fixed values: calls of high risk and what they do
@@ -53,27 +53,36 @@ def call_severity(event_name, error_code):
     )
 
 
+RECORD = (
+    "eventTime string, eventName string, eventSource string, userIdentity struct<userName: string, arn: string, principalId: string, "
+    "accountId: string, type: string, accessKeyId: string>, sourceIPAddress string, userAgent string, awsRegion string, errorCode string, "
+    "errorMessage string, requestParameters string, eventID string"
+)
+
+
 def calls(records: DataFrame, obj: str = "object", keep: tuple[str, ...] = ("file_id",)) -> DataFrame:
-    """Audit records as typed calls."""
-    o = F.col(obj)
-    inner = lambda name: F.get_json_object(o, f"$.userIdentity.{name}")
+    """Audit records as typed calls; a record is parsed once, and only for the fields asked for."""
+    parsed = records.select(*keep, F.from_json(F.col(obj), RECORD).alias("_r"))
+    r = lambda name: F.col(f"_r.{name}")
+    inner = lambda name: F.col(f"_r.userIdentity.{name}")
     or_unknown = lambda c: F.coalesce(c, F.lit("Unknown"))
-    typed = records.select(
+    or_empty = lambda c: F.coalesce(c, F.lit(""))
+    typed = parsed.select(
         *keep,
-        normalize_timestamp(field(o, "eventTime")).alias("ts"),
-        or_unknown(field(o, "eventName")).alias("event_name"),
-        or_unknown(field(o, "eventSource")).alias("event_source"),
+        normalize_timestamp(r("eventTime")).alias("ts"),
+        or_unknown(r("eventName")).alias("event_name"),
+        or_unknown(r("eventSource")).alias("event_source"),
         identity(inner("userName"), inner("arn"), inner("principalId"), inner("accountId")).alias("user"),
         or_unknown(inner("type")).alias("user_type"),
         or_unknown(inner("accountId")).alias("account_id"),
         or_unknown(inner("accessKeyId")).alias("access_key_id"),
-        or_unknown(field(o, "sourceIPAddress")).alias("source_ip"),
-        F.coalesce(field(o, "userAgent"), F.lit("")).alias("user_agent"),
-        or_unknown(field(o, "awsRegion")).alias("region"),
-        F.coalesce(field(o, "errorCode"), F.lit("")).alias("error_code"),
-        F.coalesce(field(o, "errorMessage"), F.lit("")).alias("error_message"),
-        F.coalesce(field(o, "requestParameters"), F.lit("")).alias("request_parameters"),
-        field(o, "eventID").alias("event_id"),
+        or_unknown(r("sourceIPAddress")).alias("source_ip"),
+        or_empty(r("userAgent")).alias("user_agent"),
+        or_unknown(r("awsRegion")).alias("region"),
+        or_empty(r("errorCode")).alias("error_code"),
+        or_empty(r("errorMessage")).alias("error_message"),
+        or_empty(r("requestParameters")).alias("request_parameters"),
+        r("eventID").alias("event_id"),
     )
     return with_risk(typed)
 

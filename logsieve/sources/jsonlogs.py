@@ -51,23 +51,35 @@ def objects(df: DataFrame, text: str = "text", keep: Sequence[str] = ("file_id",
     return explode_computed(df, keep, records, "object")
 
 
-def dialect(obj: Column) -> Column:
-    has = lambda n: field(obj, n).isNotNull()
+def parsed(obj: Column) -> Column:
+    """The top-level fields of a record as texts, from one pass over it; inner objects stay JSON."""
+    return F.from_json(obj, "map<string,string>")
+
+
+def has(fields: Column, name: str) -> Column:
+    return F.coalesce(F.map_contains_key(fields, F.lit(name)), F.lit(False))
+
+
+def value(fields: Column, name: str) -> Column:
+    return F.try_element_at(fields, F.lit(name))
+
+
+def dialect(fields: Column) -> Column:
     return (
-        F.when(has("eventTime") & has("eventName") & has("eventSource"), "cloudtrail")
-        .when(has("_source") | has("@timestamp"), "elasticsearch")
-        .when(has("_time") & has("_raw"), "splunk")
+        F.when(has(fields, "eventTime") & has(fields, "eventName") & has(fields, "eventSource"), "cloudtrail")
+        .when(has(fields, "_source") | has(fields, "@timestamp"), "elasticsearch")
+        .when(has(fields, "_time") & has(fields, "_raw"), "splunk")
         .otherwise("generic")
     )
 
 
-def first_field(obj: Column, names: Sequence[str]) -> Column:
-    return F.coalesce(*[field(obj, n) for n in names])
+def first_field(fields: Column, names: Sequence[str]) -> Column:
+    return F.coalesce(*[value(fields, n) for n in names])
 
 
-def built_message(obj: Column) -> Column:
+def built_message(fields: Column) -> Column:
     """Up to five fields that speak of events, actions or results; else the first three."""
-    pairs = F.map_entries(F.from_json(obj, "map<string,string>"))
+    pairs = F.map_entries(fields)
     scalar = F.filter(pairs, lambda p: ~p["key"].startswith("_") & ~p["value"].rlike(r"^[\[{]"))
     show = lambda rows, n: F.array_join(F.transform(F.slice(rows, 1, n), lambda p: F.concat(p["key"], F.lit("="), p["value"])), " | ")
     important = F.filter(scalar, lambda p: p["key"].rlike(IMPORTANT))
@@ -94,52 +106,52 @@ def metadata(obj: Column, max_fields: int = 10) -> Column:
 
 def json_entries(df: DataFrame, obj: str = "object", keep: Sequence[str] = ("file_id",)) -> DataFrame:
     """JSON records as entries, each by its dialect."""
-    o = F.col(obj)
-    marked = df.select(*keep, o.alias("_o"), dialect(o).alias("dialect"))
+    outer = df.select(*keep, F.col(obj).alias("_o"), parsed(F.col(obj)).alias("_f")).withColumn("dialect", dialect(F.col("_f")))
     d = F.col("dialect")
     # documents of a search index carry the record inside
-    inner = F.when(d == "elasticsearch", F.coalesce(field(F.col("_o"), "_source"), F.col("_o"))).otherwise(F.col("_o"))
-    staged = marked.withColumn("_i", inner)
-    raw, i = F.col("_o"), F.col("_i")
+    inside = (d == "elasticsearch") & value(F.col("_f"), "_source").isNotNull()
+    staged = outer.withColumn("_i", F.when(inside, value(F.col("_f"), "_source")).otherwise(F.col("_o"))).withColumn(
+        "_g", F.when(inside, parsed(F.col("_i"))).otherwise(F.col("_f"))
+    )
+    top, raw, rec, text = F.col("_f"), F.col("_o"), F.col("_g"), F.col("_i")
     cloud = d == "cloudtrail"
     splunk = d == "splunk"
-    name = F.coalesce(field(raw, "eventName"), F.lit("Unknown"))
-    identity = F.coalesce(
-        F.get_json_object(raw, "$.userIdentity.userName"), F.get_json_object(raw, "$.userIdentity.arn"), F.lit("Unknown")
-    )
-    raw_text = F.coalesce(field(raw, "_raw"), F.lit(""))
+    name = F.coalesce(value(top, "eventName"), F.lit("Unknown"))
+    who = value(top, "userIdentity")
+    identity = F.coalesce(F.get_json_object(who, "$.userName"), F.get_json_object(who, "$.arn"), F.lit("Unknown"))
+    raw_text = F.coalesce(value(top, "_raw"), F.lit(""))
     ts = (
-        F.when(cloud, normalize_timestamp(field(raw, "eventTime"))).when(splunk, normalize_timestamp(field(raw, "_time")))
-        .otherwise(F.coalesce(*[normalize_timestamp(field(i, n)) for n in TIMESTAMP_FIELDS]))
+        F.when(cloud, normalize_timestamp(value(top, "eventTime"))).when(splunk, normalize_timestamp(value(top, "_time")))
+        .otherwise(F.coalesce(*[F.when(has(rec, n), normalize_timestamp(value(rec, n))) for n in TIMESTAMP_FIELDS]))
     )
     source = (
-        F.when(cloud, F.coalesce(field(raw, "eventSource"), F.lit("aws")))
-        .when(splunk, F.coalesce(field(raw, "source"), F.lit("splunk")))
-        .otherwise(F.coalesce(first_field(i, SOURCE_FIELDS), F.lit("json_file")))
+        F.when(cloud, F.coalesce(value(top, "eventSource"), F.lit("aws")))
+        .when(splunk, F.coalesce(value(top, "source"), F.lit("splunk")))
+        .otherwise(F.coalesce(first_field(rec, SOURCE_FIELDS), F.lit("json_file")))
     )
     message = (
         F.when(cloud, F.concat(F.lit("AWS "), name, F.lit(" by "), identity))
         .when(splunk, F.substring(raw_text, 1, SHOWN))
-        .otherwise(F.coalesce(first_field(i, MESSAGE_FIELDS), built_message(i)))
+        .otherwise(F.coalesce(first_field(rec, MESSAGE_FIELDS), built_message(rec)))
     )
     severity = (
         F.when(
             cloud,
-            F.when(F.coalesce(field(raw, "errorCode"), F.lit("")) != "", "high")
+            F.when(F.coalesce(value(top, "errorCode"), F.lit("")) != "", "high")
             .when(F.lower(name).rlike("^(create|delete|modify)"), "medium").otherwise("info"),
         )
         .when(splunk, txt.severity_from_message(raw_text))
-        .otherwise(txt.severity_from_object(i))
+        .otherwise(txt.severity_from_object(text))
     )
-    event_type = F.when(cloud, "cloud_audit").when(splunk, "log_aggregation").otherwise(txt.guess_event_type(i, "json"))
+    event_type = F.when(cloud, "cloud_audit").when(splunk, "log_aggregation").otherwise(txt.guess_event_type(text, "json"))
     index = F.when(
         d == "elasticsearch",
-        F.create_map(F.lit("es_index"), field(raw, "_index"), F.lit("es_type"), field(raw, "_type"), F.lit("es_id"), field(raw, "_id")),
+        F.create_map(F.lit("es_index"), value(top, "_index"), F.lit("es_type"), value(top, "_type"), F.lit("es_id"), value(top, "_id")),
     ).otherwise(F.create_map().cast("map<string,string>"))
     return staged.select(
         *keep, "dialect", ts.alias("ts"), source.alias("source"), event_type.alias("event_type"), severity.alias("severity"),
         message.alias("message"), raw.alias("raw_data"),
-        F.map_concat(metadata(i), F.map_filter(index, lambda k, v: v.isNotNull())).alias("metadata"),
+        F.map_concat(metadata(text), F.map_filter(index, lambda k, v: v.isNotNull())).alias("metadata"),
     )
 
 
