@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _expire(state: GroupState, last_us: int | None, idle_ms: int) -> None:
+    """Forget a key once event time has moved on by `idle_ms` since its last row."""
+    seen = max(last_us // 1000 if last_us is not None else 0, state.getCurrentWatermarkMs())
+    state.setTimeoutTimestamp(seen + idle_ms)
+
+
 def beaconing(
     connections: DataFrame,
     keys: Sequence[str] = ("src", "dst"),
@@ -21,6 +27,7 @@ def beaconing(
     min_connections: int = 10,
     score_above: float = 0.8,
     idle_ms: int = 4 * 3600 * 1000,
+    delay: str = "4 hours",
 ) -> DataFrame:
     """Keys whose gaps are regular so far, with count, mean gap and score, after each batch that shows them."""
     keys = list(keys)
@@ -40,7 +47,7 @@ def beaconing(
                 m2 += step * (gap - mean)
             last = stamp if last is None else max(last, stamp)
         state.update((n, gaps, mean, m2, last))
-        state.setTimeoutDuration(idle_ms)
+        _expire(state, last, idle_ms)
         if gaps and n > min_connections:
             deviation = (m2 / (gaps - 1)) ** 0.5 if gaps > 1 else 0.0
             score = 1.0 / (1.0 + deviation / mean)
@@ -50,9 +57,9 @@ def beaconing(
 
     kinds = dict(connections.dtypes)
     out = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", connections long, mean_gap double, beacon_score double"
-    timed = connections.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
+    timed = connections.withWatermark(ts, delay).select(*keys, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
     return timed.groupBy(*keys).applyInPandasWithState(
-        update, out, "n long, gaps long, mean double, m2 double, last long", "update", GroupStateTimeout.ProcessingTimeTimeout
+        update, out, "n long, gaps long, mean double, m2 double, last long", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -64,6 +71,7 @@ def brute_force(
     failures: int = 5,
     within_seconds: float = 600,
     idle_ms: int = 3600 * 1000,
+    delay: str = "4 hours",
 ) -> DataFrame:
     """Successes after at least `failures` failures of the same key within the time window.
 
@@ -85,11 +93,11 @@ def brute_force(
             elif len(recent) == failures and stamp - recent[0] <= width:
                 found.append({**dict(zip(keys, key, strict=True)), "success_us": stamp, "first_failure_us": recent[0]})
         state.update((recent,))
-        state.setTimeoutDuration(idle_ms)
+        _expire(state, rows[-1][0] if rows else None, idle_ms)
         if found:
             yield pd.DataFrame(found)
 
     kinds = dict(logins.dtypes)
     out = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", success_us long, first_failure_us long"
-    timed = logins.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.col(failed).alias("_failed"))
-    return timed.groupBy(*keys).applyInPandasWithState(update, out, "recent array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = logins.withWatermark(ts, delay).select(*keys, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.col(failed).alias("_failed"))
+    return timed.groupBy(*keys).applyInPandasWithState(update, out, "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout)
