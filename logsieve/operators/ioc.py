@@ -380,3 +380,80 @@ def flow_iocs(df: DataFrame, src: str, dst: str, port: str, keep: Sequence[str])
         )
     )
     return explode_computed(df, keep, found, "_i").select(*keep, "_i.ioc_type", "_i.ioc_value")
+
+
+LOOSE_IP = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
+DIGESTS = r"\b(?:[a-fA-F0-9]{64}|[a-fA-F0-9]{40}|[a-fA-F0-9]{32})\b"
+QUOTED_URL = r"""https?://[^\s'"<>]+"""
+LOCAL_PREFIXES = ("127.", "192.168.", "10.", "172.")
+# fixed values: patterns per kind of source; `local_ips` keeps addresses of inner networks, `domains_of` names the
+# kinds whose host or mail domain is an indicator too, `skip_endings` are domains that do not count
+VARIANTS = {
+    "device": {
+        "patterns": {
+            "ips": LOOSE_IP, "domains": r"(?:[a-zA-Z0-9][a-zA-Z0-9-]{0,61}[a-zA-Z0-9]\.)+[a-zA-Z]{2,}",
+            "urls": BASIC_PATTERNS["urls"], "hashes": DIGESTS, "file_paths": r"(?:/data/|/system/|/sdcard/|/storage/)[^\s<>\"{}|\\^`\[\]]+",
+        },
+        "local_ips": False, "domains_of": (), "skip_endings": (".android.com", ".google.com", ".googleapis.com"),
+    },
+    "mail": {
+        "patterns": {"emails": r"[\w.\-]+@[\w.\-]+", "urls": BASIC_PATTERNS["urls"], "ips": LOOSE_IP},
+        "local_ips": True, "domains_of": ("emails", "urls"), "skip_endings": (),
+    },
+    "code": {
+        "patterns": {
+            "urls": QUOTED_URL, "ips": LOOSE_IP, "file_paths": r"""[A-Za-z]:\\[^'"\s]+|/(?:etc|var|usr|opt|home)/[^'"\s]+""",
+            "emails": r"[\w.-]+@[\w.-]+\.\w+",
+        },
+        "local_ips": False, "domains_of": ("urls",), "skip_endings": (),
+    },
+    "database": {
+        "patterns": {"urls": QUOTED_URL, "ips": LOOSE_IP, "emails": r"[\w.-]+@[\w.-]+\.\w+", "hashes": DIGESTS},
+        "local_ips": True, "domains_of": ("urls",), "skip_endings": (),
+    },
+    "registry": {
+        "patterns": {
+            "file_paths": r"(?i)[A-Za-z]:\\[^\\/:*?\"<>|\r\n]+(?:\\[^\\/:*?\"<>|\r\n]+)*\.(?:exe|dll|bat|cmd|ps1|vbs)", "urls": r"https?://[^\s]+",
+            "ips": LOOSE_IP, "hashes": DIGESTS,
+        },
+        "local_ips": True, "domains_of": ("urls",), "skip_endings": (),
+    },
+}
+
+
+def extract_variant(df: DataFrame, variant: str, text: str = "message", keep: Sequence[str] = ("entry_id", "file_id")) -> DataFrame:
+    """Indicators by the rules of one kind of source."""
+    spec = VARIANTS[variant]
+    found = extract(df, F.col(text), spec["patterns"], keep).withColumnRenamed("kind", "ioc_type")
+    value, kind = F.col("ioc_value"), F.col("ioc_type")
+    kept = F.lit(True)
+    if not spec["local_ips"]:
+        local = F.lit(False)
+        for prefix in (*LOCAL_PREFIXES, "0."):
+            local = local | value.startswith(prefix)
+        kept = ~((kind == "ips") & (local | ~net.is_ipv4(value)))
+    for ending in spec["skip_endings"]:
+        kept = kept & ~((kind == "domains") & value.endswith(ending))
+    rows = found.where(kept).withColumn("ioc_value", F.when(kind.isin("emails", "hashes"), F.lower(value)).otherwise(value))
+    if not spec["domains_of"]:
+        return rows
+    host = F.when(kind == "emails", net.email_domain(value)).when(kind == "urls", net.url_host(value))
+    domains = rows.where(kind.isin(*spec["domains_of"])).select(*keep, F.lit("domains").alias("ioc_type"), host.alias("ioc_value"))
+    return rows.unionByName(domains.where("ioc_value <> ''").distinct())
+
+
+def sensor_iocs(events: DataFrame, keep: Sequence[str] = ("uid",)) -> DataFrame:
+    """Public addresses, names, digests and suspicious URLs of sensor events, with their confidence."""
+    have = set(events.columns)
+    suspicious = F.size("suspicious") > 0
+    text = lambda n: F.coalesce(F.col(n).cast("string"), F.lit("")) if n in have else F.lit("")
+    ioc = lambda kind, value, trust: F.struct(F.lit(kind).alias("ioc_type"), value.alias("ioc_value"), trust.alias("confidence"))
+    high, by_flag = F.lit("high"), F.when(suspicious, "high").otherwise("medium")
+    found = [F.when(net.is_public_ip(text(n)), ioc("ip", text(n), high)) for n in ("source_ip", "dest_ip") if n in have]
+    found += [F.when(~text(n).isin("", "-"), ioc("domain", text(n), by_flag)) for n in ("host", "server_name", "query") if n in have]
+    found += [F.when(~text(n).isin("", "-"), ioc(n, text(n), high)) for n in ("md5", "sha1", "sha256") if n in have]
+    if {"host", "uri"} <= have:
+        url = F.concat(F.lit("http://"), text("host"), text("uri"))
+        found.append(F.when(suspicious & (text("uri") != "") & (text("host") != ""), ioc("url", url, high)))
+    rows = explode_computed(events, keep, F.array_distinct(F.array_compact(F.array(*found))), "_i")
+    return rows.select(*keep, "_i.*")

@@ -391,3 +391,35 @@ def cloud_iocs(spark, sf_dir):
 def flow_iocs(spark, sf_dir):
     found = ioc.flow_iocs(adapt.flows(spark, sf_dir), "src", "dst", "dst_port", ["flow_id"])
     return found.groupBy("ioc_type", "ioc_value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _variant_sql(name):
+    spec = ioc.VARIANTS[name]
+    parts = ", c AS (SELECT entry_id, file_id, message AS t FROM messages), raw AS (" + s.find_all("c", spec["patterns"], KEEP, ("emails", "hashes")) + ")"
+    local = " OR ".join(f"starts_with(ioc_value, '{p}')" for p in (*ioc.LOCAL_PREFIXES, "0."))
+    keep = "true" if spec["local_ips"] else f"NOT (kind = 'ips' AND ({local} OR NOT regexp_matches(ioc_value, {s.text(net.IPV4)})))"
+    for ending in spec["skip_endings"]:
+        keep += f" AND NOT (kind = 'domains' AND ends_with(ioc_value, '{ending}'))"
+    parts += f", vk AS (SELECT entry_id, kind AS ioc_type, ioc_value FROM raw WHERE {keep})"
+    body = f"SELECT '{name}' AS variant, ioc_type, ioc_value, count(*) AS n FROM vk GROUP BY 2, 3"
+    if spec["domains_of"]:
+        kinds = ", ".join(s.text(k) for k in spec["domains_of"])
+        host = "CASE ioc_type WHEN 'emails' THEN split_part(ioc_value, '@', 2) ELSE lower(regexp_extract(ioc_value, '^[a-z]+://([^/:?#]+)', 1)) END"
+        body = (
+            f"SELECT '{name}' AS variant, ioc_type, ioc_value, count(*) AS n FROM (SELECT * FROM vk UNION ALL SELECT DISTINCT entry_id, 'domains', {host} FROM vk"
+            f" WHERE ioc_type IN ({kinds})) GROUP BY 2, 3"
+        )
+    return s.with_ctes("messages", parts + " " + body)
+
+
+def _register(name):
+    @query(f"iocs_of_{name}", _variant_sql(name))
+    def variant(spark, sf_dir):
+        found = ioc.extract_variant(adapt.messages(spark, sf_dir), name)
+        return found.groupBy(F.lit(name).alias("variant"), "ioc_type", "ioc_value").agg(F.count(F.lit(1)).alias("n"))
+
+    return variant
+
+
+for _name in ioc.VARIANTS:
+    _register(_name)

@@ -366,3 +366,23 @@ def sensor_suspicious_rate(spark, sf_dir):
 )
 def sensor_statistics(spark, sf_dir):
     return traffic.top_counts(zeek.conn(sensor_rows(spark, sf_dir)), ["conn_state", "service", "source_ip"], limit=20)
+
+
+@query(
+    "sensor_iocs",
+    s.with_ctes(
+        "log_events",
+        SENSOR_SQL + f""", h AS (SELECT *, {s.matched('uri', txt.URI_ATTACK_PATTERNS)} <> '' OR usr <> '' AS sus FROM z)
+        SELECT uid, event_id, 'domain' AS ioc_type, 'h' AS ioc_value, CASE WHEN sus THEN 'high' ELSE 'medium' END AS confidence FROM h
+        UNION ALL SELECT uid, event_id, 'url', 'http://h' || uri, 'high' FROM h WHERE sus
+        UNION ALL SELECT uid, event_id, 'ip', '8.8.4.' || (k % 9), 'high' FROM h""",
+    ),
+)
+def sensor_iocs(spark, sf_dir):
+    from logsieve.operators.ioc import sensor_iocs as extract
+
+    rows = sensor_rows(spark, sf_dir).withColumn("id.resp_h", F.replace("`id.resp_h`", F.lit("203.0.113."), F.lit("8.8.4.")))
+    # the second of a row and its uid name the row
+    events = zeek.http(rows.withColumn("referrer", F.col("row").cast("string")))
+    found = extract(events.withColumn("event_id", F.col("referrer").cast("long")), ["uid", "event_id"])
+    return found

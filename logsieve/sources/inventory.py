@@ -78,12 +78,23 @@ def identify(df: DataFrame, path: str = "path", head: str | None = "head") -> Da
     ).drop("_kind", "_category", "_text")
 
 
+KNOWN_ENDINGS = r"(?i)\.(" + "|".join(e for table in KINDS_BY_CATEGORY.values() for e in table) + ")$"
+MAX_SNIFFED_BYTES = 64 * 1024 * 1024
+
+
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Files under a path with size and kind. Only the first lines of a file are looked at for its kind."""
-    listed = spark.read.format("binaryFile").load(path).select(
-        "path", "length", "modificationTime", F.decode(F.substring("content", 1, HEAD_BYTES), "ISO-8859-1").alias("head")
-    )
-    return identify(listed).drop("head")
+    """Files under a path with size and kind.
+
+    Files with a known ending are only listed. Contents are read for the others, up to 64 MB
+    each, because a file source hands out a whole file; larger ones count as binary.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    known = F.col("_metadata.file_name").rlike(KNOWN_ENDINGS)
+    listed = ["path", "length", "modificationTime"]
+    head = F.decode(F.substring("content", 1, HEAD_BYTES), "ISO-8859-1")
+    sniffed = files.where(~known & (F.col("length") <= MAX_SNIFFED_BYTES)).select(*listed, head.alias("head"))
+    others = files.where(known | (F.col("length") > MAX_SNIFFED_BYTES)).select(*listed)
+    return identify(sniffed).drop("head").unionByName(identify(others, head=None))
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
