@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
 from logsieve.queries.registry import ORACLE, QUERIES
 
@@ -14,9 +13,20 @@ MODULES = (
 )
 
 
+# a literal such as 0.9 is a decimal number in SQL and a double in Spark
+DECIMAL_CONFIDENCE = (
+    "url_intel", "domain_verdicts", "dga_dns_queries", "match_feed", "sigma_match", "sigma_aggregates", "sigma_consolidated",
+    "signature_match", "behavioural_indicators", "map_iocs", "map_behaviours", "map_signatures", "map_sigma", "map_tools",
+    "technique_scores", "tactic_chain", "file_inventory",
+)
+
+
+def _as_double(sql: str) -> str:
+    return f"SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM ({sql})"
+
+
 def load_all() -> tuple[dict, dict]:
+    """(queries, their SQL)."""
     for name in MODULES:
-        if importlib.util.find_spec(f"logsieve.queries.{name}") is None:
-            continue
         importlib.import_module(f"logsieve.queries.{name}")
-    return QUERIES, ORACLE
+    return QUERIES, {n: _as_double(sql) if n in DECIMAL_CONFIDENCE else sql for n, sql in ORACLE.items()}

@@ -174,7 +174,7 @@ def unusual_traffic(spark, sf_dir):
 
 @query(
     "flow_summary",
-    s.with_ctes("flows", "SELECT round(sum(bytes), 0) AS total_bytes, sum(packets) AS total_packets, count(*) AS total_flows, floor(sum(bytes) / count(*)) AS avg_flow_size FROM flows"),
+    s.with_ctes("flows", "SELECT round(sum(bytes), 0) AS total_bytes, sum(packets) AS total_packets, count(*) AS total_flows, CAST(floor(sum(bytes) / count(*)) AS BIGINT) AS avg_flow_size FROM flows"),
 )
 def flow_summary(spark, sf_dir):
     return rounded(traffic.flow_summary(adapt.flows(spark, sf_dir)), 0)
