@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from logsieve.llm import line_dedup, packing, pii, quality, token_counts
+from logsieve.llm import line_dedup, ngram_join, packing, pii, quality, token_counts
 from logsieve.llm.store import fresh_path
 
 QUERIES: dict[str, Callable] = {}
@@ -94,3 +94,8 @@ def op4_pii(spark, sf_dir):
     base = F.filter("pii_spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
     counts = [pii.count_of(F.col("pii_spans"), k).alias(f"n_{k}") for k in pii.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.spans_text(base), 256).alias("base_sha256"), pii.spans_text(F.col("pii_spans")).alias("spans"))
+
+
+@query("op8_ngram_join")
+def op8_ngram_join(spark, sf_dir):
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"), width=5, percent=75)
