@@ -2,7 +2,8 @@
 
 Sets are sorted 64-bit hashes. The order of n-grams is by how often they are counted over all documents and then by hash;
 counts are kept in 2**sketch_bits buckets, so what is sent to the tasks has a fixed size at any scale. The order only
-decides how many candidates there are, never which links are found.
+decides how many candidates there are, never which links are found. Which documents a round of verification needs is sent
+as 2**id_bits flags by hashed id, again of fixed size: a document that is flagged by chance costs time and nothing else.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from logsieve.operators.overlap import connected_components
 
 BLOCKS = 16  # the bucket counts are added up in so many parts
 BINS = 16  # of the suffix filter
+ORDERS = 8  # of sets, a power of two: a group's first set is that of one of so many orders, chosen by its n-gram
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
@@ -62,32 +64,60 @@ def _add_blocks(batches):
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
 
-def bucket_counts(texts: DataFrame, width: int, bits: int) -> np.ndarray:
-    """How many documents have an n-gram in each bucket; every document counts."""
+def bucket_counts(rows: DataFrame, counting, bits: int) -> np.ndarray:
+    """Sums of the tasks' counts by bucket, over all rows."""
     schema = "block int, counts binary"
-    parts = texts.mapInArrow(_bucket_counts(width, bits), schema).repartition(BLOCKS, "block").sortWithinPartitions("block").mapInArrow(_add_blocks, schema)
+    parts = rows.mapInArrow(counting, schema).repartition(BLOCKS, "block").sortWithinPartitions("block").mapInArrow(_add_blocks, schema)
     out = np.zeros((BLOCKS, (1 << bits) // BLOCKS), np.int64)
     for row in parts.collect():  # 2**bits numbers in all
         out[row["block"]] = np.frombuffer(row["counts"], "<i8")
     return out.reshape(-1)
 
 
-def _sets(width: int, percent: int, bits: int, counts):
+def _id_bucket(ids: np.ndarray, bits: int) -> np.ndarray:
+    from logsieve.llm.words import BASE, mix
+
+    return (mix(ids.astype(np.uint64) * BASE) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _id_counts(bits: int):
+    def run(batches):
+        counts = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            counts += np.bincount(_id_bucket(batch.column(0).to_numpy(), bits), minlength=1 << bits)
+        if counts.any():
+            parts = counts.astype("<i8").reshape(BLOCKS, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "counts"])
+
+    return run
+
+
+def _sizes(width: int):
+    def run(batches):
+        from logsieve.llm.words import shingle_sets
+
+        for batch in batches:
+            sizes, digests = [], []
+            for h in shingle_sets(batch.column(1), width):
+                sizes.append(len(h))
+                digests.append(hashlib.md5(h.tobytes()).digest() if len(h) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["id", "n", "digest"])
+
+    return run
+
+
+def _prefixes(width: int, percent: int, bits: int, counts):
     def run(batches):
         from logsieve.llm.words import shingle_sets
 
         rank, mask = counts.value, np.uint64((1 << bits) - 1)
         for batch in batches:
-            sizes, digests, prefixes = [], [], []
+            sizes, prefixes = [], []
             for h in shingle_sets(batch.column(1), width):
-                n = len(h)
                 order = np.lexsort((h, rank[(h & mask).astype(np.int64)]))
-                sizes.append(n)
-                digests.append(hashlib.md5(h.tobytes()).digest() if n else None)
-                prefixes.append(h[order[: prefix_length(n, percent)]].tobytes() if n else b"")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary())], ["id", "n", "digest", "prefix"]
-            )
+                sizes.append(len(h))
+                prefixes.append(h[order[: prefix_length(len(h), percent)]].tobytes() if len(h) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())], ["id", "n", "prefix"])
 
     return run
 
@@ -108,15 +138,15 @@ def _prefix_rows(batches):
 
 
 def possible(n, p, m, q, percent: int) -> np.ndarray:
-    """Length and positional filter: sizes n <= m, places p and q of a common element in the two orders."""
-    return (100 * n >= percent * m) & (1 + np.minimum(n - p - 1, m - q - 1) >= least_overlap(n, m, percent))
+    """Length and positional filter: sizes n and m, places p and q of a common element in the two orders."""
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (1 + np.minimum(n - p - 1, m - q - 1) >= least_overlap(n, m, percent))
 
 
 SHARED = "h long, set long, n int, pos int, first long"
 
 
 def _shared(percent: int):
-    """Of rows sorted by (h, n, set): those whose h comes again, with the group's smallest set as candidate partner.
+    """Of rows sorted by h: those whose h comes again, with the group's first set as candidate partner.
 
     `first` is null where the filters exclude that partner. Works over batches with one row kept.
     """
@@ -192,11 +222,14 @@ def _crossing(percent: int, block: int):
     return run
 
 
-def _full_sets(width: int):
+def _full_sets(width: int, wanted, bits: int):
+    """The sets of the documents whose bucket is wanted: all that are needed and a few more."""
+
     def run(batches):
         from logsieve.llm.words import shingle_sets
 
         for batch in batches:
+            batch = batch.filter(pa.array(wanted.value[_id_bucket(batch.column(0).to_numpy(), bits)]))
             blobs = [h.tobytes() for h in shingle_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["set", "elements"])
 
@@ -235,7 +268,7 @@ def _verify(percent: int):
 
 
 def jaccard_join(
-    docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 18, block: int = 2048
+    docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 18, block: int = 2048, id_bits: int = 20
 ) -> DataFrame:
     """One row per document: the id column, n_shingles and component_id (the smallest id reachable by links).
 
@@ -247,24 +280,27 @@ def jaccard_join(
     Equal sets become one (`min` id). Each set's rarest elements, as many as the threshold demands, are its prefix; sets
     that share a prefix element and pass the length and positional filter are candidates, each pair verified once, after a
     suffix filter. To keep a group of m near copies from making m * m / 2 pairs, candidates come in two rounds: first every
-    set with the smallest set of each group it is in, then only pairs that these links left in different components; a
-    pair within a component could not change the result. Groups are read as sorted streams, and only a group that lies
-    in several components is held, in blocks.
+    set with the first set of each group it is in (first in one of ORDERS pseudo-random orders, so that near copies meet
+    a few common partners), then only pairs that these links left in different components; a pair within a component
+    could not change the result. Groups are read as sorted streams, and only a group that lies in several components is
+    held, in blocks.
     """
     id_ = F.col(f"`{id_col}`").cast("long")
     source = docs.where(id_.isNotNull()).select(id_.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(bucket_counts(source.select("text"), width, sketch_bits))
-    sets = written(source.mapInArrow(_sets(width, percent, sketch_bits, counts), "id long, n long, digest binary, prefix binary"), "sets")
+    counts = spark.sparkContext.broadcast(bucket_counts(source.select("text"), _bucket_counts(width, sketch_bits), sketch_bits))
+    sets = written(source.mapInArrow(_sizes(width), "id long, n long, digest binary"), "sets")
     classes = written(sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("set")), "classes")
-    heads = sets.where("n > 0").select("id", "n", "prefix").join(classes.select(F.col("set").alias("id")).hint("shuffle_hash"), "id", "left_semi")
-    rows = heads.mapInArrow(_prefix_rows, "h long, set long, n int, pos int").repartition("h").sortWithinPartitions("h", "n", "set")
+    prefixes = source.mapInArrow(_prefixes(width, percent, sketch_bits, counts), "id long, n long, prefix binary")
+    heads = prefixes.join(classes.select(F.col("set").alias("id")).hint("shuffle_hash"), "id", "left_semi")
+    rows = heads.mapInArrow(_prefix_rows, "h long, set long, n int, pos int").repartition("h")
+    rows = rows.withColumn("turn", F.xxhash64("set", F.col("h").bitwiseAND(ORDERS - 1))).sortWithinPartitions("h", "turn", "set").drop("turn")
     shared = written(rows.mapInArrow(_shared(percent), SHARED), "shared")
 
     def verified(pairs: DataFrame) -> DataFrame:
         members = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        full = source.join(members.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_full_sets(width), "set long, elements binary")
-        full = written(full, "members")
+        wanted = spark.sparkContext.broadcast(bucket_counts(members, _id_counts(id_bits), id_bits) > 0)
+        full = written(source.mapInArrow(_full_sets(width, wanted, id_bits), "set long, elements binary"), "members")
         left, right = (full.select(F.col("set").alias(k), F.col("elements").alias(f"elements_{k}")) for k in "ab")
         met = pairs.join(left, "a").join(right, "b").select("a", "b", "elements_a", "elements_b")
         return written(met.mapInArrow(_verify(percent), "u long, v long"), "links")
