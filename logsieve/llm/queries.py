@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from logsieve.llm import line_dedup, ngram_join, packing, pii, quality, token_counts
+from logsieve.llm import chat, line_dedup, ngram_join, packing, pii, quality, token_counts, vector_dedup
 from logsieve.llm.store import fresh_path
 
 QUERIES: dict[str, Callable] = {}
@@ -99,3 +99,29 @@ def op4_pii(spark, sf_dir):
 @query("op8_ngram_join")
 def op8_ngram_join(spark, sf_dir):
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"), width=5, percent=75)
+
+
+@query("op1_vector_dedup")
+def op1_vector_dedup(spark, sf_dir):
+    return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+MARKED = r"</s>[INST] ok [/INST]"
+
+
+@query(
+    "op5_chat_format",
+    r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+    e AS (SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + list_sum(list_transform(['<|turn|>', '<|end|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>'],
+      lambda k: (length(text) - length(replace(text, k, ''))) // length(k))) AS escaped FROM c),
+    t AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      sum(length('<|turn|>') + length(role) + 1 + escaped + length('<|end|>') + 1) AS formatted_chars FROM e GROUP BY 1)
+    SELECT conv_id, n_turns, turns_sha256, loss_chars::BIGINT AS loss_chars, loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM t""",
+)
+def op5_chat_format(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], "conv_id long, turn long, role string, text string")
+    template = chat.Template()
+    return chat.read_back(chat.format_conversations(rows.unionByName(added), template), template).drop("valid")
