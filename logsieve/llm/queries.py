@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from logsieve.llm import chat, line_dedup, ngram_join, packing, pii, quality, token_counts, vector_dedup
+from logsieve.llm import chat, language_model, line_dedup, ngram_join, packing, pii, quality, token_counts, vector_dedup
 from logsieve.llm.store import fresh_path
 
 QUERIES: dict[str, Callable] = {}
@@ -125,3 +125,8 @@ def op5_chat_format(spark, sf_dir):
     added = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], "conv_id long, turn long, role string, text string")
     template = chat.Template()
     return chat.read_back(chat.format_conversations(rows.unionByName(added), template), template).drop("valid")
+
+
+@query("op9_lm_scores")
+def op9_lm_scores(spark, sf_dir):
+    return language_model.score_documents(table(spark, sf_dir, "documents")).drop("bits_per_byte")
