@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from logsieve.llm import chat, language_model, line_dedup, ngram_join, packing, pii, quality, token_counts, vector_dedup
+from logsieve.llm import chat, language_model, line_dedup, ngram_join, packing, pieces, pii, quality, token_counts, vector_dedup
 from logsieve.llm.store import fresh_path
 
 QUERIES: dict[str, Callable] = {}
@@ -130,3 +130,14 @@ def op5_chat_format(spark, sf_dir):
 @query("op9_lm_scores")
 def op9_lm_scores(spark, sf_dir):
     return language_model.score_documents(table(spark, sf_dir, "documents")).drop("bits_per_byte")
+
+
+@query("op7_piece_encoding")
+def op7_piece_encoding(spark, sf_dir):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), path, dropout=0.1, seed=11)
+    read = pieces.decode(encoded, path)
+    return read.select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
