@@ -181,6 +181,35 @@ def log10_of_bytes(grams: np.ndarray, model, bits: int) -> np.ndarray:
     return total
 
 
+class GramScores:
+    """Scores of grams, kept for a task: most grams of a chunk came before. Bounded to `most` grams."""
+
+    def __init__(self, model, bits: int, most: int = 1 << 22):
+        self.model, self.bits, self.most = model, bits, most
+        self.grams, self.scores = np.zeros(0, np.uint64), np.zeros(0)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """For distinct sorted grams."""
+        out = np.empty(len(grams))
+        at = np.searchsorted(self.grams, grams)
+        known = np.zeros(len(grams), bool)
+        inside = at < len(self.grams)
+        known[inside] = self.grams[at[inside]] == grams[inside]
+        out[known] = self.scores[at[known]]
+        fresh = grams[~known]
+        out[~known] = scores = log10_of_bytes(fresh, self.model, self.bits)
+        self.new.append((fresh, scores))
+        if sum(len(g) for g, _ in self.new) > len(self.grams) // 16:
+            every = np.concatenate([self.grams, *(g for g, _ in self.new)])
+            values = np.concatenate([self.scores, *(v for _, v in self.new)])
+            self.grams, first = np.unique(every, return_index=True)
+            self.scores, self.new = values[first], []
+            if len(self.grams) > self.most:
+                self.grams, self.scores = np.zeros(0, np.uint64), np.zeros(0)
+        return out
+
+
 def _counting(batches):
     """(word hash, count), folded per chunk, and the end of each text as the word 0."""
     from logsieve.llm.words import text_chunks, word_hashes
@@ -199,7 +228,7 @@ def _scoring(frequent, model, bits: int, depth: int):
         from logsieve.llm.words import text_chunks, word_hashes
 
         words, logs = frequent.value
-        tables = model.value
+        scores = GramScores(model.value, bits)
         for batch in batches:
             out = []
             for _, data, offsets in text_chunks(batch.column(1)):
@@ -211,7 +240,7 @@ def _scoring(frequent, model, bits: int, depth: int):
                 sums, hits = np.concatenate(([0.0], np.cumsum(value))), np.concatenate(([0], np.cumsum(known)))
                 grams, ends = text_grams(data, offsets, depth)
                 distinct, back = np.unique(grams, return_inverse=True)
-                each = np.concatenate(([0.0], np.cumsum(log10_of_bytes(distinct, tables, bits)[back])))
+                each = np.concatenate(([0.0], np.cumsum(scores.of(distinct)[back])))
                 out.append((np.diff(bounds), np.diff(hits[bounds]), np.diff(sums[bounds]), np.diff(each[ends]), np.diff(ends)))
             if out:
                 n, k, base, score, size = (np.concatenate(x) for x in zip(*out, strict=True))

@@ -14,9 +14,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsieve.llm.words import BASE, mix
+
 MARK = "▁"  # how pieces write a blank
-#: No piece holds a blank after another character or a line feed, so no merge crosses the ends of these parts.
-PART = re.compile(f" *[^ \n{MARK}]+| +|\n|{MARK}")
+LETTERS, STOPS = "A-Za-zÀ-ɏ", ".,!"
+SYMBOL_BITS = 21
+NONE = np.int64(1) << np.int64(60)
+LONG = 200  # characters from which a part has an agenda of its own; shorter ones are segmented together
 MEMORY_PARTS = 600_000  # a worker forgets the parts it has segmented when it holds so many
 
 
@@ -35,6 +39,37 @@ class PieceModel:
         for b, i in enumerate(self.byte_ids):
             self.texts[i] = bytes([b])
 
+        self._pairs()
+
+        self.part = self._parts()
+
+    def _parts(self) -> re.Pattern:
+        """Cuts a text where no piece can cross: before blanks, at line feeds and, if no piece holds a letter and a stop
+        beside it, between these two."""
+        crossing = re.compile(f"[^{MARK}]{MARK}|.\n|\n.", re.S)
+        if any(crossing.search(p) for p in self.ids):
+            return re.compile(".+", re.S)
+        if any(re.search(f"[{LETTERS}][{STOPS}]", p) for p in self.ids):
+            return re.compile(f" *[^ \n{MARK}]+| +|\n|{MARK}")
+        return re.compile(f" *(?:[^ \n{MARK}{STOPS}]+|(?<![{LETTERS}])[{STOPS}])+|[{STOPS}][^ \n{MARK}]*| +|\n|{MARK}")
+
+    def _pairs(self) -> None:
+        """Which two symbols make a piece, as a sorted table. A symbol is a piece, or else a character by its code."""
+        size = self.first_character = len(self.texts)
+        number = lambda x: self.ids.get(x, size + ord(x) if len(x) == 1 else None)
+        rows = []
+        for piece, i in self.ids.items():
+            for cut in range(1, len(piece)):
+                left, right = number(piece[:cut]), number(piece[cut:])
+                if left is not None and right is not None:
+                    rows.append((left << SYMBOL_BITS | right, i, int(self.order[piece])))
+        rows.sort()
+        self.pair_keys, self.pair_pieces, self.pair_ranks = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+        self.characters = np.arange(size, size + 0x110000, dtype=np.int64)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.characters[ord(piece)] = i
+
     def symbol_ids(self, symbol: str) -> list[int]:
         found = self.ids.get(symbol)
         return [found] if found is not None else [self.byte_ids[b] for b in symbol.replace(MARK, " ").encode()]
@@ -53,79 +88,150 @@ class DropoutEncoder:
 
     The key is the seed and the variant; the hash covers the part of the text, the place and the merged piece. A text's
     parts take one of `variants` variants by a hash of the text's key and the part's number, so the same word is segmented
-    in varied ways, and the same document always in the same way.
+    in varied ways, and the same document always in the same way. The parts that are new in a group of texts are segmented
+    together: in each step every part takes the next candidate of its agenda (best score, then leftmost).
     """
 
     def __init__(self, model: PieceModel, dropout: float, seed: int, variants: int):
         self.model, self.limit, self.variants = model, int(dropout * (1 << 32)), max(1, variants) if dropout > 0 else 1
-        self.keys = [hashlib.blake2b(f"{seed}:{v}".encode(), digest_size=16).digest() for v in range(self.variants)]
         self.seed = seed
+        digests = [hashlib.blake2b(f"{seed}:{v}".encode(), digest_size=8).digest() for v in range(self.variants)]
+        self.keys = np.array([int.from_bytes(d, "little") for d in digests], np.uint64)
         self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
+    def _hashes(self, codes: np.ndarray, place: np.ndarray, starts: np.ndarray, variants: np.ndarray) -> np.ndarray:
+        """A keyed hash of each part."""
+        each = mix((codes.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)) * BASE)
+        return mix(np.add.reduceat(each, starts) ^ self.keys[variants])
+
+    def _skipped(self, hashes, place, rank):
+        x = mix(hashes ^ (place.astype(np.uint64) * BASE + rank.astype(np.uint64)))
+        return (x >> np.uint64(32)).astype(np.int64) < self.limit
+
     def segment(self, part: str, variant: int) -> list[str]:
+        """One part by an agenda of its own."""
         symbols = list(part)
         n = len(symbols)
-        order, limit = self.model.order, self.limit
-        base = int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8, key=self.keys[variant]).digest(), "little") if limit else 0
+        codes = np.array([ord(c) for c in part])
+        own = self._hashes(codes, np.arange(n), np.zeros(1, np.int64), np.array([variant]))
+        order = self.model.order
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
-        for i in range(n - 1):
-            rank = order.get(symbols[i] + symbols[i + 1])
+
+        def propose(i: int, j: int) -> None:
+            merged = symbols[i] + symbols[j]
+            rank = order.get(merged)
             if rank is not None:
-                agenda.append((rank, i, i + 1, symbols[i] + symbols[i + 1]))
-        heapq.heapify(agenda)
+                heapq.heappush(agenda, (rank, i, j, merged))
+
+        for i in range(n - 1):
+            propose(i, i + 1)
         while agenda:
             rank, i, j, merged = heapq.heappop(agenda)
             if symbols[i] is None or symbols[j] is None or symbols[i] + symbols[j] != merged or after[i] != j:
                 continue  # one of the two was merged meanwhile
-            if limit:
-                x = (base ^ (i * 0x9E3779B97F4A7C15) ^ (int(rank) * 0xC2B2AE3D27D4EB4F)) & 0xFFFFFFFFFFFFFFFF
-                x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-                if x >> 32 < limit:
-                    continue
+            if self.limit and self._skipped(own, np.array([i]), np.array([int(rank)]))[0]:
+                continue
             symbols[i], symbols[j] = merged, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                rank = order.get(merged + symbols[k])
-                if rank is not None:
-                    heapq.heappush(agenda, (rank, i, k, merged + symbols[k]))
-            h = before[i]
-            if h >= 0:
-                rank = order.get(symbols[h] + merged)
-                if rank is not None:
-                    heapq.heappush(agenda, (rank, h, i, symbols[h] + merged))
+                propose(i, k)
+            if before[i] >= 0:
+                propose(before[i], i)
         return [s for s in symbols if s is not None]
 
-    def _part(self, part: str, variant: int) -> bytes:
-        if part == MARK:  # the mark itself in a text: by its bytes, so that it is not read back as a blank
-            ids = [self.model.byte_ids[b] for b in MARK.encode()]
-        else:
-            ids = [i for s in self.segment(part.replace(" ", MARK), variant) for i in self.model.symbol_ids(s)]
-        return array("i", ids).tobytes()
-
-    def encode(self, text: str, key: int) -> bytes:
-        """Ids as native 32-bit numbers; a blank is put before a text that is not empty."""
-        if not text:
-            return b""
-        parts = PART.findall(" " + text)
-        if self.variants == 1:
-            chosen = [0] * len(parts)
-        else:
-            x = (np.arange(len(parts), dtype=np.uint64) + np.uint64((key ^ self.seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-            chosen = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(40)).astype(np.int64) % self.variants
-            chosen = chosen.tolist()
-        out = []
-        for part, v in zip(parts, chosen, strict=True):
-            known = self.known[v]
-            ids = known.get(part)
-            if ids is None:
-                ids = known[part] = self._part(part, v)
-            out.append(ids)
+    def segment_together(self, parts: list[str], variants: np.ndarray) -> list[bytes]:
+        """The ids of many parts; a step of all agendas is a few array operations."""
+        model = self.model
+        codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.array([len(p) for p in parts])
+        starts = np.cumsum(sizes) - sizes
+        part = np.repeat(np.arange(len(parts)), sizes)
+        place = np.arange(len(codes)) - starts[part]
+        hashes = self._hashes(codes, place, starts, variants)
+        symbols = model.characters[codes]
+        value, merged = np.full(len(symbols), NONE), np.zeros(len(symbols), np.int64)
+        last_key = len(model.pair_keys) - 1
+
+        def propose(at: np.ndarray) -> None:
+            value[at] = NONE
+            at = at[at + 1 < len(symbols)]
+            at = at[part[at] == part[at + 1]]
+            key = symbols[at] << SYMBOL_BITS | symbols[at + 1]
+            found = np.minimum(np.searchsorted(model.pair_keys, key), last_key)
+            hit = model.pair_keys[found] == key
+            at, found = at[hit], found[hit]
+            rank = model.pair_ranks[found]
+            if self.limit:
+                stay = ~self._skipped(hashes[part[at]], place[at], rank)
+                at, found, rank = at[stay], found[stay], rank[stay]
+            value[at] = rank << SYMBOL_BITS | place[at]
+            merged[at] = model.pair_pieces[found]
+
+        propose(np.arange(len(symbols)))
+        done_part, done_symbols = [], []
+        while len(symbols):
+            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            best = np.repeat(np.minimum.reduceat(value, first), np.diff(np.append(first, len(part))))
+            over = best == NONE
+            if over.any():
+                done_part.append(part[over])
+                done_symbols.append(symbols[over])
+                part, place, symbols, value, merged, best = (x[~over] for x in (part, place, symbols, value, merged, best))
+            at = np.flatnonzero(value == best)
+            symbols[at] = merged[at]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            part, place, symbols, value, merged = (x[keep] for x in (part, place, symbols, value, merged))
+            at = at - np.arange(len(at))
+            left = at[at > 0] - 1
+            changed = np.zeros(len(symbols), bool)
+            changed[at] = True
+            changed[left[part[left] == part[left + 1]]] = True
+            propose(np.flatnonzero(changed))
+        whole, symbols = np.concatenate(done_part), np.concatenate(done_symbols)
+        order = np.argsort(whole, kind="stable")
+        whole, symbols = whole[order], symbols[order]
+        bounds = np.searchsorted(whole, np.arange(len(parts) + 1))
+        strange = set(whole[symbols >= model.first_character].tolist())
+        blob = symbols.astype(np.int32).tobytes()
+        out = [blob[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for w in strange:
+            ids = []
+            for s in symbols[bounds[w] : bounds[w + 1]].tolist():
+                ids += [s] if s < model.first_character else model.symbol_ids(chr(s - model.first_character))
+            out[w] = array("i", ids).tobytes()
+        return out
+
+    def _learn(self, new: list[tuple[int, str]]) -> None:
+        together = [(v, p) for v, p in new if p != MARK and len(p) < LONG]
+        for v, p in new:
+            if p == MARK:  # the mark itself in a text: by its bytes, so that it is not read back as a blank
+                self.known[v][p] = array("i", [self.model.byte_ids[b] for b in MARK.encode()]).tobytes()
+            elif len(p) >= LONG:
+                self.known[v][p] = array("i", [i for s in self.segment(p.replace(" ", MARK), v) for i in self.model.symbol_ids(s)]).tobytes()
+        if together:
+            ids = self.segment_together([p.replace(" ", MARK) for _, p in together], np.array([v for v, _ in together]))
+            for (v, p), i in zip(together, ids, strict=True):
+                self.known[v][p] = i
+
+    def encode(self, texts: list[str], keys: list[int]) -> list[bytes]:
+        """Each text's ids as native 32-bit numbers; a blank is put before a text that is not empty."""
+        cut = [self.model.part.findall(" " + t) if t else [] for t in texts]
         if sum(map(len, self.known)) > MEMORY_PARTS:
             for known in self.known:
                 known.clear()
-        return b"".join(out)
+        known = self.known
+        if self.variants == 1:
+            chosen = [[0] * len(parts) for parts in cut]
+        else:
+            numbers = np.arange(max(map(len, cut), default=0), dtype=np.uint64)
+            starts = mix(np.array([k & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64) ^ self.keys[0])
+            chosen = [((mix(numbers[: len(parts)] + k) >> np.uint64(40)).astype(np.int64) % self.variants).tolist() for parts, k in zip(cut, starts, strict=True)]
+        new = {(v, p) for parts, vs in zip(cut, chosen, strict=True) for v, p in zip(vs, parts, strict=True) if p not in known[v]}
+        self._learn(list(new))
+        return [b"".join([known[v][p] for v, p in zip(vs, parts, strict=True)]) for parts, vs in zip(cut, chosen, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -145,7 +251,7 @@ def _encoding(path: str, dropout: float, seed: int, variants: int):
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                blobs = [encoder.encode(t or "", k) for t, k in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                blobs = encoder.encode([t or "" for t in part.column(1).to_pylist()], part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(blobs)], ["id", "text", "ids"])
 
     return run
