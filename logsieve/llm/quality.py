@@ -172,7 +172,7 @@ def judge(
     judged = met.select("id", "row", *results[:-2], "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))
     if not keep_columns:
         return judged.drop("row").withColumnRenamed("id", id_col)
-    kept = judged.where("kept").select("id", "row").distinct()
-    return docs.join(kept.hint("shuffle_hash"), id_.eqNullSafe(F.col("id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("row")), "left_semi")
+    kept = judged.where("kept").select(F.col("id").alias("__id"), F.col("row").alias("__row")).distinct()
+    return docs.join(kept.hint("shuffle_hash"), id_.eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__row")), "left_semi")
 
 
