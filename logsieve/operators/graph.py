@@ -72,10 +72,11 @@ def graph_paths(
 ) -> DataFrame:
     """Paths from nodes without incoming to nodes without outgoing edges, the first three per pair of ends.
 
-    Edges run from smaller to larger nodes, so every path is simple. Partial paths that end
-    in the same node after the same number of edges have the same continuations; keeping
-    the first three of them in order keeps the first three of the result, so the frontier
-    stays at three partial paths per (start, node, length).
+    No path visits a node twice. Where edges run from smaller to larger nodes, partial paths
+    that end in the same node after the same number of edges have the same continuations, so
+    the first three of them in order keep the first three of the result, and the frontier
+    stays at three partial paths per (start, node, length). In a graph with cycles a kept
+    partial path may end where a dropped one would not, so fewer than three may be found.
     """
     links = edges.select("src", "dst").distinct()
     nodes = degrees(links)
@@ -85,7 +86,7 @@ def graph_paths(
     paths = starts.select("start", F.col("start").alias("last"), F.array("start").alias("path"))
     found = None
     for length in range(1, max_edges + 1):
-        grown = paths.join(links, F.col("last") == F.col("src")).select(
+        grown = paths.join(links, (F.col("last") == F.col("src")) & ~F.array_contains("path", F.col("dst"))).select(
             "start", F.col("dst").alias("last"), F.array_append("path", F.col("dst")).alias("path")
         )
         order = W.partitionBy("start", "last").orderBy("path")

@@ -192,11 +192,11 @@ def string_indicators(strings: DataFrame, text: str = "text") -> DataFrame:
 
 
 def artefact_paths(files: DataFrame, keep: Sequence[str], path: str = "path") -> DataFrame:
-    """Paths of security artefacts and suspicious files."""
+    """Paths of security artefacts and suspicious files, without regard to case."""
     p = F.col(path)
 
     def tagged(kind, table):
-        return [F.when(p.rlike(r), F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("name"))) for n, r in table.items()]
+        return [F.when(p.rlike(f"(?i){r}"), F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("name"))) for n, r in table.items()]
 
     found = F.array_compact(F.array(*tagged("artefact", ARTEFACTS), *tagged("suspicious", SUSPICIOUS_FILES)))
     return explode_computed(files, keep, found, "_a").select(*keep, "_a.*")

@@ -180,8 +180,8 @@ def behaviour_iocs(reports: DataFrame, keep: Sequence[str], sections: Sequence[s
 
 
 def latest_reports(reports: DataFrame, key: Sequence[str], ts: str = "report_ts") -> DataFrame:
-    """Newest report per resource; ranking is cut per partition before the shuffle."""
-    order = W.partitionBy(*key).orderBy(F.desc(ts))
+    """Newest report per resource, of equally new ones the first by content; ranking is cut per partition before the shuffle."""
+    order = W.partitionBy(*key).orderBy(F.desc(ts), F.to_json(F.struct("*")))
     return reports.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == 1).drop("_r")
 
 

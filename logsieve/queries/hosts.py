@@ -111,6 +111,7 @@ def string_indicators(spark, sf_dir):
 PATHS = (
     "C:\\Windows\\System32\\config\\SAM", "C:\\Users\\a\\AppData\\Local\\Temp\\x.ps1", "C:\\docs\\README_DECRYPT.txt", "C:\\data\\a.locked", "/home/u/.bash_history",
     "C:\\$Recycle.Bin\\z", "C:\\Windows\\Prefetch\\CMD.pf", "C:\\plain\\file.doc",
+    "c:\\windows\\temp\\x.exe", "C:\\data\\A.LOCKED",
 )
 
 
@@ -120,7 +121,7 @@ PATHS = (
         "messages",
         f""", p AS (SELECT entry_id, [{', '.join(s.text(p) for p in PATHS)}][k % {len(PATHS)} + 1] AS path FROM messages) """
         + " UNION ALL ".join(
-            f"SELECT entry_id, '{kind}' AS kind, '{n}' AS name FROM p WHERE regexp_matches(path, {s.text(r)})"
+            f"SELECT entry_id, '{kind}' AS kind, '{n}' AS name FROM p WHERE regexp_matches(path, {s.text(r)}, 'i')"
             for kind, table in (("artefact", hostscan.ARTEFACTS), ("suspicious", hostscan.SUSPICIOUS_FILES))
             for n, r in table.items()
         ),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -17,14 +18,16 @@ def append_to_history(
     on_batch: Callable[[DataFrame, int], None] | None = None,
     once: bool = True,
 ) -> StreamingQuery:
-    """Append each micro-batch to a table of its own batch number.
+    """Append each micro-batch to a folder of its stream (named by its checkpoint) and batch number.
 
     A batch that is run again after a failure overwrites its own folder, so no row is
-    written twice. `on_batch` may push alerts.
+    written twice; another stream, or one begun anew with another checkpoint, never writes there. `on_batch` may push alerts.
     """
 
+    stream_id = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def write(batch: DataFrame, number: int) -> None:
-        target = f"{path}/batch={number}"
+        target = f"{path}/stream={stream_id}/batch={number}"
         batch.withColumn("written_at", F.current_timestamp()).write.mode("overwrite").format(fmt).save(target)
         if on_batch is not None:
             on_batch(batch, number)

@@ -122,3 +122,11 @@ def test_entity_pairs(spark):
     found = {(r.src, r.dst): r.weight for r in graph.entity_edges(df).collect()}
     assert found == {("a", "b"): 2, ("a", "c"): 1, ("b", "c"): 1}
     assert graph.event_edges(df, "id").groupBy("event").agg(F.count(F.lit(1)).alias("n")).orderBy("event").collect()[2].n == 1
+
+
+def test_paths_with_cycles_are_simple(spark):
+    from logsieve.operators.graph import graph_paths
+
+    rows = [("a", "b"), ("b", "c"), ("c", "b"), ("c", "d")]
+    found = graph_paths(spark.createDataFrame(rows, "src string, dst string"), min_nodes=3, min_graph_nodes=1).collect()
+    assert [r.path for r in found] == [["a", "b", "c", "d"]]

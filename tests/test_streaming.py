@@ -103,3 +103,13 @@ def test_enrichment_rules_and_history(spark, events, tmp_path):
     rule = SigmaRule("r", "t", {"selection": {"event_type": "error"}, "condition": "selection"})
     matched = run(windows.match_rules(stream_of(spark, events), [rule], ["event_id"]))
     assert matched.count() == spark.read.parquet(events).where("event_type = 'error'").count()
+
+
+def test_history_of_two_streams_in_one_path(spark, tmp_path):
+    from logsieve.streaming import sinks
+
+    spark.createDataFrame([(1,)], "x int").write.parquet(str(tmp_path / "in"))
+    for checkpoint in ("one", "two"):
+        stream = spark.readStream.schema("x int").parquet(str(tmp_path / "in"))
+        assert sinks.append_to_history(stream, str(tmp_path / "h"), str(tmp_path / checkpoint)).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "h")).count() == 2
