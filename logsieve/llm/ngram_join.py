@@ -4,6 +4,10 @@ Sets are sorted 64-bit hashes. The order of n-grams is by how often they are cou
 counts are kept in 2**sketch_bits buckets, so what is sent to the tasks has a fixed size at any scale. The order only
 decides how many candidates there are, never which links are found. Which documents a round of verification needs is sent
 as 2**id_bits flags by hashed id, again of fixed size: a document that is flagged by chance costs time and nothing else.
+
+The suffix filter bounds the difference of two sets from below: each set has a bitmap of the parity of its elements by
+bucket, and sets differ in at least as many elements as their bitmaps differ in bits. Two words of it go with the rows
+of a group, the whole bitmap (about two bits an element) is compared before any set is moved.
 """
 
 from __future__ import annotations
@@ -20,7 +24,9 @@ from logsieve.llm.store import written
 from logsieve.operators.overlap import connected_components
 
 BLOCKS = 16  # the bucket counts are added up in so many parts
-BINS = 16  # of the suffix filter
+SIGN_BITS = 128  # of the bitmap that goes with the rows of a group
+ROWS = 1000  # rows with long values are handed over in batches of so many
+FLUSH = 1 << 17  # pairs held before they are handed over
 ORDERS = 8  # of sets, a power of two: a group's first set is that of one of so many orders, chosen by its n-gram
 
 
@@ -34,6 +40,24 @@ def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def parity_bitmap(h: np.ndarray) -> np.ndarray:
+    """Bytes whose bits tell whether an odd number of elements fall into a bucket; at least SIGN_BITS buckets, 2 to 4 an element."""
+    bits = max(SIGN_BITS, 1 << (2 * len(h) - 1).bit_length()) if len(h) else SIGN_BITS
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little")
+
+
+def folded(bitmap: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of the same set with fewer buckets, in so many bytes."""
+    while len(bitmap) > size:
+        bitmap = bitmap[: len(bitmap) // 2] ^ bitmap[len(bitmap) // 2 :]
+    return bitmap
+
+
+def most_different(n, m, percent: int):
+    """Elements in one of two sets of these sizes only, at most, if they are similar."""
+    return n + m - 2 * least_overlap(n, m, percent)
+
+
 def _bucket_counts(width: int, bits: int):
     def run(batches):
         from logsieve.llm.words import shingle_sets
@@ -97,11 +121,18 @@ def _sizes(width: int):
         from logsieve.llm.words import shingle_sets
 
         for batch in batches:
-            sizes, digests = [], []
+            sizes, digests, bitmaps, signs = [], [], [], []
             for h in shingle_sets(batch.column(1), width):
+                bitmap = parity_bitmap(h)
                 sizes.append(len(h))
                 digests.append(hashlib.md5(h.tobytes()).digest() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["id", "n", "digest"])
+                bitmaps.append(bitmap.tobytes())
+                signs.append(folded(bitmap, SIGN_BITS // 8))
+            signs = np.array(signs, np.uint8).reshape(len(sizes), -1).view("<i8")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs[:, 0]), pa.array(signs[:, 1]), pa.array(bitmaps, pa.binary())],
+                ["id", "n", "digest", "sign0", "sign1", "bitmap"],
+            )
 
     return run
 
@@ -117,7 +148,8 @@ def _prefixes(width: int, percent: int, bits: int, counts):
                 order = np.lexsort((h, rank[(h & mask).astype(np.int64)]))
                 sizes.append(len(h))
                 prefixes.append(h[order[: prefix_length(len(h), percent)]].tobytes() if len(h) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())], ["id", "n", "prefix"])
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())], ["id", "n", "prefix"])
+            yield from (out.slice(i, ROWS) for i in range(0, len(out), ROWS))
 
     return run
 
@@ -185,39 +217,65 @@ def _shared(percent: int):
 def _crossing(percent: int, block: int):
     """Of rows sorted by (h, n, set) with their component: pairs of one h from different components that pass the filters."""
 
-    def pairs(held: list[tuple], s, n, p, c) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for hs, hn, hp, hc in held:
-            for i in range(0, len(hs), block):
-                a = slice(i, i + block)
-                for j in range(0, len(s), block):
-                    b = slice(j, j + block)
-                    fits = (hc[a, None] != c[None, b]) & possible(hn[a, None], hp[a, None], n[None, b], p[None, b], percent)
-                    x, y = np.nonzero(fits)
-                    yield hs[a][x], s[b][y]
+    def pairs(left, right) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(left[0]), block):
+            s, n, p, c, u, v, k = (x[i : i + block] for x in left)
+            for j in range(0, len(right[0]), block):
+                t, m, q, d, y, z, o = (x[j : j + block] for x in right)
+                a, b = np.nonzero((c[:, None] != d[None]) & possible(n[:, None], p[:, None], m[None], q[None], percent))
+                apart = np.bitwise_count(u[a] ^ y[b]).astype(np.int64) + np.bitwise_count(v[a] ^ z[b])
+                fits = (apart <= most_different(n[a], m[b], percent)) | ~(k[a] & o[b])  # an id of several texts has no sign
+                if fits.any():
+                    yield s[a][fits], t[b][fits]
+
+    def batch_of(found) -> pa.RecordBatch:
+        x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        return pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], ["a", "b"])
 
     def run(batches):
         current, held = None, []
+        found, waiting = [], 0
         for batch in batches:
-            h, s, n, p, c = (batch.column(i).to_numpy() for i in range(5))
-            n, p = n.astype(np.int64), p.astype(np.int64)
+            h, s, n, p, c, u, v = (batch.column(i).to_numpy() for i in range(7))
+            row = (s, n.astype(np.int64), p.astype(np.int64), c, u.view(np.uint64), v.view(np.uint64), batch.column(7).to_numpy(zero_copy_only=False))
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            found = []
             for a, b in zip(starts, np.append(starts[1:], len(h)), strict=True):
                 if h[a] != current:
                     current, held = h[a], []
-                g = slice(a, b)
-                if b - a > 1 and (c[g] != c[a]).any():
-                    own = [(s[g], n[g], p[g], c[g])]
-                    for x, y in pairs(own, s[g], n[g], p[g], c[g]):
-                        found.append((np.minimum(x, y), np.maximum(x, y)))
-                if held:
-                    for x, y in pairs(held, s[g], n[g], p[g], c[g]):
-                        found.append((np.minimum(x, y), np.maximum(x, y)))
-                held = [*held, (s[g], n[g], p[g], c[g])] if b == len(h) else []
-            if found:
-                both = np.unique(np.stack([np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])], 1), axis=0)
-                if len(both):
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                own = tuple(x[a:b] for x in row)
+                others = [*held, own] if b - a > 1 and (own[3] != own[3][0]).any() else held
+                for other in others:
+                    for x in pairs(other, own):
+                        found.append(x)
+                        waiting += len(x[0])
+                        if waiting >= FLUSH:
+                            yield batch_of(found)
+                            found, waiting = [], 0
+                held = [*held, own] if b == len(h) else []
+        if found:
+            yield batch_of(found)
+
+    return run
+
+
+def _near(percent: int):
+    """Keeps (a, b) whose bitmaps do not differ in more bits than similar sets of these sizes may."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            most = most_different(n, m, percent)
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (left, right) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                x, y = np.frombuffer(left.as_buffer(), np.uint8), np.frombuffer(right.as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                keep[i] = np.bitwise_count((folded(x, size) ^ folded(y, size)).view(np.uint64)).sum() <= most[i]
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     return run
 
@@ -230,45 +288,41 @@ def _full_sets(width: int, wanted, bits: int):
 
         for batch in batches:
             batch = batch.filter(pa.array(wanted.value[_id_bucket(batch.column(0).to_numpy(), bits)]))
-            blobs = [h.tobytes() for h in shingle_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["set", "elements"])
+            for i in range(0, len(batch), ROWS):
+                part = batch.slice(i, ROWS)
+                blobs = [h.tobytes() for h in shingle_sets(part.column(1), width)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["set", "elements"])
 
     return run
 
 
 def _verify(percent: int):
-    """Keeps (a, b) whose sets are similar: suffix filter on counts by ranges of the hash, then the exact intersection."""
-    edges = (np.arange(1, BINS, dtype=np.uint64) << np.uint64(60)).astype(np.uint64)
+    """Keeps (a, b) whose sets are similar, by their exact intersection."""
 
     def run(batches):
         for batch in batches:
             keep = []
-            last, x, bins_x = None, None, None
+            last, x = None, None
             for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                blob = left.as_buffer().to_pybytes()
-                if blob != last:
+                blob = left.as_buffer()
+                if last is None or not blob.equals(last):
                     last, x = blob, np.frombuffer(blob, np.uint64)
-                    bins_x = np.diff(np.concatenate(([0], np.searchsorted(x, edges), [len(x)])))
                 y = np.frombuffer(right.as_buffer(), np.uint64)
                 need = int(least_overlap(len(x), len(y), percent))
                 if min(len(x), len(y)) < need:
                     keep.append(False)
                     continue
-                bins_y = np.diff(np.concatenate(([0], np.searchsorted(y, edges), [len(y)])))
-                if np.minimum(bins_x, bins_y).sum() < need:
-                    keep.append(False)
-                    continue
                 at = np.searchsorted(x, y)
                 at[at == len(x)] = 0
                 keep.append(int((x[at] == y).sum()) >= need)
-            mask = np.array(keep, bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(mask)), batch.column(1).filter(pa.array(mask))], ["u", "v"])
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
     return run
 
 
 def jaccard_join(
-    docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 18, block: int = 2048, id_bits: int = 20
+    docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 18, block: int = 512, id_bits: int = 20
 ) -> DataFrame:
     """One row per document: the id column, n_shingles and component_id (the smallest id reachable by links).
 
@@ -289,14 +343,21 @@ def jaccard_join(
     source = docs.where(id_.isNotNull()).select(id_.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(bucket_counts(source.select("text"), _bucket_counts(width, sketch_bits), sketch_bits))
-    sets = written(source.mapInArrow(_sizes(width), "id long, n long, digest binary"), "sets")
-    classes = written(sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("set")), "classes")
+    sets = written(source.mapInArrow(_sizes(width), "id long, n long, digest binary, sign0 long, sign1 long, bitmap binary"), "sets")
+    classes = written(sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("set"), F.min("sign0").alias("sign0"), F.min("sign1").alias("sign1")), "classes")
     prefixes = source.mapInArrow(_prefixes(width, percent, sketch_bits, counts), "id long, n long, prefix binary")
     heads = prefixes.join(classes.select(F.col("set").alias("id")).hint("shuffle_hash"), "id", "left_semi")
     rows = heads.mapInArrow(_prefix_rows, "h long, set long, n int, pos int").repartition("h")
     rows = rows.withColumn("turn", F.xxhash64("set", F.col("h").bitwiseAND(ORDERS - 1))).sortWithinPartitions("h", "turn", "set").drop("turn")
     shared = written(rows.mapInArrow(_shared(percent), SHARED), "shared")
 
+    def near(pairs: DataFrame) -> DataFrame:
+        members = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        signed = written(sets.join(members, "id", "left_semi").select("id", "n", "bitmap").distinct(), "bitmaps")
+        left, right = (signed.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"bitmap_{k}")) for k in "ab")
+        met = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b")
+        return written(met.mapInArrow(_near(percent), "a long, b long").distinct(), "near")
+
     def verified(pairs: DataFrame) -> DataFrame:
         members = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         wanted = spark.sparkContext.broadcast(bucket_counts(members, _id_counts(id_bits), id_bits) > 0)
@@ -307,13 +368,14 @@ def jaccard_join(
 
     first = shared.where(F.col("first").isNotNull()).select(F.least("first", "set").alias("a"), F.greatest("first", "set").alias("b")).distinct()
     first = written(first, "pairs")
-    links = verified(first)
+    links = verified(near(first))
     found = connected_components(links)
-    placed = shared.join(found, shared["set"] == found["node"], "left").select("h", "set", "n", "pos", F.coalesce("component", "set").alias("component"))
+    known = classes.join(found, F.col("set") == F.col("node"), "left").groupBy("set").agg(F.min(F.coalesce("component", "set")).alias("component"), *[F.min(s).alias(s) for s in ("sign0", "sign1")], (F.count(F.lit(1)) == 1).alias("signed"))
+    placed = shared.join(known, "set").select("h", "set", "n", "pos", "component", "sign0", "sign1", "signed")
     mixed = placed.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") < F.col("most")).select("h")
     groups = placed.join(mixed, "h", "left_semi").repartition("h").sortWithinPartitions("h", "n", "set")
     crossing = groups.mapInArrow(_crossing(percent, block), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(written(crossing, "pairs")))
+    links = links.unionByName(verified(near(written(crossing, "pairs"))))
     components = connected_components(links)
     by_class = classes.join(components, F.col("set") == F.col("node"), "left").select("digest", F.coalesce("component", "set").alias("component_id"))
     return sets.join(by_class, "digest", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

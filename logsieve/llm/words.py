@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20  # texts are taken in chunks of about so many bytes; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 18  # texts are taken in chunks of about so many bytes; a longer text is a chunk of its own
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
