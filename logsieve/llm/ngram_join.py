@@ -6,7 +6,7 @@ decides how many candidates there are, never which links are found. Which docume
 as 2**id_bits flags by hashed id, again of fixed size: a document that is flagged by chance costs time and nothing else.
 
 The suffix filter bounds the difference of two sets from below: each set has a bitmap of the parity of its elements by
-bucket, and sets differ in at least as many elements as their bitmaps differ in bits. Two words of it go with the rows
+bucket, and sets differ in at least as many elements as their bitmaps differ in bits. A few words of it go with the rows
 of a group, the whole bitmap (about two bits an element) is compared before any set is moved.
 """
 
@@ -24,7 +24,8 @@ from logsieve.llm.store import written
 from logsieve.operators.overlap import connected_components
 
 BLOCKS = 16  # the bucket counts are added up in so many parts
-SIGN_BITS = 128  # of the bitmap that goes with the rows of a group
+SIGN_BITS = 256  # of the bitmap that goes with the rows of a group, in words of 64
+SIGNS = [f"sign{i}" for i in range(SIGN_BITS // 64)]
 ROWS = 1000  # rows with long values are handed over in batches of so many
 FLUSH = 1 << 17  # pairs held before they are handed over
 ORDERS = 8  # of sets, a power of two: a group's first set is that of one of so many orders, chosen by its n-gram
@@ -130,8 +131,8 @@ def _sizes(width: int):
                 signs.append(folded(bitmap, SIGN_BITS // 8))
             signs = np.array(signs, np.uint8).reshape(len(sizes), -1).view("<i8")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs[:, 0]), pa.array(signs[:, 1]), pa.array(bitmaps, pa.binary())],
-                ["id", "n", "digest", "sign0", "sign1", "bitmap"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bitmaps, pa.binary()), *map(pa.array, np.ascontiguousarray(signs.T))],
+                ["id", "n", "digest", "bitmap", *SIGNS],
             )
 
     return run
@@ -219,11 +220,11 @@ def _crossing(percent: int, block: int):
 
     def pairs(left, right) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for i in range(0, len(left[0]), block):
-            s, n, p, c, u, v, k = (x[i : i + block] for x in left)
+            s, n, p, c, k, u = (x[i : i + block] for x in left)
             for j in range(0, len(right[0]), block):
-                t, m, q, d, y, z, o = (x[j : j + block] for x in right)
+                t, m, q, d, o, v = (x[j : j + block] for x in right)
                 a, b = np.nonzero((c[:, None] != d[None]) & possible(n[:, None], p[:, None], m[None], q[None], percent))
-                apart = np.bitwise_count(u[a] ^ y[b]).astype(np.int64) + np.bitwise_count(v[a] ^ z[b])
+                apart = np.bitwise_count(u[a] ^ v[b]).sum(1, dtype=np.int64)
                 fits = (apart <= most_different(n[a], m[b], percent)) | ~(k[a] & o[b])  # an id of several texts has no sign
                 if fits.any():
                     yield s[a][fits], t[b][fits]
@@ -240,8 +241,9 @@ def _crossing(percent: int, block: int):
         current, held = None, []
         found, waiting = [], 0
         for batch in batches:
-            h, s, n, p, c, u, v = (batch.column(i).to_numpy() for i in range(7))
-            row = (s, n.astype(np.int64), p.astype(np.int64), c, u.view(np.uint64), v.view(np.uint64), batch.column(7).to_numpy(zero_copy_only=False))
+            h, s, n, p, c = (batch.column(i).to_numpy() for i in range(5))
+            signs = np.stack([batch.column(i).to_numpy() for i in range(6, 6 + len(SIGNS))], 1).view(np.uint64)
+            row = (s, n.astype(np.int64), p.astype(np.int64), c, batch.column(5).to_numpy(zero_copy_only=False), signs)
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             for a, b in zip(starts, np.append(starts[1:], len(h)), strict=True):
                 if h[a] != current:
@@ -343,23 +345,26 @@ def jaccard_join(
     source = docs.where(id_.isNotNull()).select(id_.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(bucket_counts(source.select("text"), _bucket_counts(width, sketch_bits), sketch_bits))
-    sets = written(source.mapInArrow(_sizes(width), "id long, n long, digest binary, sign0 long, sign1 long, bitmap binary"), "sets")
-    classes = written(sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("set"), F.min("sign0").alias("sign0"), F.min("sign1").alias("sign1")), "classes")
+    sets = written(source.mapInArrow(_sizes(width), ", ".join(["id long, n long, digest binary, bitmap binary", *[f"{c} long" for c in SIGNS]])), "sets")
+    classes = written(sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("set"), *[F.min(c).alias(c) for c in SIGNS]), "classes")
     prefixes = source.mapInArrow(_prefixes(width, percent, sketch_bits, counts), "id long, n long, prefix binary")
     heads = prefixes.join(classes.select(F.col("set").alias("id")).hint("shuffle_hash"), "id", "left_semi")
     rows = heads.mapInArrow(_prefix_rows, "h long, set long, n int, pos int").repartition("h")
     rows = rows.withColumn("turn", F.xxhash64("set", F.col("h").bitwiseAND(ORDERS - 1))).sortWithinPartitions("h", "turn", "set").drop("turn")
     shared = written(rows.mapInArrow(_shared(percent), SHARED), "shared")
 
+    def members_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
+
     def near(pairs: DataFrame) -> DataFrame:
-        members = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        members = members_of(pairs)
         signed = written(sets.join(members, "id", "left_semi").select("id", "n", "bitmap").distinct(), "bitmaps")
         left, right = (signed.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"bitmap_{k}")) for k in "ab")
         met = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b")
         return written(met.mapInArrow(_near(percent), "a long, b long").distinct(), "near")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        members = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        members = members_of(pairs)
         wanted = spark.sparkContext.broadcast(bucket_counts(members, _id_counts(id_bits), id_bits) > 0)
         full = written(source.mapInArrow(_full_sets(width, wanted, id_bits), "set long, elements binary"), "members")
         left, right = (full.select(F.col("set").alias(k), F.col("elements").alias(f"elements_{k}")) for k in "ab")
@@ -370,8 +375,8 @@ def jaccard_join(
     first = written(first, "pairs")
     links = verified(near(first))
     found = connected_components(links)
-    known = classes.join(found, F.col("set") == F.col("node"), "left").groupBy("set").agg(F.min(F.coalesce("component", "set")).alias("component"), *[F.min(s).alias(s) for s in ("sign0", "sign1")], (F.count(F.lit(1)) == 1).alias("signed"))
-    placed = shared.join(known, "set").select("h", "set", "n", "pos", "component", "sign0", "sign1", "signed")
+    known = classes.join(found, F.col("set") == F.col("node"), "left").groupBy("set").agg(F.min(F.coalesce("component", "set")).alias("component"), *[F.min(c).alias(c) for c in SIGNS], (F.count(F.lit(1)) == 1).alias("signed"))
+    placed = shared.join(known, "set").select("h", "set", "n", "pos", "component", "signed", *SIGNS)
     mixed = placed.groupBy("h").agg(F.min("component").alias("least"), F.max("component").alias("most")).where(F.col("least") < F.col("most")).select("h")
     groups = placed.join(mixed, "h", "left_semi").repartition("h").sortWithinPartitions("h", "n", "set")
     crossing = groups.mapInArrow(_crossing(percent, block), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
