@@ -1,27 +1,28 @@
 """Scores of texts by a context-tree model of bytes and by word frequencies, both learned from training documents.
 
 A byte is eight binary decisions. Each decision has a node for every depth of context, 0 to DEPTH previous bytes; a node
-counts zeros and ones, and the context tree weighting mixes the Krichevsky-Trofimov estimates of all depths. Nodes live in
-tables of 2**SLOT_BITS slots per depth, so the model has the same size whatever the corpus; nodes that fall into one slot
-share their counts.
+counts zeros and ones, and the context tree weighting mixes the Krichevsky-Trofimov estimates of all depths. All nodes of the
+corpus are kept: grams (a byte with the bytes before it) are counted by a shuffle, and the subtree below each context of
+SPLIT bytes is weighted in one place. What lies above has a fixed number of nodes and goes to every task.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.llm.store import written
 
 DEPTH = 5
-SLOT_BITS = 20
-BLOCKS = 16  # a depth's table travels in so many parts
+SPLIT = 3  # contexts of so many bytes are dealt over the tasks; above are at most 2**(8 * SPLIT) nodes
 FREQUENT = 1 << 18  # words with at least 1 / FREQUENT of all tokens, of which there can't be more, are sent to every task
+FREQUENT_GRAMS = 1 << 22  # likewise the scores of grams, 16 bytes each
+PART_GRAMS = 1 << 18  # subtrees are taken in parts of about so many grams
 HALF = math.log(0.5)
 
 
@@ -39,22 +40,16 @@ def kt_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(zeros + ones + 1.0)
 
 
-def slots(grams: np.ndarray, depth: int, node: np.ndarray, bits: int) -> np.ndarray:
-    """Where the nodes of one depth are: `node` is a one followed by the bits of the byte decided so far."""
-    from logsieve.llm.words import BASE, mix
+def level(depth: int) -> np.uint64:
+    """The bits of a node's key at this depth: a byte for the decisions made so far, above it the context."""
+    return np.uint64((1 << 8 * (depth + 1)) - 1)
 
-    context = (grams >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
-    where = (context << np.uint64(8)) | node
-    if depth <= 1 and bits >= 16:
-        return where.astype(np.int64)
-    return (mix(where + np.uint64(depth) * BASE) >> np.uint64(64 - bits)).astype(np.int64)
 
-
-def decisions(grams: np.ndarray):
-    """(node, bit) of the eight decisions of each gram's last byte."""
-    byte = grams & np.uint64(255)
-    for i in range(8):
-        yield (np.uint64(1) << np.uint64(i)) | (byte >> np.uint64(8 - i)), ((byte >> np.uint64(7 - i)) & np.uint64(1)).astype(np.int64)
+def decisions(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node at the full depth, bit) of the eight decisions of each gram's last byte, as 8 x n."""
+    byte, context = grams & np.uint64(255), grams & ~np.uint64(255)
+    keys = np.stack([context | np.uint64(1 << i) | (byte >> np.uint64(8 - i)) for i in range(8)])
+    return keys, np.stack([(byte >> np.uint64(7 - i)) & np.uint64(1) for i in range(8)]).astype(np.int64)
 
 
 def text_grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,127 +82,125 @@ def _merge(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return g[first], np.add.reduceat(c, first)
 
 
-def _learning(depth: int, bits: int):
-    """Per task: for each part of each depth's table the counts and the slots of the parents, deflated."""
+def _counting_grams(depth: int):
+    """Per task (gram, its number in training, its number), folded whenever many have come."""
 
     def run(batches):
         from logsieve.llm.words import text_chunks
 
-        grams, counts, size = [], [], 0
-        for batch in batches:
-            for _, data, offsets in text_chunks(batch.column(0)):
-                g, c = np.unique(text_grams(data, offsets, depth)[0], return_counts=True)
-                grams.append(g)
-                counts.append(c)
-                size += len(g)
-                if size > 1 << 22:
+        kept: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
+
+        def fold():
+            for held, (grams, counts) in kept.items():
+                if grams:
                     g, c = _merge(grams, counts)
-                    grams, counts, size = [g], [c], len(g)
-        if not size:
-            return
-        g, c = _merge(grams, counts)
-        for d in range(depth + 1):
-            table, parent = np.zeros(2 << bits), np.zeros(1 << bits, np.int32)
-            for node, bit in decisions(g):
-                where = slots(g, d, node, bits)
-                table += np.bincount(2 * where + bit, c, 2 << bits)
-                if d:
-                    np.maximum.at(parent, where, slots(g, d - 1, node, bits).astype(np.int32))
-            rows = [(d * BLOCKS + i, zlib.compress(t.astype("<u8").tobytes(), 1), zlib.compress(p.astype("<i4").tobytes(), 1)) for i, (t, p) in enumerate(zip(table.reshape(BLOCKS, -1), parent.reshape(BLOCKS, -1), strict=True))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "counts", "parents"])
+                    zero = np.zeros(len(c), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(zero if held else c), pa.array(c)], ["gram", "c", "n"])
+                    grams.clear()
+                    counts.clear()
 
-    return run
+        size = 0
+        for batch in batches:
+            held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for flag in (False, True):
+                for _, data, offsets in text_chunks(batch.column(0).filter(pa.array(held == flag))):
+                    g, c = np.unique(text_grams(data, offsets, depth)[0], return_counts=True)
+                    kept[flag][0].append(g)
+                    kept[flag][1].append(c)
+                    size += len(g)
+                    if size > 1 << 23:
+                        yield from fold()
+                        size = 0
+        yield from fold()
 
+    return run
 
-def _adding(batches):
-    """Sorted by part: the sum of the counts and the largest parent."""
 
-    def row(part, counts, parents):
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary()), pa.array([zlib.compress(parents.tobytes(), 1)], pa.binary())], ["part", "counts", "parents"])
+def weigh(keys, zeros, ones, below, depth: int, least: int):
+    """Nodes of the depths from `depth` down to `least`: for each depth (keys, log odds of a one, weight of the own estimate).
 
-    part, counts, parents = None, None, None
-    for batch in batches:
-        for key, c, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            c, p = np.frombuffer(zlib.decompress(c), "<u8"), np.frombuffer(zlib.decompress(p), "<i4")
-            if key != part:
-                if part is not None:
-                    yield row(part, counts, parents)
-                part, counts, parents = key, c.copy(), p.copy()
-            else:
-                counts += c
-                np.maximum(parents, p, out=parents)
-    if part is not None:
-        yield row(part, counts, parents)
-
-
-def learn(texts: DataFrame, depth: int = DEPTH, bits: int = SLOT_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each depth (log odds of a one, weight of the node's own estimate); odds are NaN where nothing was seen.
-
-    The weights come bottom-up: P(node) = (KT(node) + product of P(children)) / 2, at the last depth KT(node) alone. The
-    tables have a fixed size: (depth + 1) x 2**bits slots of 8 bytes.
+    P(node) = (KT(node) + product of P(children)) / 2, at the last depth KT(node) alone (`below` None). Odds are NaN where
+    nothing was seen. Also returned: keys, zeros, ones and log P of the nodes of the depth `least`.
     """
-    schema = "part int, counts binary, parents binary"
-    summed = written(texts.mapInArrow(_learning(depth, bits), schema).repartition((depth + 1) * BLOCKS, "part").sortWithinPartitions("part").mapInArrow(_adding, schema), "contexts")
-    model, below = [], None
-    for d in range(depth, -1, -1):
-        counts, parents = np.zeros((BLOCKS, (2 << bits) // BLOCKS)), np.zeros((BLOCKS, (1 << bits) // BLOCKS), np.int32)
-        for r in summed.where((F.col("part") >= d * BLOCKS) & (F.col("part") < (d + 1) * BLOCKS)).collect():  # one depth's table
-            counts[r["part"] % BLOCKS] = np.frombuffer(zlib.decompress(r["counts"]), "<u8")
-            parents[r["part"] % BLOCKS] = np.frombuffer(zlib.decompress(r["parents"]), "<i4")
-        zeros, ones = counts.reshape(-1, 2).T
+    levels = []
+    for d in range(depth, least - 1, -1):
+        keys, at = np.unique(keys & level(d), return_inverse=True)
+        at = at.reshape(-1)
+        zeros, ones = np.bincount(at, zeros, len(keys)), np.bincount(at, ones, len(keys))
         seen = zeros + ones > 0
         own = np.where(seen, kt_log(zeros, ones), 0.0)
-        whole = own if below is None else np.logaddexp(HALF + own, HALF + below)
-        weight = np.ones_like(own) if below is None else np.exp(HALF + own - whole)
-        odds = np.where(seen, np.log((ones + 0.5) / (zeros + 0.5)), np.nan)
-        model.append((odds.astype(np.float32), weight.astype(np.float32)))
-        below = np.bincount(parents.reshape(-1)[seen], whole[seen], 1 << bits) if d else None
-    return model[::-1]
-
-
-def log10_of_bytes(grams: np.ndarray, model, bits: int) -> np.ndarray:
-    """Log10 probability of each gram's last byte after the bytes before it."""
-    total = np.zeros(len(grams))
-    for node, bit in decisions(grams):
-        sign = np.where(bit == 1, -1.0, 1.0)
-        p = np.full(len(grams), np.nan)
-        for d in range(len(model) - 1, -1, -1):
-            where = slots(grams, d, node, bits)
-            odds, weight = model[d][0][where].astype(np.float64), model[d][1][where].astype(np.float64)
-            own = 1.0 / (1.0 + np.exp(sign * odds))
-            mixed = np.where(np.isnan(p), own, weight * own + (1.0 - weight) * p)
-            p = np.where(np.isnan(odds), p, mixed)
-        total += np.log10(np.where(np.isnan(p), 0.5, p))
-    return total
-
-
-class GramScores:
-    """Scores of grams, kept for a task: most grams of a chunk came before. Bounded to `most` grams."""
-
-    def __init__(self, model, bits: int, most: int = 1 << 22):
-        self.model, self.bits, self.most = model, bits, most
-        self.grams, self.scores = np.zeros(0, np.uint64), np.zeros(0)
-        self.new: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def of(self, grams: np.ndarray) -> np.ndarray:
-        """For distinct sorted grams."""
-        out = np.empty(len(grams))
-        at = np.searchsorted(self.grams, grams)
-        known = np.zeros(len(grams), bool)
-        inside = at < len(self.grams)
-        known[inside] = self.grams[at[inside]] == grams[inside]
-        out[known] = self.scores[at[known]]
-        fresh = grams[~known]
-        out[~known] = scores = log10_of_bytes(fresh, self.model, self.bits)
-        self.new.append((fresh, scores))
-        if sum(len(g) for g, _ in self.new) > len(self.grams) // 16:
-            every = np.concatenate([self.grams, *(g for g, _ in self.new)])
-            values = np.concatenate([self.scores, *(v for _, v in self.new)])
-            self.grams, first = np.unique(every, return_index=True)
-            self.scores, self.new = values[first], []
-            if len(self.grams) > self.most:
-                self.grams, self.scores = np.zeros(0, np.uint64), np.zeros(0)
-        return out
+        if below is None:
+            whole, weight = own, np.ones_like(own)
+        else:
+            below = np.bincount(at, below, len(keys))
+            whole = np.logaddexp(HALF + own, HALF + below)
+            weight = np.exp(HALF + own - whole)
+        levels.append((d, keys, np.where(seen, np.log((ones + 0.5) / (zeros + 0.5)), np.nan), weight))
+        below = whole
+    return levels, (keys, zeros, ones, below)
+
+
+def mixed(keys: np.ndarray, bits: np.ndarray, levels, p: np.ndarray) -> np.ndarray:
+    """Probability of the bits at the nodes, mixed upwards from `p`; nodes that saw nothing have no say."""
+    sign = np.where(bits == 1, -1.0, 1.0)
+    for d, nodes, odds, weight in levels:
+        at = np.searchsorted(nodes, keys & level(d))
+        own = 1.0 / (1.0 + np.exp(sign * odds[at]))
+        both = np.where(np.isnan(p), own, weight[at] * own + (1.0 - weight[at]) * p)
+        p = np.where(np.isnan(own), p, both)
+    return p
+
+
+def _subtrees(depth: int, split: int, top=None):
+    """Over grams sorted by their last `split` context bytes: sums for the nodes above or, given those, scores of the grams."""
+
+    def part(gram, c, n):
+        grams = gram.view(np.uint64)
+        keys, bits = decisions(grams)
+        keys, bits, count = keys.reshape(-1), bits.reshape(-1), np.tile(c.astype(float), 8)
+        levels, (nodes, zeros, ones, whole) = weigh(keys, count * (1 - bits), count * bits, None, depth, split)
+        if top is None:
+            nodes, at = np.unique(nodes & level(split - 1), return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), *(pa.array(np.bincount(at.reshape(-1), x, len(nodes))) for x in (zeros, ones, whole))], ["node", "zeros", "ones", "below"])
+        p = mixed(keys, bits, [*levels, *top.value], np.full(len(keys), np.nan))
+        score = np.log10(np.where(np.isnan(p), 0.5, p)).reshape(8, -1).sum(axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n), pa.array(score)], ["gram", "n", "score"])
+
+    def run(batches):
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append([batch.column(i).to_numpy() for i in range(3)])
+            size += batch.num_rows
+            if size > PART_GRAMS:
+                gram, c, n = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                context = gram.view(np.uint64) & (level(split) ^ np.uint64(255))
+                borders = np.flatnonzero(context[1:] != context[:-1])
+                cut = int(borders[-1]) + 1 if len(borders) else 0
+                if cut:
+                    yield part(gram[:cut], c[:cut], n[:cut])
+                waiting, size = [[gram[cut:], c[cut:], n[cut:]]], 0  # a group goes on with the next rows
+        if waiting:
+            rows = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            if len(rows[0]):
+                yield part(*rows)
+
+    return run
+
+
+def score_grams(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, n, score) of the distinct grams (gram, c, n): log10 probability of the last byte after the others.
+
+    The model is learned from the counts `c`; n is handed on. Only the nodes above the split come to the driver: at most
+    2**(8 * SPLIT), 32 bytes each, and far fewer where bytes are those of text.
+    """
+    spark, split = grams.sparkSession, min(SPLIT, depth)
+    context = F.shiftrightunsigned("gram", 8).bitwiseAND((1 << 8 * split) - 1)
+    dealt = grams.select("gram", "c", "n").repartition(context).sortWithinPartitions(context)
+    summed = dealt.mapInArrow(_subtrees(depth, split), "node long, zeros double, ones double, below double").groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
+    above = summed.select("node", "zeros", "ones", "below").toArrow()
+    node, zeros, ones, below = (above.column(i).to_numpy() for i in range(4))
+    levels, _ = weigh(node.astype(np.int64).view(np.uint64), zeros, ones, below, split - 1, 0)
+    return dealt.mapInArrow(_subtrees(depth, split, spark.sparkContext.broadcast(levels)), "gram long, n long, score double")
 
 
 def _counting(batches):
@@ -223,59 +216,72 @@ def _counting(batches):
 END = np.int64(0)  # the hash that stands for the end of a text
 
 
-def _scoring(frequent, model, bits: int, depth: int):
-    def run(batches):
-        from logsieve.llm.words import text_chunks, word_hashes
+RARE = pa.struct([("is_gram", pa.bool_()), ("key", pa.int64()), ("n", pa.int32())])
 
-        words, logs = frequent.value
-        scores = GramScores(model.value, bits)
-        for batch in batches:
-            out = []
-            for _, data, offsets in text_chunks(batch.column(1)):
-                h, bounds = word_hashes(data, offsets)
-                h = h.view(np.int64)
-                at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                known = words[at] == h
-                value = np.where(known, logs[at], math.log10(0.5))
-                sums, hits = np.concatenate(([0.0], np.cumsum(value))), np.concatenate(([0], np.cumsum(known)))
-                grams, ends = text_grams(data, offsets, depth)
-                distinct, back = np.unique(grams, return_inverse=True)
-                each = np.concatenate(([0.0], np.cumsum(scores.of(distinct)[back])))
-                out.append((np.diff(bounds), np.diff(hits[bounds]), np.diff(sums[bounds]), np.diff(each[ends]), np.diff(ends)))
-            if out:
-                n, k, base, score, size = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(k.astype(np.int64)), pa.array(base), pa.array(score), pa.array(size.astype(np.int64))], ["id", "row", "words", "hits", "base", "score", "symbols"])
 
-    return run
+def _looked_up(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(value or 0, found) of sorted keys."""
+    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    found = table[0][at] == keys
+    return np.where(found, table[1][at], 0.0), found
+
 
+def _per_text(keys: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, number) of the distinct keys of each text."""
+    order = np.lexsort((keys, which))
+    keys, which = keys[order], which[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (which[1:] != which[:-1]))))
+    return which[first], keys[first], np.diff(np.append(first, len(keys)))
 
-def _rare(frequent):
-    """(word, id, row, n) of the words that are not frequent."""
+
+def _scoring(frequent, depth: int):
+    """Per text: place (unique), id, counts, the parts of both scores from frequent words and grams, and the rare ones."""
 
     def run(batches):
         from logsieve.llm.words import text_chunks, word_hashes
 
-        words, _ = frequent.value
+        words, grams = frequent.value
+        place = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, rows = batch.column(0), batch.column(2).to_numpy()
-            for first, data, offsets in text_chunks(batch.column(1)):
+            for row, data, offsets in text_chunks(batch.column(1)):
+                m = len(offsets) - 1
                 h, bounds = word_hashes(data, offsets)
-                h = h.view(np.int64)
-                doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                rare = words[np.minimum(np.searchsorted(words, h), len(words) - 1)] != h
-                h, doc = h[rare], doc[rare]
-                if not len(h):
-                    continue
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                start = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))))
-                n = np.diff(np.append(start, len(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[start]), ids.take(pa.array(first + doc[start])), pa.array(rows[first + doc[start]]), pa.array(n.astype(np.int32))], ["word", "id", "row", "n"])
+                distinct, back = np.unique(h.view(np.int64), return_inverse=True)
+                value, known = _looked_up(distinct, words)
+                value, known = np.where(known, value, math.log10(0.5))[back], known[back]
+                base, hits = np.concatenate(([0.0], np.cumsum(value)))[bounds], np.concatenate(([0], np.cumsum(known)))[bounds]
+                g, ends = text_grams(data, offsets, depth)
+                each, back_g = np.unique(g.view(np.int64), return_inverse=True)
+                value, found = _looked_up(each, grams)
+                score = np.concatenate(([0.0], np.cumsum(value[back_g])))[ends]
+                texts = np.arange(m)
+                missing = np.flatnonzero(~known)
+                missing_g = np.flatnonzero(~found[back_g])
+                a = _per_text(distinct[back[missing]], np.repeat(texts, np.diff(bounds))[missing])
+                b = _per_text(each[back_g[missing_g]], np.repeat(texts, np.diff(ends))[missing_g])
+                text, key, n = (np.concatenate(x) for x in zip(a, b, strict=True))
+                kind = np.repeat([False, True], [len(a[0]), len(b[0])])
+                order = np.argsort(text, kind="stable")
+                inner = pa.StructArray.from_arrays([pa.array(kind[order]), pa.array(key[order]), pa.array(n[order].astype(np.int32))], fields=list(RARE))
+                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[order], np.arange(m + 1)).astype(np.int32)), inner)
+                numbers = [np.diff(bounds), np.diff(hits), np.diff(base), np.diff(score), np.diff(ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(place + texts), batch.column(0).slice(row, m), *map(pa.array, numbers), rare], ["place", "id", "words", "hits", "base", "score", "symbols", "rare"])
+                place += m
 
     return run
 
 
-def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, bits: int = SLOT_BITS) -> DataFrame:
+def _sorted_values(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns, key and value, as arrays sorted by key; never empty."""
+    table = rows.toArrow()
+    if not table.num_rows:
+        return np.array([END]), np.zeros(1)
+    keys, values = (table.column(i).to_numpy() for i in range(2))
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
     Documents with crc32(id as text) modulo `folds` equal to `held_fold` are held out, the others are learned from. Scores
@@ -286,39 +292,39 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, id_col:
     come, in learning too, and are scored alike. Other columns are ignored; an empty table gives no rows, and a table without
     training documents scores every decision by one half. Ids must be integers.
 
-    Words are 64-bit hashes. Frequent words (at most FREQUENT, since each has that share of all tokens) are looked up in
-    every task; the rows of the others meet their counts in a join, where no word is hot any more.
+    Words are 64-bit hashes. Frequent words and grams (at most FREQUENT and FREQUENT_GRAMS, since each has that share of all)
+    are looked up in every task; the others meet their values in a join, where no key is hot any more. Nodes and scores of
+    all grams are tables that grow with the corpus.
     """
     spark = docs.sparkSession
     id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     held = F.coalesce(F.crc32(id_.cast("string")) % folds == held_fold, F.lit(False))
-    source = docs.select(id_.alias("id"), text.alias("text"), F.xxhash64(text).alias("row"), held.alias("held"))
-    training = source.where(~F.col("held")).select("text")
-    counts = written(training.mapInArrow(_counting, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("vocabulary")).first()
-    tokens, vocabulary = total["tokens"], total["vocabulary"]
-    often = counts.where(F.col("c") >= max(1.0, tokens / FREQUENT)).orderBy("word").collect()
-    words = np.array([r["word"] for r in often], np.int64) if often else np.array([END])
-    logs = np.log10(np.array([r["c"] for r in often] if often else [0], float) + 0.5)
-    frequent = spark.sparkContext.broadcast((words, logs))
-    tables = spark.sparkContext.broadcast(learn(training, depth, bits))
-    scored = written(source.select("id", "text", "row").mapInArrow(_scoring(frequent, tables, bits, depth), "id long, row long, words long, hits long, base double, score double, symbols long"), "scores")
-
-    rare = source.select("id", "text", "row").mapInArrow(_rare(frequent), "word long, id long, row long, n int")
-    other = counts.where(F.col("c") < max(1.0, tokens / FREQUENT))
-    gain = F.col("n") * (F.log10(F.col("c") + 0.5) - math.log10(0.5))
-    more = rare.join(other, "word").groupBy("id", "row").agg(F.sum("n").alias("more_hits"), F.sum(gain).alias("more_base"))
-    copies = scored.groupBy("id", "row").agg(F.count(F.lit(1)).alias("copies"))
-    more = more.join(copies, more["id"].eqNullSafe(copies["id"]) & (more["row"] == copies["row"])).select(
-        more["id"].alias("more_id"), more["row"].alias("more_row"), (F.col("more_hits") / F.col("copies")).cast("long").alias("more_hits"), (F.col("more_base") / F.col("copies")).alias("more_base")
-    )
-    met = scored.join(more, F.col("id").eqNullSafe(F.col("more_id")) & (F.col("row") == F.col("more_row")), "left")
-    end = int(counts.where(F.col("word") == int(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    source = docs.select(id_.alias("id"), text.alias("text"), held.alias("held"))
+    counts = written(source.where(~F.col("held")).select("text").mapInArrow(_counting, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    end_count = F.coalesce(F.sum(F.when(F.col("word") == int(END), F.col("c"))), F.lit(0))
+    tokens, vocabulary, end = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), end_count).first()
+    gram_counts = source.select("text", "held").mapInArrow(_counting_grams(depth), "gram long, c long, n long").groupBy("gram").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    grams = written(score_grams(written(gram_counts, "grams"), depth), "gram-scores")
+    symbols = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    often, often_grams = F.col("c") >= max(1.0, tokens / FREQUENT), F.col("n") >= max(1.0, symbols / FREQUENT_GRAMS)
+    gain = F.log10(F.col("c") + 0.5)
+    frequent = spark.sparkContext.broadcast((_sorted_values(counts.where(often).select("word", gain)), _sorted_values(grams.where(often_grams).select("gram", "score"))))
+    schema = "place long, id long, words long, hits long, base double, score double, symbols long, rare array<struct<is_gram: boolean, key: long, n: int>>"
+    scored = written(source.select("id", "text").mapInArrow(_scoring(frequent, depth), schema), "scores")
+
+    none = F.lit(0.0)
+    values = counts.where(~often).select(F.lit(False).alias("is_gram"), F.col("word").alias("key"), F.lit(1).alias("hit"), (gain - math.log10(0.5)).alias("to_base"), none.alias("to_score"))
+    values = values.unionByName(grams.where(~often_grams).select(F.lit(True).alias("is_gram"), F.col("gram").alias("key"), F.lit(0).alias("hit"), none.alias("to_base"), F.col("score").alias("to_score")))
+    more = scored.select("place", F.inline("rare")).join(values, ["is_gram", "key"]).groupBy("place")
+    more = more.agg(*(F.sum(F.col("n") * F.col(c)).alias(f"more_{c}") for c in ("hit", "to_base", "to_score")))
+    met = scored.drop("rare").join(more, "place", "left")
     spread = math.log10(tokens + 0.5 * (vocabulary + 1))
     n_tokens = F.col("words") + 1
-    base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) + math.log10(end + 0.5) - n_tokens * spread
+    base = F.col("base") + F.coalesce("more_to_base", none) + math.log10(end + 0.5) - n_tokens * spread
+    score = F.col("score") + F.coalesce("more_to_score", none)
     return met.select(
         F.col("id").alias(id_col), F.coalesce(F.crc32(F.col("id").cast("string")) % folds == held_fold, F.lit(False)).alias("held_out"), n_tokens.alias("n_tokens"),
-        (F.col("hits") + F.coalesce("more_hits", F.lit(0)) + int(end > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"), F.col("score"), (-F.col("score") / math.log10(2) / F.col("symbols")).alias("bits_per_byte"),
+        (F.col("hits") + F.coalesce("more_hit", F.lit(0)) + int(end > 0)).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        base.alias("base_score"), score.alias("score"), (-score / math.log10(2) / F.col("symbols")).alias("bits_per_byte"),
     )

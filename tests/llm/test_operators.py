@@ -333,7 +333,7 @@ def test_vectors(spark):
 
 
 def test_language_model(spark, docs, odd_rows):
-    got = {r.doc_id: r for r in language_model.score_documents(docs, bits=16).collect()}
+    got = {r.doc_id: r for r in language_model.score_documents(docs).collect()}
     tokens = {i: [*WORD.findall(lower(t or "")), None] for i, t in enumerate(texts())}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
     train = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
@@ -342,14 +342,15 @@ def test_language_model(spark, docs, odd_rows):
         assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held[i], len(ws), sum(train[w] > 0 for w in ws), n)
         assert got[i].base_score == pytest.approx(sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws))
         assert got[i].score < 0
-    assert language_model.score_documents(odd_rows, bits=16).count() == odd_rows.count()
-    assert language_model.score_documents(empty(docs), bits=16).count() == 0
+    assert language_model.score_documents(odd_rows).count() == odd_rows.count()
+    assert language_model.score_documents(empty(docs)).count() == 0
 
 
-def test_context_tree_against_recursion(spark):
+@pytest.mark.parametrize("depth", [2, 5])
+def test_context_tree_against_recursion(spark, depth):
     """Weights and mixture by the definition, over dictionaries, on a short text; probabilities of all bytes sum to 1."""
-    train, depth, bits = ["abracadabra abracadabra", "abba"], 2, 20
-    model = language_model.learn(spark.createDataFrame([(t,) for t in train], "text string"), depth, bits)
+    train, tested = ["abracadabra abracadabra", "abba"], ["abra", "cab zz", ""]
+    context = int.from_bytes(b"acadabra"[-depth:], "big") << 8
     counts = [defaultdict(lambda: [0, 0]) for _ in range(depth + 1)]
 
     def steps(text):
@@ -384,12 +385,27 @@ def test_context_tree_against_recursion(spark):
                 p = own if p is None else w * own + (1 - w) * p
         return 0.5 if p is None else p
 
-    for text in ("abra", "cab zz", ""):
+    def counted(text):
+        return Counter(language_model.text_grams(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), depth)[0].tolist())
+
+    learned = sum((counted(t) for t in train), Counter())
+    keys = {*learned, *(context | b for b in range(256)), *(g for t in tested for g in counted(t))}
+    table = spark.createDataFrame([(g, learned[g], 1) for g in keys], "gram long, c long, n long")
+    scores = {r.gram: r.score for r in language_model.score_grams(table, depth).collect()}
+    for text in tested:
         expected = sum(math.log10(predict(*s)) for s in steps(text))
-        grams, _ = language_model.text_grams(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), depth)
-        assert language_model.log10_of_bytes(grams, model, bits).sum() == pytest.approx(expected, rel=1e-5)
-    every = (np.uint64(0x6261) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-    assert (10 ** language_model.log10_of_bytes(every, model, bits)).sum() == pytest.approx(1, abs=1e-5)
+        assert sum(scores[g] * n for g, n in counted(text).items()) == pytest.approx(expected, rel=1e-9)
+    assert sum(10 ** scores[context | b] for b in range(256)) == pytest.approx(1)
+
+
+def test_rare_words_and_grams_score_alike(spark, docs, monkeypatch):
+    """What is sent to all tasks and what is joined give the same scores, also where subtrees come in many parts."""
+    rows = docs.unionByName(docs.limit(3))
+    once = sorted(language_model.score_documents(rows).collect())
+    for name, value in (("FREQUENT", 5), ("FREQUENT_GRAMS", 40)):
+        monkeypatch.setattr(language_model, name, value)
+    for a, b in zip(once, sorted(language_model.score_documents(rows).collect()), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
 
 
 def test_model_predicts_held_out_text(spark):
