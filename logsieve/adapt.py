@@ -192,11 +192,14 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines, document lines and page sources together: everything that may hold indicators."""
-    columns = ["entry_id", "file_id", "message"]
+
+    def named(prefix: str, key: str):
+        return F.concat(F.lit(prefix), F.col(key).cast("string"))
+
     pages = table(spark, sf_dir, "pages").select(
-        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("entry_id"),
-        (F.col("page_id") + 1_000_000).alias("file_id"),
+        named("p", "page_id").alias("entry_id"),
+        named("page-", "page_id").alias("file_id"),
         F.col("url").alias("message"),
     )
-    lines = entries(spark, sf_dir).select("entry_id", (F.col("file_id") + 2_000_000).alias("file_id"), "message")
-    return messages(spark, sf_dir).select(*columns).union(pages).union(lines)
+    lines = entries(spark, sf_dir).select("entry_id", named("document-", "file_id").alias("file_id"), "message")
+    return messages(spark, sf_dir).select("entry_id", named("user-", "file_id").alias("file_id"), "message").union(pages).union(lines)

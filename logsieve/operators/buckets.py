@@ -131,13 +131,13 @@ def type_correlation(
     ts: str = "ts",
     min_events: int = 5,
     above: float = 0.7,
-    max_bins: int | None = 100,
+    max_bins: int | None = None,
     bin_seconds: int = 60,
 ) -> DataFrame:
     """Pearson correlation of the per-minute counts of each pair of event types.
 
-    The bins of a pair start at its first event and are clamped to 10..max_bins, so a
-    pair sees only its first `max_bins` minutes unless the clamp is lifted. Types are
+    The bins of a pair start at its first event and reach to its last one, ten at least.
+    With `max_bins` a pair sees only its first `max_bins` minutes. Types are
     counted per microsecond-aligned bin offset of each pair start, which is one of the
     two type starts; all sums of the correlation come from those counts.
     """

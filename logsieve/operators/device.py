@@ -45,12 +45,12 @@ def is_denial(message: Column) -> Column:
     return contains_any(F.lower(message), ("permission denied", "not granted"))
 
 
-def process_profile(df: DataFrame, limit: int | None = 10) -> DataFrame:
-    """Messages, tags and time covered per process."""
+def process_profile(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Messages, tags and time covered per process; with a limit the busiest ones, in order."""
     per = df.groupBy("pid").agg(
         F.count(F.lit(1)).alias("message_count"), F.count_distinct("tag").alias("tags"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     ).withColumn("duration_seconds", (F.unix_micros("last_ts") - F.unix_micros("first_ts")) / 1e6)
-    return per.orderBy(F.desc("message_count"), "pid").limit(limit) if limit else per
+    return per.orderBy(F.desc("message_count"), "pid").limit(limit) if limit is not None else per
 
 
 def pattern_alerts(df: DataFrame, keep: tuple[str, ...], message: str = "message") -> DataFrame:

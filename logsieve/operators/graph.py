@@ -113,17 +113,18 @@ def path_events(paths: DataFrame, linked: DataFrame, min_events: int = 3) -> Dat
     return paths.join(counts, ["start", "end", "position"])
 
 
-def graph_nodes(edges: DataFrame, limit: int | None = 500) -> DataFrame:
-    """Nodes with degree and centrality, the best connected first."""
+def graph_nodes(edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """Nodes with degree and centrality; with a limit the best connected ones, in order."""
     nodes = degrees(edges)
     sized = with_scalars(nodes, nodes.agg(F.count(F.lit(1)).alias("_n")))
     out = sized.select("node", "degree", (F.col("degree") / (F.col("_n") - 1)).alias("centrality"))
-    return out.orderBy(F.desc("degree"), "node").limit(limit) if limit else out
+    return out.orderBy(F.desc("degree"), "node").limit(limit) if limit is not None else out
 
 
-def graph_edges(edges: DataFrame, limit: int | None = 1000) -> DataFrame:
+def graph_edges(edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """Edges with their weight; with a limit the heaviest ones, in order."""
     out = edges.select("src", "dst", "weight")
-    return out.orderBy(F.desc("weight"), "src", "dst").limit(limit) if limit else out
+    return out.orderBy(F.desc("weight"), "src", "dst").limit(limit) if limit is not None else out
 
 
 def graph_size(edges: DataFrame) -> DataFrame:

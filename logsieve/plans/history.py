@@ -144,9 +144,9 @@ def apply_annotations(history: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def retain(
-    history: DataFrame, newest: int | None = 10_000, days: int | None = None, as_of: Column | None = None, deleted: DataFrame | None = None
+    history: DataFrame, newest: int | None = None, days: int | None = None, as_of: Column | None = None, deleted: DataFrame | None = None
 ) -> DataFrame:
-    """History without deleted ids and rows older than `days`, cut to the newest rows.
+    """History without deleted ids, rows older than `days` and all but the `newest` rows, each where asked for.
 
     The cut is a sort with a limit, which Spark takes per partition before merging.
     """

@@ -118,17 +118,22 @@ def type_correlation_sql(bins: str, above: str) -> str:
         f""", sp AS (SELECT event_type AS t, min(us) AS f, max(us) AS l FROM log_events GROUP BY 1 HAVING count(*) >= 5),
         p AS (SELECT a.t AS ta, b.t AS tb, least(a.f, b.f) AS st, {bins} AS bins FROM sp a JOIN sp b ON a.t < b.t),
         spine AS (SELECT *, unnest(range(CAST(bins AS BIGINT))) AS bin FROM p),
-        c AS (SELECT spine.*, count(*) FILTER (event_type = ta) AS x, count(*) FILTER (event_type = tb) AS y
-              FROM spine LEFT JOIN log_events e ON e.event_type IN (ta, tb) AND (e.us - st) // 60000000 = bin
-              GROUP BY ALL)
+        h AS (SELECT ta, tb, (e.us - st) // 60000000 AS bin, count(*) FILTER (event_type = ta) AS nx, count(*) FILTER (event_type = tb) AS ny
+              FROM p JOIN log_events e ON e.event_type IN (ta, tb) GROUP BY ALL),
+        c AS (SELECT spine.*, coalesce(nx, 0) AS x, coalesce(ny, 0) AS y FROM spine LEFT JOIN h USING (ta, tb, bin))
         SELECT ta AS type_a, tb AS type_b, round(greatest(coalesce(corr(x, y), 0), 0), 6) AS correlation FROM c
         GROUP BY 1, 2 HAVING greatest(coalesce(corr(x, y), 0), 0) > {above}""",
     )
 
 
-@query(
-    "type_correlation",
-    type_correlation_sql("least(greatest(10, (greatest(a.l, b.l) - least(a.f, b.f)) // 60000000), 100)", "-1"),
-)
+MINUTES = "greatest(10, (greatest(a.l, b.l) - least(a.f, b.f)) // 60000000)"
+
+
+@query("type_correlation", type_correlation_sql(f"{MINUTES} + 1", "-1"))
 def type_correlation(spark, sf_dir):
     return rounded(buckets.type_correlation(adapt.log_events(spark, sf_dir), above=-1))
+
+
+@query("type_correlation_first_bins", type_correlation_sql(f"least({MINUTES}, 100)", "-1"))
+def type_correlation_first_bins(spark, sf_dir):
+    return rounded(buckets.type_correlation(adapt.log_events(spark, sf_dir), above=-1, max_bins=100))

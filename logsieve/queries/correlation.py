@@ -220,18 +220,25 @@ def graph_pivots(spark, sf_dir):
     return rounded(graph.graph_pivots(named(spark, sf_dir), "entry_id", centrality=0.05))
 
 
-@query(
-    "graph_nodes",
-    s.with_ctes(
-        "messages",
-        PAIRS_SQL + """, d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM ge UNION ALL SELECT dst FROM ge) GROUP BY 1)
-        SELECT node, degree, round(degree / ((SELECT count(*) FROM d) - 1), 6) AS centrality FROM d ORDER BY degree DESC, node LIMIT 100""",
-    ),
-)
+NODES_SQL = PAIRS_SQL + """, d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM ge UNION ALL SELECT dst FROM ge) GROUP BY 1)
+        SELECT node, degree, round(degree / ((SELECT count(*) FROM d) - 1), 6) AS centrality FROM d"""
+
+
+@query("graph_nodes", s.with_ctes("messages", NODES_SQL))
 def graph_nodes(spark, sf_dir):
+    return rounded(graph.graph_nodes(graph.entity_edges(named(spark, sf_dir))))
+
+
+@query("graph_top_nodes", s.with_ctes("messages", NODES_SQL + " ORDER BY degree DESC, node LIMIT 100"))
+def graph_top_nodes(spark, sf_dir):
     return rounded(graph.graph_nodes(graph.entity_edges(named(spark, sf_dir)), limit=100))
 
 
+@query("graph_edges", s.with_ctes("messages", PAIRS_SQL + " SELECT src, dst, weight FROM ge"))
+def graph_edges(spark, sf_dir):
+    return graph.graph_edges(graph.entity_edges(named(spark, sf_dir)))
+
+
 @query(
     "graph_size",
     s.with_ctes(

@@ -30,17 +30,19 @@ DEVICE_SQL = f""", de AS (SELECT entry_id, us, file_id % 40 AS pid, CASE WHEN k
     [{', '.join(s.text(m) for m in MESSAGES)}][k % {len(MESSAGES)} + 1] AS message FROM messages)"""
 
 
-@query(
-    "device_process_profile",
-    s.with_ctes(
-        "messages",
-        DEVICE_SQL + """ SELECT pid, count(*) AS message_count, count(DISTINCT tag) AS tags, round((max(us) - min(us)) / 1e6, 6) AS duration_seconds FROM de GROUP BY 1 ORDER BY message_count DESC, pid LIMIT 10""",
-    ),
-)
+PROFILE_SQL = DEVICE_SQL + """ SELECT pid, count(*) AS message_count, count(DISTINCT tag) AS tags, round((max(us) - min(us)) / 1e6, 6) AS duration_seconds FROM de GROUP BY 1"""
+
+
+@query("device_process_profile", s.with_ctes("messages", PROFILE_SQL))
 def device_process_profile(spark, sf_dir):
     return rounded(device.process_profile(entries(spark, sf_dir)).drop("first_ts", "last_ts"))
 
 
+@query("device_busiest_processes", s.with_ctes("messages", PROFILE_SQL + " ORDER BY message_count DESC, pid LIMIT 10"))
+def device_busiest_processes(spark, sf_dir):
+    return rounded(device.process_profile(entries(spark, sf_dir), limit=10).drop("first_ts", "last_ts"))
+
+
 def _category_sql(name, patterns):
     first = "CASE " + " ".join(f"WHEN regexp_matches(message, {s.text('(?i)' + p)}) THEN {s.text(p)}" for p in patterns) + " END"
     level = "critical" if name in device.CRITICAL_CATEGORIES else "warning"

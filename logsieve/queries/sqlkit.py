@@ -80,9 +80,9 @@ CTES = {
 
 
 CTES["corpus"] = f"""
-        SELECT entry_id, file_id, message FROM ({CTES['messages']}) UNION ALL
-        SELECT 'p' || page_id, page_id + 1000000, url FROM pages UNION ALL
-        SELECT entry_id, file_id + 2000000, message FROM ({CTES['entries']})"""
+        SELECT entry_id, 'user-' || file_id AS file_id, message FROM ({CTES['messages']}) UNION ALL
+        SELECT 'p' || page_id, 'page-' || page_id, url FROM pages UNION ALL
+        SELECT entry_id, 'document-' || file_id, message FROM ({CTES['entries']})"""
 
 # \\b of RE2 knows ASCII only: letters and digits outside ASCII become a word character,
 # everything else outside ASCII a blank
