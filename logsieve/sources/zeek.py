@@ -40,11 +40,15 @@ LARGE_FILE = 100 * 1024 * 1024
 DNS_TLDS = (".tk", ".ml", ".ga", ".cf")
 
 
-def read_header(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
-    """Field names and types from the comment lines at the top."""
-    head = [r.value for r in spark.read.text(path).where("value LIKE '#fields%' OR value LIKE '#types%'").limit(2).collect()]
-    rows = {line.split("\t", 1)[0]: line.split("\t")[1:] for line in head}
-    return rows["#fields"], rows.get("#types", [])
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, _names, _types) of each file with a line of field names: what stands after `#fields` and `#types`."""
+    lines = spark.read.text(path).where("value LIKE '#fields%' OR value LIKE '#types%'")
+
+    def rest(mark: str) -> Column:
+        return F.max(F.when(F.col("value").startswith(mark + "\t"), F.substring("value", len(mark) + 2, 2**31 - 1)))
+
+    found = lines.groupBy(F.col("_metadata.file_path").alias("_file")).agg(rest("#fields").alias("_names"), F.coalesce(rest("#types"), F.lit("")).alias("_types"))
+    return found.where(F.col("_names").isNotNull())
 
 
 def log_kind(fields: Sequence[str], path: str = "") -> str:
@@ -55,23 +59,42 @@ def log_kind(fields: Sequence[str], path: str = "") -> str:
     return next((k for k in KIND_FIELDS if k in path.rsplit("/", 1)[-1]), "unknown")
 
 
-def read_zeek(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
-    """One log, cast by its declared types; `-` is null."""
+def read_zeek(spark: SparkSession, path: str, json_lines: bool = False, kind: str | None = None) -> DataFrame:
+    """The logs under a path, each by the header of its own file, cast by their declared types; `-` and nothing are null.
+
+    Logs of several kinds give the columns of all, null where a log has no such field; with `kind` only the files of that
+    kind are read. A field declared with different types stays a string. A file without a line of field names gives no
+    rows. The different headers, one or a few a kind, come to the driver; the headers of the files are joined to the lines.
+    """
     if json_lines:
         return spark.read.json(path)
-    names, types = read_header(spark, path)
-    schema = ", ".join(f"`{n}` string" for n in names)
-    raw = spark.read.csv(path, sep="\t", comment="#", nullValue="-", schema=schema, quote="")
+    headers = read_headers(spark, path)
+    shapes = [(r["_names"], r["_types"]) for r in headers.select("_names", "_types").distinct().orderBy("_names", "_types").collect()]
+    shapes = [(n, t) for n, t in shapes if kind is None or log_kind(n.split("\t")) == kind]
+    if not shapes:
+        raise ValueError(f"no log{f' of kind {kind}' if kind else ''} with a line of field names under {path}")
+    places: dict[str, list[tuple[int, int]]] = {}
+    declared: dict[str, set[str]] = {}
+    for k, (names, types) in enumerate(shapes):
+        types = types.split("\t")
+        for i, name in enumerate(names.split("\t")):
+            places.setdefault(name, []).append((k, i))
+            declared.setdefault(name, set()).add(types[i] if i < len(types) else "string")
+    which = F.coalesce(*[F.when((F.col("_names") == n) & (F.col("_types") == t), F.lit(k)) for k, (n, t) in enumerate(shapes)])
+    wanted = headers.select("_file", which.alias("_shape")).where(F.col("_shape").isNotNull())
+    lines = spark.read.text(path).where("value <> '' AND NOT startswith(value, '#')")
+    parts = lines.select(F.col("_metadata.file_path").alias("_file"), F.split("value", "\t").alias("_parts")).join(wanted, "_file")
     out = []
-    for i, name in enumerate(names):
-        kind = types[i] if i < len(types) else "string"
-        column = F.col(f"`{name}`")
-        if kind == "bool":
+    for name, at in places.items():
+        text = F.coalesce(*[F.when(F.col("_shape") == k, F.get("_parts", F.lit(i))) for k, i in at])
+        column = F.when(~text.isin("-", ""), text)
+        (of, *more) = declared[name]
+        if not more and of == "bool":
             column = F.upper(column) == "T"
-        elif kind in TYPES:
-            column = column.try_cast(TYPES[kind])
+        elif not more and of in TYPES:
+            column = column.try_cast(TYPES[of])
         out.append(column.alias(name))
-    return raw.select(*out)
+    return parts.select(*out)
 
 
 def pick(df: DataFrame, name: str, kind: str = "string", default=None) -> Column:
@@ -217,5 +240,12 @@ PROJECTIONS = {"conn": conn, "http": http, "dns": dns, "ssl": tls, "files": file
 
 
 def read_zeek_typed(spark: SparkSession, path: str, kind: str | None = None, json_lines: bool = False) -> DataFrame:
-    raw = read_zeek(spark, path, json_lines)
+    """The rows of one kind of log; the kind must be named where a path holds several."""
+    if kind is None and not json_lines:
+        kinds = {log_kind(r["_names"].split("\t")) for r in read_headers(spark, path).select("_names").distinct().collect()}
+        if len(kinds) > 1:
+            raise ValueError(f"logs of several kinds under {path}, name one: {sorted(kinds)}")
+        raw = read_zeek(spark, path)
+        return PROJECTIONS[log_kind(raw.columns, path)](raw)
+    raw = read_zeek(spark, path, json_lines, kind)
     return PROJECTIONS[kind or log_kind(raw.columns, path)](raw)

@@ -3,6 +3,8 @@
 import gzip
 import json
 
+import pytest
+
 from logsieve.operators import fanout, traffic
 from logsieve.sources import cloud, csvlogs, inventory, jsonlogs, lines, logcat, registry, sinks, text, zeek
 
@@ -89,6 +91,20 @@ def test_zeek(spark, tmp_path):
     assert (row.log_type, row.source_port, row.service, row.severity, row.suspicious) == ("connection", 4444, "", "warning", ["suspicious_port"])
 
 
+def test_zeek_folder_of_different_logs(spark, tmp_path):
+    write(tmp_path / "conn.log", "#fields\tts\tuid\tproto\tservice\tconn_state\torig_bytes\n#types\ttime\tstring\tenum\tstring\tstring\tcount\n1.5\tC1\tudp\t-\tSF\t12\n")
+    write(tmp_path / "conn.2.log", "#fields\tuid\tts\tproto\tconn_state\torig_bytes\n#types\tstring\ttime\tenum\tstring\tcount\nC2\t2.5\ttcp\tREJ\t\n#close\tx\n\n")
+    write(tmp_path / "dns.log", "#fields\tts\tuid\ttrans_id\tquery\tqtype_name\n#types\ttime\tstring\tcount\tstring\tstring\n3.5\tD1\t7\ta.example\tA\n")
+    rows = {r.uid: r for r in zeek.read_zeek(spark, str(tmp_path)).collect()}
+    assert (rows["C1"].ts, rows["C1"].proto, rows["C1"].query, rows["C1"].service, rows["C1"].orig_bytes) == (1.5, "udp", None, None, 12)
+    assert (rows["C2"].ts, rows["C2"].proto, rows["C2"].conn_state, rows["C2"].orig_bytes) == (2.5, "tcp", "REJ", None)
+    assert (rows["D1"].query, rows["D1"].trans_id, rows["D1"].proto) == ("a.example", 7, None)
+    assert {r.uid for r in zeek.read_zeek_typed(spark, str(tmp_path), "conn").collect()} == {"C1", "C2"}
+    assert [r.query for r in zeek.read_zeek_typed(spark, str(tmp_path), "dns").collect()] == ["a.example"]
+    with pytest.raises(ValueError, match="several kinds"):
+        zeek.read_zeek_typed(spark, str(tmp_path))
+
+
 def test_logcat_and_registry(spark, tmp_path):
     path = write(tmp_path / "d.logcat", "01-15 10:00:00.123  100  200 E ActivityManager: crash\nE/Tag( 12): x\nnoise\n")
     rows = {r.format: r for r in logcat.read_logcat(spark, path, 2024).collect()}
