@@ -305,7 +305,8 @@ def test_crossing_over_batches():
     n = 200
     h = np.sort(rng.integers(0, 12, n))
     columns = [h, np.arange(n), np.full(n, 50, np.int32), rng.integers(0, 4, n).astype(np.int32), rng.integers(0, 5, n)]
-    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "set", "n", "pos", "component"])
+    unsigned = [np.zeros(n, bool), *[np.zeros(n, np.int64) for _ in ngram_join.SIGNS]]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in [*columns, *unsigned]], ["h", "set", "n", "pos", "component", "signed", *ngram_join.SIGNS])
     pairs = lambda size: {p for b in ngram_join._crossing(75, 16)([whole.slice(i, size) for i in range(0, n, size)]) for p in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)}
     brute = {(a, b) for a in range(n) for b in range(a + 1, n) if h[a] == h[b] and columns[4][a] != columns[4][b] and ngram_join.possible(50, columns[3][a], 50, columns[3][b], 75)}
     assert pairs(n) == brute == pairs(7)
