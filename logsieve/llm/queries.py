@@ -62,7 +62,8 @@ def _quality_sql(false_rejection: float = 0.03, risk: float = 0.05) -> str:
 
 @query("op3_quality_rules", _quality_sql())
 def op3_quality_rules(spark, sf_dir):
-    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    # the SQL beside it shares the budget out by rule
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), joint=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -155,6 +155,24 @@ def test_cutoffs_limit_false_rejection(spark):
     assert got == {"a": 0.3, "b": None}  # 20 rows can't certify anything
 
 
+def test_joint_path_certifies_small_strata(spark):
+    assert quality.least_labels(0.03, 0.05, 4) == 144
+    steps = quality.joint_path(quality.RULES)
+    assert len(steps) == 1 + sum(len(r.cutoffs) - 1 for r in quality.RULES) and steps[-1] == tuple(len(r.cutoffs) - 1 for r in quality.RULES)
+    plain = "\n".join(" ".join(f"{a}{b}" for b in range(10)) for a in "abcdef")
+    loud = plain.replace("a", "A!!").replace("b", "B!!").replace("c", "C!!")
+    sizes = {"large": 500, "least": 144, "few": 143, "none": 0}
+    rows = [(f"{lang}{i}", plain, lang) for lang, n in sizes.items() for i in range(n)]
+    rows += [(f"{lang}-bad", loud, lang) for lang in sizes]
+    rows = [(i, t, lang, name) for i, (name, t, lang) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, name string")
+    labels = spark.createDataFrame([(i, int(not n.endswith("bad"))) for i, _, _, n in rows] + [(9999, 1)], "doc_id long, quality int")
+    got = {r.name: r.kept for r in quality.judge(docs, labels, risk=0.05 * 3 / 4, keep_columns=False).join(docs.select("doc_id", "name"), "doc_id").collect()}
+    assert {n for n, kept in got.items() if not kept} == {"large-bad", "least-bad"}  # three strata have labels
+    per_rule = quality.judge(docs, labels, joint=False)
+    assert per_rule.where("not kept").count() == 0
+
+
 def spans(text):
     text = text or ""
 
