@@ -7,6 +7,7 @@ import heapq
 import re
 from array import array
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,12 @@ from logsieve.llm.words import BASE, mix
 MARK = "▁"  # how pieces write a blank
 LETTERS, STOPS = "A-Za-zÀ-ɏ", ".,!"
 SYMBOL_BITS = 21
+PLACE = (1 << SYMBOL_BITS) - 1  # of a merge, which is written as rank and place
 NONE = np.int64(1) << np.int64(60)
 LONG = 200  # characters from which a part has an agenda of its own; shorter ones are segmented together
-MEMORY_PARTS = 600_000  # a worker forgets the parts it has segmented when it holds so many
+SHORT = 24  # characters up to which the segmentations of a part are kept
+MEMORY_NODES = 400_000  # a worker forgets the segmentations when it holds so many
+OCCURRENCES = 1 << 17  # taken through the trees at once
 
 
 class PieceModel:
@@ -83,37 +87,68 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+class _Rows:
+    """Rows of numbers, one after the other in one growing array."""
+
+    def __init__(self, dtype):
+        self.data, self.ends, self.n = np.empty(1024, dtype), np.zeros(1024, np.int64), 0
+
+    def append(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        first, last = self.ends[self.n], self.ends[self.n] + len(values)
+        if last > len(self.data):
+            self.data = np.resize(self.data, 2 * last)
+        if self.n + len(sizes) >= len(self.ends):
+            self.ends = np.resize(self.ends, 2 * (self.n + len(sizes) + 1))
+        self.data[first:last] = values
+        self.ends[self.n + 1 : self.n + 1 + len(sizes)] = first + np.cumsum(sizes)
+        self.n += len(sizes)
+
+    def gather(self, rows: np.ndarray, after=0) -> tuple[np.ndarray, np.ndarray]:
+        """The values of these rows from place `after` on, and how many each has."""
+        starts = self.ends[rows] + after
+        sizes = self.ends[rows + 1] - starts
+        return self.data[_places(starts, sizes)], sizes
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 class DropoutEncoder:
     """Merges in the order of an agenda, each candidate skipped with a probability decided by a keyed hash.
 
-    The key is the seed and the variant; the hash covers the part of the text, the place and the merged piece. A text's
-    parts take one of `variants` variants by a hash of the text's key and the part's number, so the same word is segmented
-    in varied ways, and the same document always in the same way. The parts that are new in a group of texts are segmented
-    together: in each step every part takes the next candidate of its agenda (best score, then leftmost).
+    The key is the draw of an occurrence: a hash of the seed, the text's key and the number of the part in the text; the hash
+    covers the place in the part and the merged piece. So every occurrence of a word is segmented by skips of its own, and
+    the same document always in the same way.
+
+    A candidate that never comes up as the best of its agenda changes nothing if it is skipped. Short parts therefore have
+    a tree: a node stands for a set of skipped merges and holds the merges of the agenda without them and the ids. An
+    occurrence starts at the root and goes on at its first skipped merge, until none is skipped; nodes are made when an
+    occurrence first comes to them. The new ones in a group of texts are segmented together: in each step every part takes
+    the next candidate of its agenda (best score, then leftmost). Longer parts are segmented for each occurrence.
     """
 
-    def __init__(self, model: PieceModel, dropout: float, seed: int, variants: int):
-        self.model, self.limit, self.variants = model, int(dropout * (1 << 32)), max(1, variants) if dropout > 0 else 1
-        self.seed = seed
-        digests = [hashlib.blake2b(f"{seed}:{v}".encode(), digest_size=8).digest() for v in range(self.variants)]
-        self.keys = np.array([int.from_bytes(d, "little") for d in digests], np.uint64)
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+    def __init__(self, model: PieceModel, dropout: float, seed: int, memory: int = MEMORY_NODES):
+        self.model, self.limit, self.memory = model, int(dropout * (1 << 32)), memory
+        self.key = np.uint64(int.from_bytes(hashlib.blake2b(f"{seed}".encode(), digest_size=8).digest(), "little"))
+        self._forget()
 
-    def _hashes(self, codes: np.ndarray, place: np.ndarray, starts: np.ndarray, variants: np.ndarray) -> np.ndarray:
-        """A keyed hash of each part."""
-        each = mix((codes.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)) * BASE)
-        return mix(np.add.reduceat(each, starts) ^ self.keys[variants])
+    def _forget(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.children: dict[int, int] = {}  # by node and place among its merges
+        self.parts: list[str] = []  # of the nodes, like the next three
+        self.without: list[tuple[int, ...]] = []
+        self.merges, self.ids = _Rows(np.int64), _Rows(np.int32)
 
-    def _skipped(self, hashes, place, rank):
-        x = mix(hashes ^ (place.astype(np.uint64) * BASE + rank.astype(np.uint64)))
+    def _skipped(self, draws: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        x = mix(draws ^ (place.astype(np.uint64) * BASE + rank.astype(np.uint64)))
         return (x >> np.uint64(32)).astype(np.int64) < self.limit
 
-    def segment(self, part: str, variant: int) -> list[str]:
+    def segment(self, part: str, draw: int) -> list[str]:
         """One part by an agenda of its own."""
         symbols = list(part)
         n = len(symbols)
-        codes = np.array([ord(c) for c in part])
-        own = self._hashes(codes, np.arange(n), np.zeros(1, np.int64), np.array([variant]))
+        own = np.array([draw], np.uint64)
         order = self.model.order
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
@@ -141,15 +176,19 @@ class DropoutEncoder:
                 propose(before[i], i)
         return [s for s in symbols if s is not None]
 
-    def segment_together(self, parts: list[str], variants: np.ndarray) -> list[bytes]:
-        """The ids of many parts; a step of all agendas is a few array operations."""
+    def segment_together(self, parts: list[str], draws: np.ndarray) -> list[bytes]:
+        """The ids of many parts, each with the skips of its draw; a step of all agendas is a few array operations."""
+        draws = draws.astype(np.uint64)
+        return self._run(parts, (lambda part, place, rank: self._skipped(draws[part], place, rank)) if self.limit else None)[0]
+
+    def _run(self, parts: list[str], skipped) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The ids of the parts, and all merges made: number of the part and rank and place, in order for each part."""
         model = self.model
         codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
         sizes = np.array([len(p) for p in parts])
         starts = np.cumsum(sizes) - sizes
         part = np.repeat(np.arange(len(parts)), sizes)
         place = np.arange(len(codes)) - starts[part]
-        hashes = self._hashes(codes, place, starts, variants)
         symbols = model.characters[codes]
         value, merged = np.full(len(symbols), NONE), np.zeros(len(symbols), np.int64)
         last_key = len(model.pair_keys) - 1
@@ -163,14 +202,14 @@ class DropoutEncoder:
             hit = model.pair_keys[found] == key
             at, found = at[hit], found[hit]
             rank = model.pair_ranks[found]
-            if self.limit:
-                stay = ~self._skipped(hashes[part[at]], place[at], rank)
+            if skipped is not None:
+                stay = ~skipped(part[at], place[at], rank)
                 at, found, rank = at[stay], found[stay], rank[stay]
             value[at] = rank << SYMBOL_BITS | place[at]
             merged[at] = model.pair_pieces[found]
 
         propose(np.arange(len(symbols)))
-        done_part, done_symbols = [], []
+        done_part, done_symbols, made_part, made = [], [], [], []
         while len(symbols):
             first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             best = np.repeat(np.minimum.reduceat(value, first), np.diff(np.append(first, len(part))))
@@ -180,6 +219,8 @@ class DropoutEncoder:
                 done_symbols.append(symbols[over])
                 part, place, symbols, value, merged, best = (x[~over] for x in (part, place, symbols, value, merged, best))
             at = np.flatnonzero(value == best)
+            made_part.append(part[at])
+            made.append(value[at])
             symbols[at] = merged[at]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
@@ -202,42 +243,113 @@ class DropoutEncoder:
             for s in symbols[bounds[w] : bounds[w + 1]].tolist():
                 ids += [s] if s < model.first_character else model.symbol_ids(chr(s - model.first_character))
             out[w] = array("i", ids).tobytes()
-        return out
-
-    def _learn(self, new: list[tuple[int, str]]) -> None:
-        together = [(v, p) for v, p in new if p != MARK and len(p) < LONG]
-        for v, p in new:
+        made_part, made = np.concatenate(made_part), np.concatenate(made)
+        order = np.argsort(made_part, kind="stable")
+        return out, made_part[order], made[order]
+
+    def _add(self, parts: list[str], without: list[tuple[int, ...]]) -> range:
+        """New nodes: these parts without these merges."""
+        skips = np.array([v for skips in without for v in skips], np.int64)
+        owner = np.repeat(np.arange(len(without)), [len(skips) for skips in without])
+        keys = np.sort(owner << 32 | (skips & PLACE) << 24 | skips >> SYMBOL_BITS)
+
+        def skipped(part, place, rank):
+            key = part << 32 | place << 24 | rank
+            return keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+
+        ids, part, made = self._run([p.replace(" ", MARK) for p in parts], skipped if len(keys) else None)
+        first = len(self.parts)
+        self.parts += parts
+        self.without += without
+        self.merges.append(made, np.bincount(part, minlength=len(parts)))
+        self.ids.append(np.frombuffer(b"".join(ids), np.int32), np.array([len(i) // 4 for i in ids]))
+        return range(first, len(self.parts))
+
+    def _walk(self, node: np.ndarray, draws: np.ndarray) -> None:
+        """Takes each occurrence from the root of its part, in `node`, to the node of its skips."""
+        active, after = np.arange(len(node)), np.zeros(len(node), np.int64)
+        while len(active):
+            made, sizes = self.merges.gather(node[active], after)
+            some = sizes > 0
+            active, after, sizes = active[some], after[some], sizes[some]
+            if not len(active):
+                break
+            hit = self._skipped(np.repeat(draws[active], sizes), made & PLACE, made >> SYMBOL_BITS)
+            starts = np.cumsum(sizes) - sizes
+            first = np.minimum.reduceat(np.where(hit, np.arange(len(made)), len(made)), starts)
+            some = first < len(made)
+            active, after = active[some], (after + first - starts)[some]
+            keys, inverse = np.unique(node[active] << 8 | after, return_inverse=True)
+            keys = keys.tolist()
+            new = [k for k in keys if k not in self.children]
+            if new:
+                parents = [k >> 8 for k in new]
+                skips = [(*self.without[n], int(self.merges.data[self.merges.ends[n] + (k & 255)])) for n, k in zip(parents, new, strict=True)]
+                self.children.update(zip(new, self._add([self.parts[n] for n in parents], skips), strict=True))
+            node[active] = np.array([self.children[k] for k in keys], np.int64)[inverse]
+
+    def _alone(self, parts: list[str], draws: np.ndarray) -> list[np.ndarray]:
+        """The ids of occurrences of parts that have no tree."""
+        out: list = [None] * len(parts)
+        for i, p in enumerate(parts):
             if p == MARK:  # the mark itself in a text: by its bytes, so that it is not read back as a blank
-                self.known[v][p] = array("i", [self.model.byte_ids[b] for b in MARK.encode()]).tobytes()
+                out[i] = [self.model.byte_ids[b] for b in MARK.encode()]
             elif len(p) >= LONG:
-                self.known[v][p] = array("i", [i for s in self.segment(p.replace(" ", MARK), v) for i in self.model.symbol_ids(s)]).tobytes()
-        if together:
-            ids = self.segment_together([p.replace(" ", MARK) for _, p in together], np.array([v for v, _ in together]))
-            for (v, p), i in zip(together, ids, strict=True):
-                self.known[v][p] = i
+                out[i] = [k for s in self.segment(p.replace(" ", MARK), int(draws[i])) for k in self.model.symbol_ids(s)]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        if rest:
+            for i, ids in zip(rest, self.segment_together([parts[i].replace(" ", MARK) for i in rest], draws[rest]), strict=True):
+                out[i] = np.frombuffer(ids, np.int32)
+        return [np.array(ids, np.int32) for ids in out]
+
+    def _chosen(self, parts: list[str], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of occurrences, one after the other, and how many each has."""
+        most = SHORT if self.limit else LONG - 1
+        node = np.fromiter(map(self.roots.get, parts, repeat(-1)), np.int64, len(parts))
+        unknown = np.flatnonzero(node < 0).tolist()
+        fresh = list({p for i in unknown if len(p := parts[i]) <= most and p != MARK})
+        if fresh:
+            self.roots.update(zip(fresh, self._add(fresh, [()] * len(fresh)), strict=True))
+            node[unknown] = [self.roots.get(parts[i], -1) for i in unknown]
+        kept, alone = np.flatnonzero(node >= 0), np.flatnonzero(node < 0)
+        inside = node[kept]
+        if self.limit:
+            self._walk(inside, draws[kept])
+        values, counts = self.ids.gather(inside)
+        if not len(alone):
+            return values, counts
+        others = self._alone([parts[i] for i in alone.tolist()], draws[alone])
+        sizes = np.empty(len(parts), np.int64)
+        sizes[kept], sizes[alone] = counts, [len(x) for x in others]
+        starts = np.cumsum(sizes) - sizes
+        ids = np.empty(sizes.sum(), np.int32)
+        ids[_places(starts[kept], counts)] = values
+        ids[_places(starts[alone], sizes[alone])] = np.concatenate(others)
+        return ids, sizes
 
     def encode(self, texts: list[str], keys: list[int]) -> list[bytes]:
         """Each text's ids as native 32-bit numbers; a blank is put before a text that is not empty."""
         cut = [self.model.part.findall(" " + t) if t else [] for t in texts]
-        if sum(map(len, self.known)) > MEMORY_PARTS:
-            for known in self.known:
-                known.clear()
-        known = self.known
-        if self.variants == 1:
-            chosen = [[0] * len(parts) for parts in cut]
-        else:
-            numbers = np.arange(max(map(len, cut), default=0), dtype=np.uint64)
-            starts = mix(np.array([k & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64) ^ self.keys[0])
-            chosen = [((mix(numbers[: len(parts)] + k) >> np.uint64(40)).astype(np.int64) % self.variants).tolist() for parts, k in zip(cut, starts, strict=True)]
-        new = {(v, p) for parts, vs in zip(cut, chosen, strict=True) for v, p in zip(vs, parts, strict=True) if p not in known[v]}
-        self._learn(list(new))
-        return [b"".join([known[v][p] for v, p in zip(vs, parts, strict=True)]) for parts, vs in zip(cut, chosen, strict=True)]
+        numbers = np.arange(max(map(len, cut), default=0), dtype=np.uint64)
+        starts = mix(np.array([k & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64) ^ self.key)
+        draws = np.concatenate([mix(numbers[: len(parts)] + k) for parts, k in zip(cut, starts, strict=True)])
+        parts = [p for c in cut for p in c]
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for first in range(0, len(parts), OCCURRENCES):
+            if len(self.parts) > self.memory:
+                self._forget()
+            chosen = self._chosen(parts[first : first + OCCURRENCES], draws[first : first + OCCURRENCES])
+            ids.append(chosen[0])
+            sizes.append(chosen[1])
+        ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))[np.cumsum([0, *map(len, cut)])].tolist()
+        blob = np.concatenate(ids).tobytes()
+        return [blob[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
-def dropout_encoder(path: str, dropout: float, seed: int, variants: int) -> DropoutEncoder:
+def dropout_encoder(path: str, dropout: float, seed: int) -> DropoutEncoder:
     """One encoder for all tasks of a worker."""
-    return DropoutEncoder(piece_model(path), dropout, seed, variants)
+    return DropoutEncoder(piece_model(path), dropout, seed)
 
 
 def _lists(blobs: list[bytes]) -> pa.ListArray:
@@ -245,9 +357,9 @@ def _lists(blobs: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
 
 
-def _encoding(path: str, dropout: float, seed: int, variants: int):
+def _encoding(path: str, dropout: float, seed: int):
     def run(batches):
-        encoder = dropout_encoder(path, dropout, seed, variants)
+        encoder = dropout_encoder(path, dropout, seed)
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
@@ -257,17 +369,17 @@ def _encoding(path: str, dropout: float, seed: int, variants: int):
     return run
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id column, the text and `ids array<int>`, one row per row of docs.
 
-    With dropout 0 the ids are those of the library; else merges are skipped by keyed hash (`DropoutEncoder`), the same in
-    every run. Decoding gives the text back in either case: characters without a piece, and the character that pieces use
+    With dropout 0 the ids are those of the library; else merges are skipped by keyed hash (`DropoutEncoder`), for
+    every occurrence of a word by its document and place, the same in every run. Decoding gives the text back in either case: characters without a piece, and the character that pieces use
     for a blank, go by their bytes. Null texts are empty and have no ids. Repeated rows get equal ids; null ids of rows
     count as 0 in the hash. Other columns are ignored, an empty table gives no rows. No shuffle; ids must be integers.
     """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     source = source.withColumn("key", F.coalesce("id", F.lit(0)))
-    return source.mapInArrow(_encoding(model_path, dropout, seed, variants), "id long, text string, ids array<int>").withColumnsRenamed({"id": id_col, "text": text_col})
+    return source.mapInArrow(_encoding(model_path, dropout, seed), "id long, text string, ids array<int>").withColumnsRenamed({"id": id_col, "text": text_col})
 
 
 def _decoding(path: str, place: int):

@@ -330,6 +330,27 @@ def test_crossing_over_batches():
     assert pairs(n) == brute == pairs(7)
 
 
+def test_dropout_varies_by_occurrence():
+    model = pieces.piece_model(PIECES)
+    encoder = pieces.DropoutEncoder(model, 0.1, 11)
+    words = ["information", "a", "therefore", "x" * 40]
+    text, n = " ".join(words * 250), 12
+    found = encoder.encode([text] * n, list(range(n)))
+    assert found == pieces.DropoutEncoder(model, 0.1, 11, 1).encode([text] * n, list(range(n)))  # forgets after each group
+    assert found[3] == encoder.encode([text], [3])[0]
+    cut = model.part.findall(" " + text)
+    draws = pieces.mix(np.arange(len(cut), dtype=np.uint64) + pieces.mix(np.array([3], np.uint64) ^ encoder.key))
+    one_by_one = b"".join(encoder.segment_together([p.replace(" ", pieces.MARK) for p in cut], draws))
+    assert found[3] == one_by_one
+    forms = Counter(tuple(np.frombuffer(i, np.int32)) for i in encoder.encode([" therefore"] * 5000, list(range(5000))))
+    assert len(forms) > 4
+    root = encoder.roots["  therefore"]
+    merges = int(encoder.merges.ends[root + 1] - encoder.merges.ends[root])
+    nodes = np.full(20_000, root)
+    encoder._walk(nodes, pieces.mix(np.arange(20_000, dtype=np.uint64)))
+    assert (nodes == root).mean() == pytest.approx(0.9**merges, abs=0.02)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((40, 16))
