@@ -51,6 +51,50 @@ def plan_tables(n: int, bits: int, threshold: float, recall: float) -> tuple[int
     return width, max(1, math.ceil(tables / (bits // width)))
 
 
+def pairs_at(x: np.ndarray, threshold: float, count: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at the threshold: sample vectors, and the same turned by that angle in any direction or towards other vectors."""
+    rng = np.random.default_rng([seed, 1])
+    a, other = x[rng.integers(0, len(x), count)], x[rng.integers(0, len(x), count)]
+    out = []
+    for towards in (rng.standard_normal(a.shape), other):
+        u = towards - (towards * a).sum(1, keepdims=True) * a
+        norm = np.linalg.norm(u, axis=1, keepdims=True)
+        usable = norm[:, 0] > 1e-6
+        if usable.any():
+            out.append((a[usable], threshold * a[usable] + math.sqrt(max(0.0, 1 - threshold**2)) * u[usable] / norm[usable]))
+    return out
+
+
+def fit_tables(x: np.ndarray, n: int, bits: int, threshold: float, recall: float, seed: int) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """(width of a substring, rotations) by which pairs at the threshold meet with probability `recall`.
+
+    The plan holds for the angle between the vectors. Codes are signs after centring, which widens the angle where vectors
+    share a direction, so the buckets that pairs made at the threshold meet in are counted: rotations are added until enough
+    pairs meet, and beyond four times the plan substrings are made shorter instead (larger buckets, the same recall).
+    """
+    width, planned = plan_tables(n, bits, threshold, recall)
+    pairs = pairs_at(x, threshold, max(4000, math.ceil(10 / (1 - recall))), seed)
+    fitted = np.concatenate([x, x]) if len(x) < 2 else x
+    rotations: list[tuple[np.ndarray, np.ndarray]] = []
+    agree: list[list[np.ndarray]] = [[] for _ in pairs]  # of each kind of pair by rotation: equal bits
+    met = [np.zeros(len(a), bool) for a, _ in pairs]
+
+    def meeting(equal: np.ndarray) -> np.ndarray:
+        per = bits // width
+        return equal[:, : per * width].reshape(len(equal), per, width).all(2).any(1)
+
+    while len(rotations) < planned or (any(m.mean() < recall for m in met) and len(rotations) < 4 * planned):
+        mean, projection = learn_rotation(fitted, bits, seed + len(rotations))
+        rotations.append((mean, projection))
+        for kind, (a, b) in enumerate(pairs):
+            agree[kind].append(((a - mean) @ projection >= 0) == ((b - mean) @ projection >= 0))
+            met[kind] |= meeting(agree[kind][-1])
+    while width > 1 and any(m.mean() < recall for m in met):
+        width -= 1
+        met = [np.any([meeting(e) for e in equal], 0) for equal in agree]
+    return width, rotations
+
+
 def _raw(value: pa.Scalar) -> np.ndarray | None:
     """The components of a usable vector."""
     if not value.is_valid:
@@ -200,7 +244,7 @@ def link_vectors(
     vectors become one with a number of copies. A link is counted in the first table in which its two codes agree, so
     none counts twice and no pairs leave a task: per compared unit (at most two blocks of a bucket) each vector gives its
     number of links and the smallest id that it reaches. Links between vectors that agree in no substring are missed:
-    at the threshold a share of 1 - `recall` is expected, less for closer vectors.
+    at the threshold a share of 1 - `recall` is expected, less for closer vectors (`fit_tables` measures it on the sample).
     """
     spark = vectors.sparkSession
     source = vectors.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v"))
@@ -220,9 +264,8 @@ def link_vectors(
     length = int(lengths[counts.argmax()])
     x = unit([bytes(r["vector"]) for r in sample if len(r["vector"]) == length], dtype)
     bits = min(x.shape[1], MAX_BITS)
-    width, rotations = plan_tables(n, bits, threshold, recall)
-    few = len(x) < 2
-    model = spark.sparkContext.broadcast(([learn_rotation(np.concatenate([x, x]) if few else x, bits, seed + r) for r in range(rotations)], x.shape[1]))
+    width, rotations = fit_tables(x, n, bits, threshold, recall, seed)
+    model = spark.sparkContext.broadcast((rotations, x.shape[1]))
 
     coded = written(own.select("id", "vector").mapInArrow(_coding(model, dtype), "id long, codes binary, size int"), "codes")
     keys = written(coded.mapInArrow(_keys(width, bits), "id long, table int, key long, size long"), "keys")

@@ -372,6 +372,38 @@ def test_vectors(spark):
     assert vector_dedup.link_vectors(frame.where("vec_id < 0")).count() == 0
 
 
+def shifted(n, dimension, share, seed):
+    """Unit vectors with a common direction, each third one followed by a neighbour at cosine 0.905."""
+    rng = np.random.default_rng(seed)
+    common = np.eye(1, dimension)[0] * share
+    x = common + rng.standard_normal((n, dimension)) * math.sqrt((1 - share**2) / dimension)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.standard_normal((n // 3, dimension))
+    a = x[::3][: n // 3]
+    u -= (u * a).sum(1, keepdims=True) * a
+    b = 0.905 * a + math.sqrt(1 - 0.905**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    return np.concatenate([x, b]), a, b
+
+
+def test_recall_on_shifted_vectors(spark):
+    x, a, b = shifted(6000, 64, 0.8, 8)
+    width, rotations = vector_dedup.fit_tables(x, 52_000, 64, 0.9, 0.97, 7)
+
+    def recall(used, width):
+        codes = [np.stack([(((v - m) @ p >= 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64) for m, p in used], 1) for v in (a, b)]
+        one, other = (vector_dedup.substrings(c, width, 64) for c in codes)
+        return (one == other).any(1).mean()
+
+    planned_width, planned = vector_dedup.plan_tables(52_000, 64, 0.9, 0.97)
+    assert recall(rotations[:planned], planned_width) < 0.9 and recall(rotations, width) >= 0.96  # the plan alone loses links here
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    unit = x.astype(np.float32).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = int((np.triu(unit @ unit.T, 1) >= 0.9).sum())
+    found = sum(r.n_links for r in vector_dedup.link_vectors(frame, threshold=0.9).collect()) // 2
+    assert 0.96 * links <= found <= links
+
+
 def test_language_model(spark, docs, odd_rows):
     got = {r.doc_id: r for r in language_model.score_documents(docs).collect()}
     tokens = {i: [*WORD.findall(lower(t or "")), None] for i, t in enumerate(texts())}
