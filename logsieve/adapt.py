@@ -191,7 +191,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log lines, document lines and page sources together: everything that may hold indicators."""
+    """Log lines, document lines and page addresses together; `whole_corpus` has the sources of pages too."""
 
     def named(prefix: str, key: str):
         return F.concat(F.lit(prefix), F.col(key).cast("string"))
@@ -203,3 +203,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lines = entries(spark, sf_dir).select("entry_id", named("document-", "file_id").alias("file_id"), "message")
     return messages(spark, sf_dir).select("entry_id", named("user-", "file_id").alias("file_id"), "message").union(pages).union(lines)
+
+
+def whole_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with the source of each page beside its address."""
+    sources = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("h"), F.col("page_id").cast("string")).alias("entry_id"),
+        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("file_id"),
+        F.col("html").alias("message"),
+    )
+    return corpus(spark, sf_dir).union(sources)

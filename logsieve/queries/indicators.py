@@ -423,3 +423,27 @@ def _register(name):
 
 for _name in ioc.VARIANTS:
     _register(_name)
+
+
+# The operators over everything, with all kinds; no SQL, since its engine's patterns differ on page sources.
+
+
+@query("extract_iocs_whole")
+def extract_iocs_whole(spark, sf_dir):
+    return ioc.distinct_iocs(ioc.extract_iocs(adapt.whole_corpus(spark, sf_dir)))
+
+
+@query("ioc_summary_whole")
+def ioc_summary_whole(spark, sf_dir):
+    return ioc.ioc_summary(ioc.extract_iocs(adapt.whole_corpus(spark, sf_dir)))
+
+
+@query("extract_file_paths_whole")
+def extract_file_paths_whole(spark, sf_dir):
+    return ioc.extract_iocs(adapt.whole_corpus(spark, sf_dir)).where("ioc_type = 'files'").select("entry_id", "ioc_value")
+
+
+@query("extract_advanced_whole")
+def extract_advanced_whole(spark, sf_dir):
+    found = ioc.extract_advanced(adapt.whole_corpus(spark, sf_dir))
+    return found.groupBy("kind", "ioc_value").agg(F.count(F.lit(1)).alias("entries"))

@@ -46,3 +46,24 @@ def test_query_equals_sql(spark, name):
     assert sorted(names) == cols
     expected = sorted(tuple(norm(r[names.index(c)]) for c in cols) for r in cur.fetchall())
     assert got == expected
+
+
+def test_whole_corpus_has_page_sources_and_all_kinds(spark):
+    import re
+
+    import pyarrow.parquet as pq
+
+    from logsieve.operators import ioc
+
+    queries = entry_point.queries()
+    pages = pq.read_table(f"{SF}/pages.parquet").to_pylist()
+
+    def brute(kind):
+        return {(f"h{r['page_id']}", m[0]) for r in pages for m in re.finditer(ioc.BASIC_PATTERNS[kind], r["html"] or "", re.ASCII)}
+
+    paths = queries["extract_file_paths_whole"](spark, SF)
+    assert {(r.entry_id, r.ioc_value) for r in paths.where("entry_id like 'h%'").collect()} == brute("files")
+    found = {(r.ioc_type, r.ioc_value) for r in queries["extract_iocs_whole"](spark, SF).where("ioc_type in ('files', 'emails')").collect()}
+    assert {(kind, v) for kind in ("files", "emails") for _, v in brute(kind)} <= found and brute("files")
+    assert "files" in {r.ioc_type for r in queries["ioc_summary_whole"](spark, SF).collect()}
+    assert {"email", "unix_path"} <= {r.kind for r in queries["extract_advanced_whole"](spark, SF).select("kind").distinct().collect()}
