@@ -331,7 +331,8 @@ def jaccard_join(
     Two documents link if 100 * intersection >= percent * union of their sets of distinct n-grams of words (A-Z as a-z);
     fewer words than `width` are one n-gram. No words, empty or null text: an empty set, linked with nothing. Rows whose id
     is null are left out; rows of one id count as one document whose texts are linked. Other columns are ignored. An empty
-    table gives no rows. Ids must be integers.
+    table gives no rows. Ids must be integers. Only components are computed: links within a component need not all be
+    verified, so there is no number of links.
 
     Equal sets become one (`min` id). Each set's rarest elements, as many as the threshold demands, are its prefix; sets
     that share a prefix element and pass the length and positional filter are candidates, each pair verified once, after a
