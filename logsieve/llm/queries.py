@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from logsieve.llm import chat, language_model, line_dedup, ngram_join, packing, pieces, pii, quality, token_counts, vector_dedup
+from logsieve.llm import chat, gap_packing, language_model, line_dedup, manifest, ngram_join, packing, pieces, pii, quality, token_counts, vector_dedup
 from logsieve.llm.store import fresh_path
 
 QUERIES: dict[str, Callable] = {}
@@ -142,3 +142,53 @@ def op7_piece_encoding(spark, sf_dir):
         "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
     )
+
+
+@query("op11_gap_packing")
+def op11_gap_packing(spark, sf_dir):
+    return gap_packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, window=2048)
+
+
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _manifest_sql() -> str:
+    """The tree by recursion over levels; CRC-32 of the id bit by bit."""
+    coded = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    leaf = "sha256(" + " || ".join(coded.format(f) for f in FIELDS) + ")"
+    bits = "list_reduce(list_concat([xor(c, ch)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda c, ch: {bits}), 4294967295)"
+
+    def tree(name: str) -> str:
+        """Nodes of all levels, and per lowest node its steps, from leaves `name`(tree, i, h)."""
+        return f"""{name}_n(tree, lvl, i, h, n) AS (SELECT tree, 0, i, h, count(*) OVER (PARTITION BY tree) FROM {name}
+      UNION ALL SELECT tree, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM {name}_n WHERE n > 1 GROUP BY tree, lvl, i // 3, n),
+    {name}_s AS (SELECT tree, lvl, i, h, n, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+      coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name}_n WINDOW w AS (PARTITION BY tree, lvl, i // 3 ORDER BY i)),
+    {name}_p AS (SELECT l.tree, l.i, list({{'b': s.b, 'a': s.a}} ORDER BY s.lvl) AS steps FROM {name} l
+      JOIN {name}_s s ON s.tree = l.tree AND s.i = l.i // pow(3, s.lvl)::BIGINT AND s.n > 1 GROUP BY 1, 2),
+    {name}_r AS (SELECT tree, h FROM {name}_n WHERE n = 1)"""
+
+    return f"""WITH RECURSIVE d AS (SELECT *, {leaf} AS h, {leaf.replace("text", "replace(text, chr(10), '')")} AS h2, coalesce({crc} % 2 = 0, false) AS odd FROM documents),
+    g AS (SELECT source, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS tree FROM (SELECT DISTINCT source FROM documents)),
+    lf AS (SELECT doc_id, h, CASE WHEN odd THEN h2 ELSE h END AS t, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+    {tree("lf")},
+    tp AS (SELECT 0 AS tree, tree AS i, h FROM lf_r),
+    {tree("tp")},
+    e AS (SELECT lf.doc_id, lf.h AS leaf, lf.t, lf_r.h AS subroot, (SELECT h FROM tp_r) AS root, list_concat(coalesce(lf_p.steps, []), coalesce(tp_p.steps, [])) AS steps
+      FROM lf JOIN lf_r USING (tree) LEFT JOIN lf_p USING (tree, i) LEFT JOIN tp_p ON tp_p.i = lf.tree)
+    SELECT doc_id, leaf, subroot, root, sha256(list_aggregate(list_concat([''], list_transform(steps, lambda s: s.b || s.a)), 'string_agg', '')) AS proof_sha256,
+      list_reduce(list_concat([{{'b': t, 'a': ''}}], steps), lambda x, s: {{'b': sha256(s.b || x.b || s.a), 'a': ''}}).b AS folded_root, folded_root = root AS verified FROM e"""
+
+
+@query("op12_manifest", _manifest_sql())
+def op12_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(f) for f in FIELDS]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, manifest.row_digest([*fields[:-1], F.replace("text", F.lit("\n"), F.lit(""))]))
+    rows = manifest.manifest(docs, FIELDS, carry=[changed]).withColumn("folded_root", manifest.fold(F.coalesce("carried_0", "leaf"), F.col("steps")))
+    return rows.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
