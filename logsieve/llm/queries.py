@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from logsieve.llm import chat, gap_packing, language_model, line_dedup, manifest, ngram_join, packing, pieces, pii, quality, token_counts, vector_dedup
+from logsieve.llm import ball_codes, chat, gap_packing, language_model, line_dedup, manifest, ngram_join, packing, pieces, pii, quality, token_counts, vector_dedup
 from logsieve.llm.store import fresh_path
 
 QUERIES: dict[str, Callable] = {}
@@ -192,3 +192,32 @@ def op12_manifest(spark, sf_dir):
         F.col("id").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """The rounds written out; every part is compared with every entry."""
+
+    def assigned(k: int) -> str:
+        squared = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))"
+        return f"""a{k} AS MATERIALIZED (SELECT vec_id, part, x, min(e) AS e, min(d) AS d FROM (SELECT p.*, b.e, {squared} AS d, min({squared}) OVER (PARTITION BY vec_id, p.part) AS least
+      FROM p JOIN b{k} b ON b.part = p.part) WHERE d = least GROUP BY 1, 2, 3)"""
+
+    def moved(k: int) -> str:
+        return f"""u{k} AS (SELECT part, e, list(m::BIGINT ORDER BY i) AS x FROM (SELECT part, e, i, floor(sum(v) // count(*) - CASE WHEN sum(v) % count(*) < 0 THEN 1 ELSE 0 END) AS m
+      FROM (SELECT part, e, unnest(x) AS v, unnest(range(len(x))) AS i FROM a{k}) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    b{k + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(u.x, b.x) AS x FROM b{k} b LEFT JOIN u{k} u USING (part, e))"""
+
+    turns = ", ".join(f"{assigned(k)}, {moved(k)}" for k in range(rounds))
+    return f"""WITH q AS (SELECT vec_id, label, list_transform(embedding, lambda v: floor(1024 * v::DOUBLE)::BIGINT) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = len(embedding)),
+    p AS MATERIALIZED (SELECT vec_id, part, x[part * len(x) // 4 + 1 : (part + 1) * len(x) // 4] AS x FROM q, (SELECT unnest(range(4)) AS part)),
+    b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x FROM p QUALIFY e < 256),
+    {turns}, {assigned(rounds)},
+    s AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, e, i)) AS codebooks_sha256 FROM (SELECT part, e, unnest(x) AS v, unnest(range(len(x))) AS i FROM b{rounds})),
+    c AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY 1)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN q USING (vec_id), s"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13_vector_codes(spark, sf_dir):
+    return ball_codes.encode(table(spark, sf_dir, "embeddings"))

@@ -507,5 +507,5 @@ def test_pipeline_stages(spark, docs, labels, tmp_path):
 
 
 def test_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in queries.QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", n)[0] for n in queries.QUERIES}
     assert set(queries.ORACLE) <= set(queries.QUERIES)
