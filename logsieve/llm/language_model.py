@@ -22,7 +22,9 @@ DEPTH = 5
 SPLIT = 3  # contexts of so many bytes are dealt over the tasks; above are at most 2**(8 * SPLIT) nodes
 FREQUENT = 1 << 18  # words with at least 1 / FREQUENT of all tokens, of which there can't be more, are sent to every task
 FREQUENT_GRAMS = 1 << 22  # likewise the scores of grams, 16 bytes each
-PART_GRAMS = 1 << 18  # subtrees are taken in parts of about so many grams
+PART_GRAMS = 1 << 15  # subtrees are taken in parts of about so many grams, for each of which some arrays of eight values are held
+MERGE_GRAMS = 1 << 19  # counted grams wait for a merge until there are so many
+HELD_GRAMS = 1 << 20  # merged grams that a task holds before it hands them over, 16 bytes each
 HALF = math.log(0.5)
 
 
@@ -83,23 +85,21 @@ def _merge(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _counting_grams(depth: int):
-    """Per task (gram, its number in training, its number), folded whenever many have come."""
+    """Per task (gram, its number in training, its number), merged as they come and handed over when many are held."""
 
     def run(batches):
         from logsieve.llm.words import text_chunks
 
         kept: dict[bool, tuple[list, list]] = {True: ([], []), False: ([], [])}
 
-        def fold():
-            for held, (grams, counts) in kept.items():
-                if grams:
-                    g, c = _merge(grams, counts)
-                    zero = np.zeros(len(c), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(zero if held else c), pa.array(c)], ["gram", "c", "n"])
-                    grams.clear()
-                    counts.clear()
+        def rows(held):
+            grams, counts = kept[held]
+            if grams:
+                g, c = _merge(grams, counts)
+                kept[held] = ([], [])
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.zeros(len(c), np.int64) if held else c), pa.array(c)], ["gram", "c", "n"])
 
-        size = 0
+        waiting = {True: 0, False: 0}
         for batch in batches:
             held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for flag in (False, True):
@@ -107,11 +107,14 @@ def _counting_grams(depth: int):
                     g, c = np.unique(text_grams(data, offsets, depth)[0], return_counts=True)
                     kept[flag][0].append(g)
                     kept[flag][1].append(c)
-                    size += len(g)
-                    if size > 1 << 23:
-                        yield from fold()
-                        size = 0
-        yield from fold()
+                    waiting[flag] += len(g)
+                    if waiting[flag] > MERGE_GRAMS:
+                        g, c = _merge(*kept[flag])
+                        kept[flag], waiting[flag] = ([g], [c]), 0
+                        if len(g) > HELD_GRAMS:
+                            yield from rows(flag)
+        for flag in (False, True):
+            yield from rows(flag)
 
     return run
 
