@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from logsieve.llm.store import written
 from logsieve.operators.overlap import connected_components
 
-BLOCKS = 16  # the bucket counts are added up in so many parts
+COUNT_ROWS = 1 << 14  # bucket counts are handed over in batches of so many
 SIGN_BITS = 256  # of the bitmap that goes with the rows of a group, in words of 64
 SIGNS = [f"sign{i}" for i in range(SIGN_BITS // 64)]
 ROWS = 1000  # rows with long values are handed over in batches of so many
@@ -69,34 +69,20 @@ def _bucket_counts(width: int, bits: int):
             sets = list(shingle_sets(batch.column(0), width))
             for first in range(0, len(sets), 512):
                 counts += np.bincount((np.concatenate(sets[first : first + 512]) & mask).astype(np.int64), minlength=1 << bits)
-        if counts.any():
-            parts = counts.astype("<i8").reshape(BLOCKS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "counts"])
+        bucket = np.flatnonzero(counts)
+        for first in range(0, len(bucket), COUNT_ROWS):
+            some = bucket[first : first + COUNT_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], ["bucket", "n"])
 
     return run
 
 
-def _add_blocks(batches):
-    block, total = None, None
-    for batch in batches:
-        for key, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if key != block:
-                if total is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
-                block, total = key, np.zeros(len(counts) // 8, "<i8")
-            total += np.frombuffer(counts, "<i8")
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
-
-
-def bucket_counts(rows: DataFrame, counting, bits: int) -> np.ndarray:
-    """Sums of the tasks' counts by bucket, over all rows."""
-    schema = "block int, counts binary"
-    parts = rows.mapInArrow(counting, schema).repartition(BLOCKS, "block").sortWithinPartitions("block").mapInArrow(_add_blocks, schema)
-    out = np.zeros((BLOCKS, (1 << bits) // BLOCKS), np.int64)
-    for row in parts.collect():  # 2**bits numbers in all
-        out[row["block"]] = np.frombuffer(row["counts"], "<i8")
-    return out.reshape(-1)
+def bucket_counts(texts: DataFrame, width: int, bits: int) -> np.ndarray:
+    """Elements of all sets by bucket. A task hands over the buckets that it met only; at most 2**bits sums come back."""
+    met = texts.mapInArrow(_bucket_counts(width, bits), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << bits, np.int64)
+    out[met.column("bucket").to_numpy()] = met.column("n").to_numpy()
+    return out
 
 
 def _id_bucket(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -105,16 +91,16 @@ def _id_bucket(ids: np.ndarray, bits: int) -> np.ndarray:
     return (mix(ids.astype(np.uint64) * BASE) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _id_counts(bits: int):
+def id_flags(ids: DataFrame, bits: int) -> np.ndarray:
+    """Which of 2**bits buckets hold an id: each bucket comes to the driver once."""
+
     def run(batches):
-        counts = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            counts += np.bincount(_id_bucket(batch.column(0).to_numpy(), bits), minlength=1 << bits)
-        if counts.any():
-            parts = counts.astype("<i8").reshape(BLOCKS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_id_bucket(batch.column(0).to_numpy(), bits)), pa.int32())], ["bucket"])
 
-    return run
+    out = np.zeros(1 << bits, bool)
+    out[ids.mapInArrow(run, "bucket int").distinct().toArrow().column("bucket").to_numpy()] = True
+    return out
 
 
 def _sizes(width: int):
@@ -345,7 +331,7 @@ def jaccard_join(
     id_ = F.col(f"`{id_col}`").cast("long")
     source = docs.where(id_.isNotNull()).select(id_.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(bucket_counts(source.select("text"), _bucket_counts(width, sketch_bits), sketch_bits))
+    counts = spark.sparkContext.broadcast(bucket_counts(source.select("text"), width, sketch_bits))
     sets = written(source.mapInArrow(_sizes(width), ", ".join(["id long, n long, digest binary, bitmap binary", *[f"{c} long" for c in SIGNS]])), "sets")
     classes = written(sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("set"), *[F.min(c).alias(c) for c in SIGNS]), "classes")
     prefixes = source.mapInArrow(_prefixes(width, percent, sketch_bits, counts), "id long, n long, prefix binary")
@@ -366,7 +352,7 @@ def jaccard_join(
 
     def verified(pairs: DataFrame) -> DataFrame:
         members = members_of(pairs)
-        wanted = spark.sparkContext.broadcast(bucket_counts(members, _id_counts(id_bits), id_bits) > 0)
+        wanted = spark.sparkContext.broadcast(id_flags(members, id_bits))
         full = written(source.mapInArrow(_full_sets(width, wanted, id_bits), "set long, elements binary"), "members")
         left, right = (full.select(F.col("set").alias(k), F.col("elements").alias(f"elements_{k}")) for k in "ab")
         met = pairs.join(left, "a").join(right, "b").select("a", "b", "elements_a", "elements_b")
