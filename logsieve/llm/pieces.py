@@ -24,8 +24,9 @@ PLACE = (1 << SYMBOL_BITS) - 1  # of a merge, which is written as rank and place
 NONE = np.int64(1) << np.int64(60)
 LONG = 200  # characters from which a part has an agenda of its own; shorter ones are segmented together
 SHORT = 24  # characters up to which the segmentations of a part are kept
-MEMORY_NODES = 400_000  # a worker forgets the segmentations when it holds so many
-OCCURRENCES = 1 << 17  # taken through the trees at once
+MEMORY_BYTES = 64 << 20  # a worker forgets the segmentations when they take about so many bytes
+NODE_BYTES = 500  # of a node's entries in lists and dictionaries; its arrays and skips come on top
+OCCURRENCES = 1 << 15  # taken through the trees at once
 
 
 class PieceModel:
@@ -128,7 +129,7 @@ class DropoutEncoder:
     the next candidate of its agenda (best score, then leftmost). Longer parts are segmented for each occurrence.
     """
 
-    def __init__(self, model: PieceModel, dropout: float, seed: int, memory: int = MEMORY_NODES):
+    def __init__(self, model: PieceModel, dropout: float, seed: int, memory: int = MEMORY_BYTES):
         self.model, self.limit, self.memory = model, int(dropout * (1 << 32)), memory
         self.key = np.uint64(int.from_bytes(hashlib.blake2b(f"{seed}".encode(), digest_size=8).digest(), "little"))
         self._forget()
@@ -139,6 +140,7 @@ class DropoutEncoder:
         self.parts: list[str] = []  # of the nodes, like the next three
         self.without: list[tuple[int, ...]] = []
         self.merges, self.ids = _Rows(np.int64), _Rows(np.int32)
+        self.held = 0  # bytes, about
 
     def _skipped(self, draws: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
         x = mix(draws ^ (place.astype(np.uint64) * BASE + rank.astype(np.uint64)))
@@ -262,7 +264,9 @@ class DropoutEncoder:
         self.parts += parts
         self.without += without
         self.merges.append(made, np.bincount(part, minlength=len(parts)))
-        self.ids.append(np.frombuffer(b"".join(ids), np.int32), np.array([len(i) // 4 for i in ids]))
+        blob = b"".join(ids)
+        self.ids.append(np.frombuffer(blob, np.int32), np.array([len(i) // 4 for i in ids]))
+        self.held += NODE_BYTES * len(parts) + 2 * (made.nbytes + len(blob)) + 40 * len(skips)  # arrays have up to twice their length
         return range(first, len(self.parts))
 
     def _walk(self, node: np.ndarray, draws: np.ndarray) -> None:
@@ -336,7 +340,7 @@ class DropoutEncoder:
         parts = [p for c in cut for p in c]
         ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for first in range(0, len(parts), OCCURRENCES):
-            if len(self.parts) > self.memory:
+            if self.held > self.memory:
                 self._forget()
             chosen = self._chosen(parts[first : first + OCCURRENCES], draws[first : first + OCCURRENCES])
             ids.append(chosen[0])
