@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsieve.functions.rows import explode_computed
+from logsieve.operators import literals
 
 # fixed values: rules that are always critical
 ALWAYS_CRITICAL = ("Ransomware_FileExtensions", "Webshell_Indicators", "Credential_Dumping")
@@ -75,16 +76,30 @@ def confidence(n_strings: Column, tags: Sequence[str]) -> Column:
 def signature_match(
     df: DataFrame, rules: Sequence[SignatureRule], text: str = "message", keep: Sequence[str] = ("entry_id",)
 ) -> DataFrame:
-    """One row per rule and text it matches, with the matched strings; each text is searched once."""
-    parts = [
-        _one_pass(df, rules[i : i + RULES_PER_PASS], text, keep) for i in range(0, len(rules), RULES_PER_PASS)
-    ]
+    """One row per rule and text it matches, with the matched strings; each text is searched once.
+
+    Up to RULES_PER_PASS rules are columns over the text. More are matched through an index of their strings (`literals`),
+    with the same rows; only rules that hold without any string, or whose condition has very many alternatives, stay
+    columns, RULES_PER_PASS at a time.
+    """
+    few, many, conditions = list(rules), [], []
+    if len(few) > RULES_PER_PASS:
+        found = [(r, literals.condition_of(r.condition, list(r.strings))) for r in rules]
+        few = [r for r, c in found if c is None or c.holds_without_strings]
+        many, conditions = zip(*[(r, c) for r, c in found if c is not None and not c.holds_without_strings], strict=True) if len(few) < len(found) else ([], [])
+    parts = [_one_pass(df, few[i : i + RULES_PER_PASS], text, keep) for i in range(0, len(few), RULES_PER_PASS)]
+    if many:
+        parts.append(literals.indexed_match(df, many, conditions, text, keep, SHOWN_CHARACTERS, _severity, confidence))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def _severity(rule: SignatureRule) -> str:
+    return "critical" if rule.name in ALWAYS_CRITICAL else rule.severity
+
+
 def _one_pass(df, rules, text, keep) -> DataFrame:
     source = df.select(*keep, F.col(text).alias("_text"), F.lower(text).alias("_lowered"))
     # a string that several rules share is searched for once
@@ -101,13 +116,12 @@ def _one_pass(df, rules, text, keep) -> DataFrame:
         strings = F.array_compact(
             F.array(*[F.when(F.col(shared[p]), F.lit(p.text[:SHOWN_CHARACTERS])) for p in rule.strings.values()])
         )
-        severity = "critical" if rule.name in ALWAYS_CRITICAL else rule.severity
         hits.append(
             F.when(
                 F.expr(_condition_sql(rule.condition, names)),
                 F.struct(
                     F.lit(rule.name).alias("rule"),
-                    F.lit(severity).alias("severity"),
+                    F.lit(_severity(rule)).alias("severity"),
                     F.lit(rule.category).alias("category"),
                     F.lit(rule.mitre).alias("mitre_technique"),
                     confidence(F.size(strings), rule.tags).alias("confidence"),

@@ -362,3 +362,38 @@ SIGNATURE_SQL = """, sg AS (
 def signature_match(spark, sf_dir):
     found = signatures.signature_match(adapt.messages(spark, sf_dir), SIGNATURES)
     return rounded(found.withColumn("strings", F.array_join("strings", ",")))
+
+
+RULE_SET = 5000
+RULE_CONDITIONS = ("any of them", "$a and not $c", "2 of them", "$c and ($a or not $b)", "all of ($a, $b)")
+
+
+def _rule_set() -> list[signatures.SignatureRule]:
+    return [
+        signatures.SignatureRule(
+            f"rule_{i}", {"a": P(f"user_{i} FROM", True), "b": P(f"203.0.113.{i % 256};"), "c": P(f"Unit-{i % 128} by", True)}, RULE_CONDITIONS[i % 5], "low", "ops", "T1000",
+            ("APT",) if i % 7 == 0 else (),
+        )
+        for i in range(RULE_SET)
+    ]
+
+
+@query(
+    "signature_rule_set",
+    s.with_ctes(
+        "messages",
+        f""", rs AS (SELECT unnest(range({RULE_SET})) AS i),
+    st AS (SELECT i, 0 AS place, 'user_' || i || ' FROM' AS shown, 'user_' || i || ' from' AS needle, true AS nocase FROM rs
+      UNION ALL SELECT i, 1, '203.0.113.' || (i % 256) || ';', '203.0.113.' || (i % 256) || ';', false FROM rs
+      UNION ALL SELECT i, 2, 'Unit-' || (i % 128) || ' by', 'unit-' || (i % 128) || ' by', true FROM rs),
+    nd AS (SELECT DISTINCT needle, nocase FROM st),
+    ht AS (SELECT entry_id, needle, nocase FROM messages, nd WHERE contains(CASE WHEN nocase THEN lower(message) ELSE message END, needle)),
+    pr AS (SELECT entry_id, i, bool_or(place = 0) AS a, bool_or(place = 1) AS b, bool_or(place = 2) AS c, count(*) AS n, string_agg(shown, ',' ORDER BY place) AS strings
+      FROM ht JOIN st USING (needle, nocase) GROUP BY 1, 2)
+    SELECT entry_id, 'rule_' || i AS rule, 'low' AS severity, 'ops' AS category, 'T1000' AS mitre_technique, CASE WHEN i % 7 = 0 THEN 0.9 ELSE 0.8 END::DOUBLE AS confidence, strings
+    FROM pr WHERE CASE i % 5 WHEN 0 THEN true WHEN 1 THEN a AND NOT c WHEN 2 THEN n >= 2 WHEN 3 THEN c AND (a OR NOT b) ELSE a AND b END""",
+    ),
+)
+def signature_rule_set(spark, sf_dir):
+    found = signatures.signature_match(adapt.messages(spark, sf_dir), _rule_set())
+    return rounded(found.withColumn("strings", F.array_join("strings", ",")))
