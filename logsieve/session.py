@@ -32,7 +32,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
-        if configured is None and not context.master.startswith("local"):
+        if configured is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="logsieve-ckpt-"))
     return df.checkpoint(eager=True)

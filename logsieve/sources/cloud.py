@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from logsieve.functions.clock import normalize_timestamp
 from logsieve.functions.net import lookup
-from logsieve.sources.jsonlogs import objects
-from logsieve.sources.lines import read_documents
+from logsieve.sources.jsonlogs import ENVELOPES, objects
+from logsieve.sources.jsonsplit import read_json_records
 
 # fixed values: calls of high risk and what they do
 HIGH_RISK_CALLS = {
@@ -108,9 +108,7 @@ def with_risk(typed: DataFrame) -> DataFrame:
 
 
 def read_cloudtrail(spark: SparkSession, path: str) -> DataFrame:
-    """Audit files, plain or gzip, with `Records`, a list or a single object."""
-    documents = read_documents(spark, path)
-    wrapped = documents.withColumn(
-        "text", F.coalesce(F.get_json_object("text", "$.Records"), F.col("text"))
-    )
-    return calls(objects(wrapped))
+    """Audit files, plain or gzip, with `Records`, a list or objects; plain ones are read by split whatever their size."""
+    elements, texts = read_json_records(spark, path, ("Records", *ENVELOPES))
+    wrapped = texts.withColumn("text", F.coalesce(F.get_json_object("text", "$.Records"), F.col("text")))
+    return calls(elements.unionByName(objects(wrapped)))

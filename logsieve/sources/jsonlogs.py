@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from logsieve.functions import text as txt
 from logsieve.functions.clock import normalize_timestamp
 from logsieve.functions.rows import explode_computed
-from logsieve.sources.lines import read_documents, read_lines
+from logsieve.sources.jsonsplit import read_json_records
+from logsieve.sources.lines import read_lines
 
 # fixed values: names of fields, tried in this order
 ENVELOPES = ("records", "events", "logs", "data", "items", "entries", "results")
@@ -156,14 +157,14 @@ def json_entries(df: DataFrame, obj: str = "object", keep: Sequence[str] = ("fil
 
 
 def read_json_logs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Entries of JSON files; `lines=True` reads JSON lines, which can be split at any size."""
+    """Entries of JSON files, split at any size; `lines=True` takes each line for itself, which needs no scan."""
     if lines:
         numbered = read_lines(spark, path).select("file_id", F.col("line").alias("text"))
         return json_entries(objects(numbered))
-    documents = read_documents(spark, path)
-    whole = F.trim("text")
-    # a file whose lines are all objects is a file of JSON lines
-    rows = F.filter(F.transform(F.split(whole, "\n"), F.trim), lambda r: r != "")
-    is_lines = (F.size(rows) > 1) & F.forall(rows, lambda r: r.startswith("{") & r.endswith("}"))
-    parts = F.when(is_lines, rows).otherwise(F.array(whole))
-    return json_entries(objects(explode_computed(documents, ["file_id"], parts, "text")))
+    return json_entries(read_objects(spark, path))
+
+
+def read_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, object): the records of JSON files of any shape, read by split (`jsonsplit`)."""
+    elements, texts = read_json_records(spark, path, ENVELOPES)
+    return elements.unionByName(objects(texts))
