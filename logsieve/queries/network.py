@@ -312,7 +312,7 @@ def sensor_notice(spark, sf_dir):
 
 
 UID_SQL = SENSOR_SQL + """, ev AS (SELECT uid, at_s, 'connection' AS log_type, k * 30 AS b, odd AS bad FROM cn UNION ALL
-    SELECT uid, at_s, 'notice', 0, true FROM z WHERE k % 4 = 0),
+    SELECT uid, at_s, 'notice', 0, true FROM z WHERE st IN ('REJ', 'RSTR', 'RSTOS0')),
   uc AS (SELECT uid, count(*) AS event_count, string_agg(DISTINCT log_type, ',' ORDER BY log_type) AS log_types, CAST(max(at_s) - min(at_s) AS DOUBLE) AS duration,
      CAST(sum(b) AS BIGINT) AS total_bytes, bool_or(bad) AS has_threat FROM ev GROUP BY 1 HAVING count(*) > 1)"""
 
@@ -320,7 +320,7 @@ UID_SQL = SENSOR_SQL + """, ev AS (SELECT uid, at_s, 'connection' AS log_type, k
 def mixed_events(spark, sf_dir):
     rows = sensor_rows(spark, sf_dir)
     shared = ["log_type", "uid", "ts", "source_ip", "dest_ip", "severity", "suspicious"]
-    notices = zeek.notice(rows.where(F.col("note").isNotNull() & (F.split_part("src", F.lit(":"), F.lit(2)).cast("int") % 4 == 0)))
+    notices = zeek.notice(rows.where(F.col("note").isNotNull() & F.col("conn_state").isin("REJ", "RSTR", "RSTOS0")))  # of connections that failed
     return zeek.conn(rows).select(*shared, "orig_bytes", "resp_bytes").unionByName(notices.select(*shared), allowMissingColumns=True)
 
 

@@ -8,6 +8,7 @@ from logsieve import adapt
 from logsieve.functions import text as txt
 from logsieve.queries import sqlkit as s
 from logsieve.queries.registry import query
+from logsieve.session import shared_path
 from logsieve.sources import csvlogs, inventory, jsonlogs, logcat, registry, text
 
 ST = "strftime(ts, '{}')"
@@ -316,3 +317,56 @@ def distinct_documents(spark, sf_dir):
 def parse_stats(spark, sf_dir):
     parsed = text.parse_lines(raw_lines(spark, sf_dir), year=2024)
     return inventory.parse_stats(parsed, ok=~F.col("unstructured")).drop("first_ts", "last_ts")
+
+
+FOLDERS = {",": "comma", "\t": "tab", "|": "bar", ";": "semicolon", ":": "colon"}
+
+
+@query(
+    "csv_folders",
+    s.with_ctes(
+        "messages",
+        f"""SELECT line_no, CASE k % 5 WHEN 4 THEN NULL ELSE epoch_us(date_trunc('second', ts)) // 1000000 END AS at_s, CASE WHEN k % 5 IN (1, 3) THEN '10.1.1.' || k ELSE source END AS source,
+        CASE WHEN {s.first_class('event_type', txt.CSV_ACTION_WORDS, '')} <> '' THEN {s.first_class('event_type', txt.CSV_ACTION_WORDS, '')} ELSE
+          {s.first_class("event_type || ' ' || \"user\" || ' ' || source || ' ' || level", txt.EVENT_TYPE_WORDS['csv'], 'generic_event')} END AS event_type,
+        CASE level WHEN 'error' THEN 'high' ELSE 'info' END AS severity, "user" AS users, '10.1.1.' || k AS ips FROM messages""",
+    ),
+)
+def csv_folders(spark, sf_dir):
+    """Events written as files of five delimiters and two headers, read back as one table."""
+    folder = shared_path(spark, "csv-folders")
+    day = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("log_time")
+    ip = F.concat(F.lit("10.1.1."), F.col("k").cast("string")).alias("ip")
+    rest = [ip, F.col("user").alias("login"), F.col("event_type").alias("command"), F.col("level").alias("severity"), F.col("line_no").alias("line")]
+    for n, (sep, name) in enumerate(FOLDERS.items()):
+        rows = adapt.messages(spark, sf_dir).where(F.col("k") % 5 == n)
+        columns = [day, *rest, F.col("source").alias("host")] if n % 2 == 0 else [*rest, day, F.col("source").alias("place")]
+        if sep == ":":  # times hold colons
+            columns = columns[1:]
+        rows.select(*columns).write.csv(f"{folder}/{name}", sep=sep, header=True)
+    found = csvlogs.read_csv_logs(spark, f"{folder}/*")
+    return found.select(
+        F.col("metadata.csv_line").cast("long").alias("line_no"), F.unix_seconds("ts").alias("at_s"), "source", "event_type", "severity",
+        F.array_join("users", ",").alias("users"), F.array_join("ip_addresses", ",").alias("ips"),
+    )
+
+
+@query(
+    "json_array_files",
+    "SELECT event_id, user_id, event_type, props, event_id // 1000 AS chunk FROM events",
+)
+def json_array_files(spark, sf_dir):
+    """Events written as JSON arrays, a thousand each, and read back by split."""
+    folder = shared_path(spark, "json-arrays")
+    events = adapt.table(spark, sf_dir, "events").withColumn("chunk", F.expr("event_id div 1000"))
+    record = F.struct("event_id", F.to_json(F.struct("user_id", "event_type", "props")).alias("said"), F.array(F.struct("event_type", "chunk")).alias("more"))
+    arrays = events.groupBy("chunk").agg(F.to_json(F.collect_list(record)).alias("value"))
+    arrays.repartition("chunk").write.partitionBy("chunk").text(folder)
+    o = F.col("object")
+    said = F.get_json_object(o, "$.said")
+    found = jsonlogs.read_objects(spark, f"{folder}/*/*.txt")
+    return found.select(
+        F.get_json_object(o, "$.event_id").cast("long").alias("event_id"), F.get_json_object(said, "$.user_id").cast("long").alias("user_id"),
+        F.get_json_object(o, "$.more[0].event_type").alias("event_type"), F.get_json_object(said, "$.props").alias("props"),
+        F.get_json_object(o, "$.more[0].chunk").cast("long").alias("chunk"),
+    )

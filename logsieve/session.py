@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +27,22 @@ def build_session(app_name: str = "logsieve", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a local folder only where none is set."""
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
         if configured is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="logsieve-ckpt-"))
+    return str(context.getCheckpointDir()).rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder the cluster names; a local folder only where none is set."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

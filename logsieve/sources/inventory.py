@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,22 +84,39 @@ def identify(df: DataFrame, path: str = "path", head: str | None = "head") -> Da
 
 
 KNOWN_ENDINGS = r"(?i)\.(" + "|".join(e for table in KINDS_BY_CATEGORY.values() for e in table) + ")$"
-MAX_SNIFFED_BYTES = 64 * 1024 * 1024
+RANGED_SCHEMES = ("file", "s3", "s3a", "gs")  # of which executors can read a part of a file
+
+
+def _heads(batches):
+    """The first bytes of each file, by a ranged read."""
+    for batch in batches:
+        heads = []
+        for uri in batch.column(0).to_pylist():
+            scheme, rest = uri.split(":", 1)
+            if scheme == "file":
+                system, path = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+            else:
+                system, path = fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", uri))
+            with system.open_input_file(path) as file:
+                heads.append(file.read_at(min(HEAD_BYTES, file.size()), 0))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], [*batch.schema.names, "head"])
 
 
-def read_inventory(spark: SparkSession, path: str) -> DataFrame:
+def read_inventory(spark: SparkSession, path: str, ranged_schemes: Sequence[str] = RANGED_SCHEMES) -> DataFrame:
     """Files under a path with size and kind.
 
-    Files with a known ending are only listed. Contents are read for the others, up to 64 MB
-    each, because a file source hands out a whole file; larger ones count as binary.
+    Files with a known ending are only listed. Of the others the first HEAD_BYTES are read, whatever their size: by a ranged
+    read in the executors where the file system's scheme is one of `ranged_schemes`, else from the whole content, which
+    Spark's file source hands out.
     """
     files = spark.read.format("binaryFile").load(path)
     known = F.col("_metadata.file_name").rlike(KNOWN_ENDINGS)
+    ranged = F.split_part("path", F.lit(":"), F.lit(1)).isin(*ranged_schemes) if ranged_schemes else F.lit(False)
     listed = ["path", "length", "modificationTime"]
-    head = F.decode(F.substring("content", 1, HEAD_BYTES), "ISO-8859-1")
-    sniffed = files.where(~known & (F.col("length") <= MAX_SNIFFED_BYTES)).select(*listed, head.alias("head"))
-    others = files.where(known | (F.col("length") > MAX_SNIFFED_BYTES)).select(*listed)
-    return identify(sniffed).drop("head").unionByName(identify(others, head=None))
+    by_range = files.where(~known & ranged).select(*listed).mapInArrow(_heads, "path string, length long, modificationTime timestamp, head binary")
+    whole = files.where(~known & ~ranged).select(*listed, F.substring("content", 1, HEAD_BYTES).alias("head"))
+    unknown = by_range.unionByName(whole).withColumn("head", F.decode("head", "ISO-8859-1"))
+    return identify(unknown).drop("head").unionByName(identify(files.where(known).select(*listed), head=None))
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsieve.functions import text as txt
 from logsieve.functions.clock import normalize_timestamp
-from logsieve.operators.ordered import neighbour_frames
+from logsieve.operators.ordered import with_carry
 from logsieve.sources.lines import read_lines
 
 # fixed values: shapes of a line, tested in this order
@@ -21,7 +24,8 @@ SHAPES = {
 }
 JAVA_START, JAVA_MORE = r"^[\w\.]+Exception(?::|$)", r"^\s+at\s+[\w\.\$]+"
 PYTHON_START, PYTHON_MORE = PYTHON, r'^(?:\s+File\s+"|(?:\s+)?[\w\.]+Error:)'
-MAX_LINES = {"java_stacktrace": 50, "python_traceback": 30}
+CHUNK_LINES = 10_000
+MAX_LINES = {"java_stacktrace": 50, "python_traceback": 30}  # limits that `stitch_multiline` can be given
 # fixed values: timestamps anywhere in a line
 LOOSE_TIMESTAMPS = (
     r"\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}",
@@ -107,34 +111,37 @@ def access_log(lines: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
-def stitch_multiline(lines: DataFrame, file: str = "file_id", number: str = "line_no", line: str = "line") -> DataFrame:
-    """Stack traces as one entry each: a start line and the continuation lines right after it.
+def stitch_multiline(
+    lines: DataFrame, file: str = "file_id", number: str = "line_no", line: str = "line", max_lines: Mapping[str, int] | None = None,
+) -> DataFrame:
+    """Stack traces as one entry each: a start line and all continuation lines right after it.
 
-    A trace ends after at most 50 lines, so a line only has to look back that far.
+    With `max_lines` (such as MAX_LINES) a trace ends after so many lines of its kind. The last line that does not go on with a trace is
+    looked for in the line's own chunk of the file; what chunks hand over is one row each.
     """
     c = F.col(line)
     start = F.when(c.rlike(JAVA_START), "java_stacktrace").when(c.rlike(PYTHON_START), "python_traceback")
     more = F.when(c.rlike(JAVA_MORE), "java_stacktrace").when(c.rlike(PYTHON_MORE), "python_traceback")
     flagged = lines.select(
-        file, number, line, start.alias("_start"), F.when(start.isNull(), more).alias("_more")
+        file, number, line, start.alias("_start"), F.when(start.isNull(), more).alias("_more"), F.floor(F.col(number) / CHUNK_LINES).alias("_chunk")
     )
-    reach = max(MAX_LINES.values())
     # a line belongs to a trace when the last line that does not go on with that kind of trace opened one
     opener = F.struct(F.col(number).alias("at"), F.col("_start").alias("kind"))
-    others = {k: F.coalesce(F.col("_more") != k, F.lit(True)) for k in MAX_LINES}
-    framed = neighbour_frames(
-        flagged, [file], number, reach, 0,
-        {f"_open_{k}": (F.last(F.when(others[k], opener), ignorenulls=True), -reach, 0) for k in MAX_LINES},
+    others = {k: F.when(F.coalesce(F.col("_more") != k, F.lit(True)), opener) for k in MAX_LINES}
+    earlier = W.partitionBy(file).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carried = with_carry(
+        flagged, [file], "_chunk", {f"_last_{k}": F.max(o) for k, o in others.items()}, {f"_before_{k}": F.last(f"_last_{k}", ignorenulls=True).over(earlier) for k in MAX_LINES}
     )
+    here = W.partitionBy(file, "_chunk").orderBy(number).rowsBetween(W.unboundedPreceding, 0)
+    framed = carried.withColumns({f"_open_{k}": F.coalesce(F.last(o, ignorenulls=True).over(here), F.col(f"_before_{k}")) for k, o in others.items()})
     kind, block = F.col("_start"), F.when(F.col("_start").isNotNull(), F.col(number))
     for k in MAX_LINES:
         goes_on = (F.col("_more") == k) & (F.col(f"_open_{k}.kind") == k)
         kind = F.when(goes_on, F.lit(k)).otherwise(kind)
         block = F.when(goes_on, F.col(f"_open_{k}.at")).otherwise(block)
-    limit = F.when(kind == "java_stacktrace", MAX_LINES["java_stacktrace"]).otherwise(MAX_LINES["python_traceback"])
-    inside = framed.select(file, number, line, kind.alias("kind"), block.alias("block")).where(
-        kind.isNotNull() & (F.col(number) - block < limit)
-    )
+    inside = framed.select(file, number, line, kind.alias("kind"), block.alias("block")).where(kind.isNotNull())
+    for k, limit in (max_lines or {}).items():
+        inside = inside.where((F.col("kind") != k) | (F.col(number) - F.col("block") < limit))
     blocks = inside.groupBy(file, "block", "kind").agg(
         F.count(F.lit(1)).alias("lines"), F.array_sort(F.collect_list(F.struct(F.col(number), F.col(line)))).alias("_rows")
     )

@@ -50,10 +50,14 @@ def test_stack_traces(spark, tmp_path):
     assert (rows[6].lines, rows[6].message) == (3, "ValueError: bad") and len(rows) == 2
 
 
-def test_stack_trace_is_cut_at_fifty_lines(spark, tmp_path):
+def test_stack_trace_is_cut_at_fifty_lines(spark, tmp_path, monkeypatch):
     path = write(tmp_path / "long.log", "my.FooException: x\n" + "\tat a.b.C\n" * 80)
-    (row,) = text.stitch_multiline(lines.read_lines(spark, path)).collect()
+    (row,) = text.stitch_multiline(lines.read_lines(spark, path), max_lines=text.MAX_LINES).collect()
     assert row.lines == 50
+    for chunk in (text.CHUNK_LINES, 7):  # without a limit all lines, over any number of chunks
+        monkeypatch.setattr(text, "CHUNK_LINES", chunk)
+        (row,) = text.stitch_multiline(lines.read_lines(spark, path)).collect()
+        assert row.lines == 81 and row.raw_data.count("\n") == 80
 
 
 def test_csv(spark, tmp_path):
@@ -122,6 +126,58 @@ def test_inventory(spark, tmp_path):
     assert (rows["b.unknown"].kind, rows["b.unknown"].method) == ("timestamp_log", "content")
 
 
+def test_large_unknown_file_gets_its_kind(spark, tmp_path):
+    with (tmp_path / "big.unknown").open("w") as out:
+        line = "2024-01-01 00:00:00 hello " + "x" * 1000 + "\n"
+        for _ in range(66):
+            out.write(line * 1000)
+    write(tmp_path / "name with # and ü.weird", "From: a@b.c\nSubject: x\n")
+    (tmp_path / "zeros.bin2").write_bytes(bytes(70 << 20))
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in inventory.read_inventory(spark, str(tmp_path)).collect()}
+    assert rows["big.unknown"].length > 64 << 20 and (rows["big.unknown"].kind, rows["zeros.bin2"].kind) == ("timestamp_log", "binary")
+    whole = {r.path.rsplit("/", 1)[-1]: r.kind for r in inventory.read_inventory(spark, str(tmp_path / "*#*"), ranged_schemes=()).collect()}
+    assert len(whole) == 1 and set(whole.values()) == {"email_headers"} and len(rows) == 3
+
+
+FIVE = {"a.csv": ",", "b.csv": "\t", "c.csv": "|", "d.csv": ";", "e.csv": ":"}
+
+
+def five_files(folder, header=True):
+    rows = [("2024-01-15 10:00:00", "192.168.1.1", "bob", "ALLOW", 'say "hi"', "h1"), ("", "10.0.0.1", " eve ", "BLOCK", "", "h2"), ("x", "", "", "", "", "")]
+    for n, (name, sep) in enumerate(FIVE.items()):
+        skip = 1 if sep == ":" else n % 2
+        kept = [[v if '"' not in v else '"' + v.replace('"', '""') + '"' for v in r[skip:]] for r in rows]
+        names = ["timestamp", "src_ip", "user", "action", "note", "host"][skip:]
+        write(folder / name, "\n".join(["", *([sep.join(names)] if header else []), *map(sep.join, kept), ""]))
+    return rows
+
+
+def test_csv_folder_of_five_delimiters(spark, tmp_path):
+    five_files(tmp_path)
+    shown = lambda r: (r.ts, r.source, r.event_type, r.severity, r.message, r.users, r.ip_addresses, sorted(r.metadata.items()))
+    together = csvlogs.read_csv_logs(spark, str(tmp_path)).collect()
+    assert {r.file_id.rsplit("/", 1)[-1] for r in together} == set(FIVE)
+    for name, sep in FIVE.items():
+        alone = csvlogs.csv_entries(csvlogs.read_csv(spark, str(tmp_path / name), sep).drop("_corrupt_record")).collect()
+        assert sorted(map(str, map(shown, alone))) == sorted(str(shown(r)) for r in together if r.file_id.endswith(name)), name
+
+
+def test_csv_dialects(spark, tmp_path):
+    five_files(tmp_path)
+    write(tmp_path / "short.csv", "user,user,action\neve,bob\neve,bob,ALLOW,more\n")
+    write(tmp_path / "empty.csv", "\n\n")
+    found = {r.file_id.rsplit("/", 1)[-1]: r for r in csvlogs.csv_dialects(spark, str(tmp_path)).collect()}
+    assert {n: found[n].delimiter for n in FIVE} == FIVE and "empty.csv" not in found
+    assert list(found["short.csv"].columns) == ["user0", "user1", "action"]
+    rows = csvlogs.read_csv_rows(spark, str(tmp_path / "short.csv")).collect()
+    assert sorted(((tuple(r["values"]), r.corrupt) for r in rows), key=str) == [(("eve", "bob", "ALLOW"), True), (("eve", "bob", None), True)]
+    write(tmp_path / "quoted.csv", 'a;b\n"x;""y""";2\n;"1,2"\n')
+    quoted = csvlogs.read_csv_rows(spark, str(tmp_path / "quoted.csv"), ";").collect()
+    assert [(tuple(r["values"]), r.corrupt) for r in quoted] == [(('x;"y"', "2"), False), ((None, "1,2"), False)]
+    bare = csvlogs.read_csv_rows(spark, str(tmp_path / "a.csv"), has_header=False).collect()
+    assert len(bare) == 4 and bare[0]["columns"][0] == "_c0" and csvlogs.read_csv_logs(spark, str(tmp_path / "empty.csv")).count() == 0
+
+
 def test_flow_csv(spark, tmp_path):
     path = write(
         tmp_path / "flows.csv",
