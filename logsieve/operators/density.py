@@ -1,9 +1,13 @@
-"""Points without enough neighbours, exactly, on a grid.
+"""Points without enough neighbours, exactly, for any number of features.
 
 Cells are so small that all points of a cell are neighbours. A cell with enough points
 makes all of them core points without looking at any pair; only the few points of sparse
 cells are compared with what lies around them, at most a fixed number of such points per
 cell, so the work grows linearly however many points share a cell.
+
+Up to MAX_DIMENSIONS features what lies around is found by the cells next to a cell, whose number grows as a power of the
+features. With more, space is cut in boxes by the medians of a sample, feature by feature; every point goes to its
+own box and to those within eps of it, and points of a box are compared in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -12,13 +16,19 @@ import itertools
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.operators.stats import with_scalars
+from logsieve.session import cut_lineage
 
-MAX_DIMENSIONS = 3
+MAX_DIMENSIONS = 3  # by cells
 SALTS = 16
+SAMPLE_POINTS = 50_000  # by which the boxes are cut; decides the work, never the result
+BOX_POINTS = 4_096  # of a box, about, as far as the sample can tell; more are compared in blocks of so many
 
 
 def standardized(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -37,12 +47,18 @@ def standardized(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def cluster_noise(
     df: DataFrame, key: str, features: Sequence[str], eps: float = 0.5, min_points: int = 5, min_rows: int = 20, scale: bool = True
 ) -> DataFrame:
-    """Rows that are neither core (at least `min_points` within eps, themselves included) nor near a core row."""
+    """Rows that are neither core (at least `min_points` within eps, themselves included) nor near a core row.
+
+    One row of df for each, with `neighbours`. Missing values count as zero where the features are scaled, else their rows
+    are left out. Fewer rows than `min_rows` + 1 have no noise.
+    """
     features = list(features)
-    if len(features) > MAX_DIMENSIONS:
-        raise ValueError(f"at most {MAX_DIMENSIONS} features; project the data first")
     points = standardized(df, features) if scale else df.withColumns({f"z_{f}": F.col(f).cast("double") for f in features})
     dims = len(features)
+    if dims > MAX_DIMENSIONS:
+        noise = _noise_in_boxes(points.select(F.col(key).alias("_id"), *(f"z_{f}" for f in features)), [f"z_{f}" for f in features], eps, min_points)
+        enough = df.agg((F.count(F.lit(1)) > min_rows).alias("_enough"))
+        return with_scalars(df.join(noise.withColumnRenamed("_id", key), key), enough).where("_enough").drop("_enough")
     side = eps / math.sqrt(dims) * (1 - 1e-9)
     reach = math.ceil(math.sqrt(dims))
     z = [f"z_{f}" for f in features]
@@ -82,3 +98,106 @@ def cluster_noise(
     found = df.join(noise, key)
     enough = df.agg((F.count(F.lit(1)) > min_rows).alias("_enough"))
     return with_scalars(found, enough).where("_enough").drop("_enough")
+
+
+def cut_boxes(points: np.ndarray, boxes: int, eps: float) -> list | None:
+    """A tree of cuts (feature, value, below, above), None for a box: at the median of the feature that spreads most.
+
+    A cut is of use only if both sides are wider than the seam of eps around it.
+    """
+    if boxes < 2 or len(points) < 2:
+        return None
+    spread = np.ptp(points, axis=0)
+    feature = int(spread.argmax())
+    if spread[feature] <= 4 * eps:
+        return None
+    value = float(np.median(points[:, feature]))
+    low = points[:, feature] <= value
+    if low.all() or not low.any():
+        return None
+    return [feature, value, cut_boxes(points[low], boxes // 2, eps), cut_boxes(points[~low], boxes - boxes // 2, eps)]
+
+
+def _dealing(tree, dims: int, margin: float):
+    """(box, point, weight, dense): each point with all boxes that come within the margin of it."""
+
+    def boxes_of(x: np.ndarray):
+        waiting, number = [(tree, np.arange(len(x)))], 0
+        while waiting:
+            node, rows = waiting.pop()
+            if node is None:
+                if len(rows):
+                    yield number, rows
+                number += 1
+                continue
+            feature, value, below, above = node
+            c = x[rows, feature]
+            waiting += [(above, rows[c > value - margin]), (below, rows[c <= value + margin])]
+
+    def run(batches):
+        for batch in batches:
+            x = np.stack([batch.column(i).to_numpy() for i in range(dims)], axis=1) if batch.num_rows else np.zeros((0, dims))
+            for number, rows in boxes_of(x):
+                taken = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number, np.int32)), *taken.columns], ["_box", *batch.schema.names])
+
+    return run
+
+
+def _comparing(z: list[str], eps: float):
+    """Per probe what lies within eps in one block: weight of all, and whether any of it is dense."""
+
+    def run(key: tuple, probes: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        count, dense = np.zeros(len(probes), np.int64), np.zeros(len(probes), bool)
+        weight, flag = others["_w"].to_numpy(), others["_dense"].to_numpy(bool)
+        ys = [others[c].to_numpy() for c in z]
+        step = max(1, (1 << 22) // max(1, len(others)))
+        for a in range(0, len(probes), step):
+            near = np.zeros((min(step, len(probes) - a), len(others)))
+            for c, y in zip(z, ys, strict=True):
+                near += (y - probes[c].to_numpy()[a : a + step, None]) ** 2
+            within = near <= eps * eps
+            count[a : a + step], dense[a : a + step] = within @ weight, within @ flag
+        return probes[z].assign(_k=count, _by_dense=dense)
+
+    return run
+
+
+def _met(probes: DataFrame, others: DataFrame, z: list[str], tree, eps: float) -> DataFrame:
+    """Each probe with `_k`, the weight of the others within eps, and `_by_dense`. Blocks of a box are dealt over the tasks."""
+    kinds = ", ".join(f"{c} double" for c in z)
+    home = probes.select(*z).mapInArrow(_dealing(tree, len(z), 0.0), f"_box int, {kinds}")
+    around = others.select(*z, "_w", "_dense").mapInArrow(_dealing(tree, len(z), eps * (1 + 1e-9)), f"_box int, {kinds}, _w long, _dense boolean")
+    sizes = {r["_box"]: r["count"] for r in around.groupBy("_box").count().collect()}  # at most as many as boxes of the tree
+    blocks = {b: -(-n // BOX_POINTS) for b, n in sizes.items()}
+    of = F.create_map(*[F.lit(x) for b, n in blocks.items() if n > 1 for x in (b, n)]) if any(n > 1 for n in blocks.values()) else F.create_map().cast("map<int,int>")
+    n_blocks = F.coalesce(F.try_element_at(of, F.col("_box")), F.lit(1))
+    left = home.withColumn("_block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    left = left.withColumn("_part", F.pmod(F.xxhash64(*z), F.greatest(F.lit(1), n_blocks)).cast("int"))
+    right = around.withColumn("_block", F.pmod(F.xxhash64(*z, F.lit(1)), n_blocks).cast("int"))
+    # the probes of a crowded box are few a cell, but may fill a block too: each block of others meets them in parts
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    keys = ["_box", "_block", "_part"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_comparing(z, eps), f"{kinds}, _k long, _by_dense boolean")
+    return found.groupBy(*z).agg(F.sum("_k").alias("_k"), F.max("_by_dense").alias("_by_dense"))
+
+
+def _noise_in_boxes(points: DataFrame, z: list[str], eps: float, min_points: int) -> DataFrame:
+    """(_id, neighbours) of the noise. Equal points are one with a weight until the end."""
+    side = eps / math.sqrt(len(z)) * (1 - 1e-9)
+    present = points.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in z))
+    cells = [F.floor(F.col(c) / side).cast("long").alias(f"_cell{i}") for i, c in enumerate(z)]
+    names = [f"_cell{i}" for i in range(len(z))]
+    distinct = cut_lineage(present.groupBy(*z).agg(F.count(F.lit(1)).alias("_w")).select(*z, "_w", *cells))
+    dense = distinct.groupBy(*names).agg(F.sum("_w").alias("_n")).where(F.col("_n") >= min_points).select(*names, F.lit(True).alias("_dense"))
+    # of the cells with the most points only the distinct ones are left, each once
+    weighted = cut_lineage(distinct.join(dense, names, "left").select(*z, "_w", F.coalesce("_dense", F.lit(False)).alias("_dense")))
+    sample = weighted.orderBy(F.xxhash64(*z)).limit(SAMPLE_POINTS).select(*z).toPandas().to_numpy()
+    tree = cut_boxes(sample, max(1, min(weighted.count() // BOX_POINTS, SAMPLE_POINTS // 16)), eps)
+    sparse = weighted.where(~F.col("_dense"))
+    judged = cut_lineage(_met(sparse, weighted, z, tree, eps))
+    core = judged.where(F.col("_k") >= min_points).select(*z, F.lit(1).cast("long").alias("_w"), F.lit(False).alias("_dense"))
+    lonely = judged.where((F.col("_k") < min_points) & ~F.col("_by_dense"))
+    saved = _met(lonely, core, z, tree, eps).where(F.col("_k") > 0)
+    noise = lonely.select(*z, F.col("_k").alias("neighbours")).join(saved.select(*z), z, "left_anti")
+    return present.join(noise, z).select("_id", "neighbours")

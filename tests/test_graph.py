@@ -93,19 +93,51 @@ def test_near_duplicates(spark):
     assert (row.first_key, row.second_key, row.first_members) == (1, 3, 2) and members.count() == 5
 
 
-@pytest.mark.parametrize("dims", [1, 2, 3])
-def test_noise_against_all_pairs(spark, dims):
+@pytest.mark.parametrize("dims", [1, 2, 3, 4, 8])
+def test_noise_against_all_pairs(spark, dims, monkeypatch):
+    monkeypatch.setattr(density, "BOX_POINTS", 20)  # several boxes, and several blocks in the crowded ones
     rng = random.Random(dims)
     points = [tuple(rng.gauss(0, 0.2) for _ in range(dims)) for _ in range(150)] + [tuple(rng.uniform(-4, 4) for _ in range(dims)) for _ in range(60)]
     points += [points[0]] * 40  # a pile in one cell
     names = [f"f{i}" for i in range(dims)]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id int, " + ", ".join(f"{n} double" for n in names))
-    eps = 0.3
+    eps = 0.3 * max(1, dims - 2)
     near = [[j for j, q in enumerate(points) if sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) <= eps * eps] for p in points]
     core = {i for i, js in enumerate(near) if len(js) >= 5}
     expected = sorted(i for i, js in enumerate(near) if i not in core and not core & set(js))
     found = density.cluster_noise(df, "id", names, eps=eps, scale=False)
-    assert sorted(r.id for r in found.collect()) == expected and expected
+    rows = found.collect()
+    assert sorted(r.id for r in rows) == expected and expected and all(r.neighbours == len(near[r.id]) for r in rows)
+
+
+def test_noise_of_odd_rows(spark):
+    names = ["a", "b", "c", "d"]
+    rows = [(i, 0.0, 0.0, 0.0, 0.0) for i in range(30)] + [(100, 5.0, None, 0.0, 0.0), (101, float("nan"), 1.0, 1.0, 1.0), (102, 9.0, 9.0, 9.0, 9.0), (102, 9.0, 9.0, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{n} double" for n in names))
+    found = density.cluster_noise(df, "id", names, scale=False).collect()
+    assert {(r.id, r.neighbours) for r in found} == {(102, 2)}
+    assert density.cluster_noise(df.where("id < 0"), "id", names).count() == 0
+    assert density.cluster_noise(df.limit(5), "id", names, scale=False).count() == 0
+
+
+def test_boxes_cover_what_is_near():
+    """Every pair within eps shares the home box of either point."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    x, eps = rng.normal(0, 1, (500, 5)), 0.4
+    tree = density.cut_boxes(x, 16, eps)
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in x.T] + [pa.array(np.arange(500))], [*"abcde", "i"])
+
+    def dealt(margin):
+        out = [(b, i) for part in density._dealing(tree, 5, margin)([batch]) for b, i in zip(part.column(0).to_pylist(), part.column("i").to_pylist(), strict=True)]
+        return out
+
+    home, around = {i: b for b, i in dealt(0.0)}, set(dealt(eps))
+    assert len(home) == 500 == len(dealt(0.0)) and len(set(home.values())) > 4
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= eps * eps
+    assert all((home[i], j) in around for i, j in zip(*np.nonzero(near), strict=True))
 
 
 def test_forest_finds_the_odd_ones(spark):
