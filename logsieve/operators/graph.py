@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from logsieve.functions.rows import explode_computed
 from logsieve.operators.correlate import ENTITY_FIELDS, entities, entity_array
 from logsieve.operators.stats import with_scalars
+from logsieve.session import cut_lineage
+
+GROUP_PATHS = 5_000  # partial paths with equal ends that one task reduces at a time
 
 
 def event_edges(df: DataFrame, event_id: str, fields: Sequence[str] = ENTITY_FIELDS) -> DataFrame:
@@ -67,32 +71,88 @@ def graph_pivots(
     ).select("entity", "events", "degree", score.alias("centrality"))
 
 
+def distances_to_ends(links: DataFrame, most: int) -> DataFrame:
+    """(node, dist): edges on the shortest way to a node without outgoing edges, for those within `most`."""
+    ends = links.select(F.col("dst").alias("node")).distinct().join(links.select(F.col("src").alias("node")), "node", "left_anti")
+    known = frontier = cut_lineage(ends.withColumn("dist", F.lit(0)))
+    for dist in range(1, most + 1):
+        back = links.join(frontier.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        frontier = cut_lineage(back.join(known.select("node"), "node", "left_anti").withColumn("dist", F.lit(dist)))
+        known = known.unionByName(frontier)
+    return known
+
+
+def _needed(inner: frozenset, kept: Sequence[frozenset], per_pair: int, left: int) -> bool:
+    """Whether some continuation of up to `left` nodes is open to this path, but to fewer than `per_pair` of those kept."""
+
+    def blocked(nodes: frozenset, left: int) -> bool:
+        free = [k for k in kept if not k & nodes][:per_pair]
+        if len(free) < per_pair:
+            return True
+        return left > 0 and any(blocked(nodes | {n}, left - 1) for k in free for n in k - inner)
+
+    return blocked(frozenset(), left)
+
+
+def _representing(per_pair: int, left: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.iloc[sorted(range(len(rows)), key=lambda i: list(rows["path"].iloc[i]))]
+        kept, places = [], []
+        for place, path in enumerate(rows["path"]):
+            inner = frozenset(path[1:-1])
+            if _needed(inner, kept, per_pair, left):
+                kept.append(inner)
+                places.append(place)
+        return rows.iloc[places]
+
+    return run
+
+
+def _representatives(paths: DataFrame, per_pair: int, left: int) -> DataFrame:
+    """Of the paths with equal start and last node those that hold the first `per_pair` for every continuation.
+
+    Which paths a continuation is open to depends on its nodes: up to `left`, none of them on the path. A path is dropped only if
+    any such nodes leave `per_pair` smaller paths open, so few are kept, whatever the graph: their number is bounded by the length alone.
+    Large groups are reduced in parts first, which keeps the same property.
+    """
+    counted = cut_lineage(paths.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("start", "last"))))
+    few, many = counted.where(F.col("_n") <= per_pair).drop("_n"), counted.where(F.col("_n") > per_pair)
+    most = counted.agg(F.max("_n")).first()[0] or 0
+    if most <= per_pair:
+        return few
+    schema = few.schema
+    if most > GROUP_PATHS:
+        part = F.pmod(F.xxhash64("path"), F.ceil(F.col("_n") / GROUP_PATHS)).alias("_part")
+        many = many.groupBy("start", "last", part).applyInPandas(_representing(per_pair, left), many.schema)
+    reduced = many.drop("_n").groupBy("start", "last").applyInPandas(_representing(per_pair, left), schema)
+    return few.unionByName(reduced)
+
+
 def graph_paths(
     edges: DataFrame, max_edges: int = 5, min_nodes: int = 4, per_pair: int = 3, min_graph_nodes: int = 20
 ) -> DataFrame:
     """Paths from nodes without incoming to nodes without outgoing edges, the first three per pair of ends.
 
-    No path visits a node twice. Where edges run from smaller to larger nodes, partial paths
-    that end in the same node after the same number of edges have the same continuations, so
-    the first three of them in order keep the first three of the result, and the frontier
-    stays at three partial paths per (start, node, length). In a graph with cycles a kept
-    partial path may end where a dropped one would not, so fewer than three may be found.
+    No path visits a node twice, in graphs with cycles too. Partial paths go on only where an end is near enough, and of those with
+    equal start, last node and length the ones are kept that some continuation needs (`_representatives`), so always the first
+    three are found where three exist.
     """
-    links = edges.select("src", "dst").distinct()
+    links = cut_lineage(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     nodes = degrees(links)
     big_enough = nodes.agg((F.count(F.lit(1)) > min_graph_nodes).alias("_big"))
+    ahead = distances_to_ends(links, max_edges).select(F.col("node").alias("last"), "dist")
     starts = nodes.where("in_degree = 0").select(F.col("node").alias("start"))
-    ends = nodes.where("out_degree = 0").select(F.col("node").alias("dst"))
-    paths = starts.select("start", F.col("start").alias("last"), F.array("start").alias("path"))
+    paths = starts.select("start", F.col("start").alias("last"), F.array("start").alias("path")).join(ahead.where(F.col("dist") <= max_edges).select("last"), "last", "left_semi")
+    paths = paths.select("start", "last", "path")
     found = None
     for length in range(1, max_edges + 1):
         grown = paths.join(links, (F.col("last") == F.col("src")) & ~F.array_contains("path", F.col("dst"))).select(
             "start", F.col("dst").alias("last"), F.array_append("path", F.col("dst")).alias("path")
         )
-        order = W.partitionBy("start", "last").orderBy("path")
-        paths = grown.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_pair).drop("_r")
+        open_ones = grown.join(ahead.where(F.col("dist") <= max_edges - length).select("last"), "last", "left_semi").select("start", "last", "path")
+        paths = cut_lineage(_representatives(open_ones, per_pair, max_edges - length))
         if length + 1 >= min_nodes:
-            done = paths.join(ends, F.col("last") == F.col("dst"), "left_semi")
+            done = paths.join(ahead.where("dist = 0").select("last"), "last", "left_semi").select("start", "last", "path")
             found = done if found is None else found.union(done)
     order = W.partitionBy("start", "last").orderBy("path")
     ranked = found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= per_pair)

@@ -34,6 +34,49 @@ def test_paths_against_enumeration(spark):
     assert sorted(tuple(r.path) for r in graph.graph_paths(df).collect()) == expected and expected
 
 
+@pytest.mark.parametrize(("seed", "parts"), [(1, 5000), (2, 4), (3, 5000)])
+def test_paths_of_cyclic_graphs_against_enumeration(spark, seed, parts, monkeypatch):
+    """Sources and sinks around a dense core full of cycles: the first three simple paths of every pair."""
+    monkeypatch.setattr(graph, "GROUP_PATHS", parts)
+    rng = random.Random(seed)
+    core, sources, sinks = range(10, 10 + 5 + 2 * seed), range(3), range(50, 53)
+    edges = {(a, b) for a in core for b in core if a != b and rng.random() < 0.5}
+    edges |= {(s, rng.choice(core)) for s in sources for _ in range(3)} | {(rng.choice(core), e) for e in sinks for _ in range(2)}
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    paths = {}
+
+    def walk(path):
+        if path[-1] in sinks and len(path) >= 4:
+            paths.setdefault((path[0], path[-1]), []).append(path)
+        if len(path) <= 5:
+            for b in out.get(path[-1], []):
+                if b not in path:
+                    walk(path + [b])
+
+    for s in sources:
+        walk([s])
+    expected = sorted((p[0], p[-1], i, p) for ps in paths.values() for i, p in enumerate(sorted(ps)[:3], 1))
+    df = spark.createDataFrame([*edges, (None, 11), (12, None)], "src int, dst int")
+    found = graph.graph_paths(df, min_graph_nodes=1).collect()
+    assert sorted((r.start, r.end, r.position, r.path) for r in found) == expected and len(expected) > 10
+
+
+def test_few_partial_paths_are_kept():
+    """However many paths lead to a node, the number that continuations need is bounded by the length."""
+    rng = random.Random(5)
+    for length, left in ((1, 3), (2, 2), (3, 1)):
+        kept = []
+        for inner in sorted(tuple(rng.sample(range(200), length)) for _ in range(3000)):
+            if graph._needed(frozenset(inner), kept, 3, left):
+                kept.append(frozenset(inner))
+        assert 3 <= len(kept) <= 3 * 20
+        for _ in range(300):  # the first three that any continuation leaves open are among them
+            later = set(rng.sample(range(200), left))
+            assert sum(not k & later for k in kept) >= 3
+
+
 def test_paths_need_a_large_graph(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src int, dst int")
     assert graph.graph_paths(df).count() == 0
