@@ -9,7 +9,7 @@ from logsieve.queries.registry import ORACLE, QUERIES
 MODULES = (
     "scalars", "timing", "buckets", "fanout", "series", "indicators", "intel", "rules", "patterns", "correlation",
     "attack", "reports", "history", "readers", "network", "cloud", "mobile", "mail", "code", "hosts", "similarity",
-    "density",
+    "density", "streams",
 )
 
 

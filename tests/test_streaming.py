@@ -92,6 +92,34 @@ def test_brute_force(spark, tmp_path):
     assert [(r.target, r.source) for r in got] == [("t", "s")]
 
 
+def test_last_events_with_late_files(spark, tmp_path, monkeypatch):
+    """The last N by time, though a later file brings older rows; an idle key is forgotten."""
+    from logsieve.streaming import recent
+
+    rng = random.Random(7)
+    rows = [(i, rng.choice("ab"), at(rng.randrange(5000))) for i in range(500)] + [(900, "c", None), (901, "d", at(3))]
+    files = [[r for r in rows if r[0] % 3 == n] for n in (2, 0, 1)]
+    schema = "event_id int, source string, ts timestamp"
+    for part in [*files, [(1000, "late", at(90_000))], [(1001, "d", at(90_001))]]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    before = spark.conf.get(recent.PROVIDER)
+    spark.conf.set(recent.PROVIDER, recent.STATE_STORE)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        summary = run(recent.last_events(stream, ["source"], size=40, idle_ms=3600 * 1000)).collect()
+        content = run(recent.last_events(stream, ["source"], size=40, content=True)).collect()
+    finally:
+        spark.conf.set(recent.PROVIDER, before)
+    micros = lambda r: int((r[2] - at(0)).total_seconds() * 1e6) + 1704067200_000_000
+    for key in "ab":
+        own = sorted((micros(r), str(r[0])) for r in rows if r[1] == key)
+        last = max((r for r in summary if r.source == key), key=lambda r: r.seen)
+        assert (last.seen, last.events, last.first_us, last.last_us) == (len(own), 40, own[-40][0], own[-1][0])
+        assert [(r.us, r.id) for r in content if r.source == key and r.seen == len(own)] == own[-40:]
+    assert not [r for r in summary if r.source == "c"]
+    assert [r.seen for r in summary if r.source == "d"] == [1, 1] and max(r.seen for r in content if r.source == "d") == 2
+
+
 def test_enrichment_rules_and_history(spark, events, tmp_path):
     feed = spark.createDataFrame([("a", "bad")], "source string, verdict string")
     enriched = windows.enrich(stream_of(spark, events), feed, "source")
