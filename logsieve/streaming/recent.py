@@ -33,6 +33,8 @@ class LastEvents(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         kept = [tuple(r) for r in self.events.get()]
         seen = self.counts.get()[0] if self.counts.exists() else 0
+        if self.idle_ms is not None and kept and kept[-1][0] // 1000 + self.idle_ms <= timerValues.getCurrentWatermarkInMs():
+            kept, seen = [], 0  # was due to be forgotten when these rows came
         for batch in rows:
             seen += len(batch)
             kept += zip(batch["state_us"].tolist(), batch["state_id"].tolist(), strict=True)
