@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logsieve import adapt
-from logsieve.operators import intel, ioc
+from logsieve.operators import intel, ioc, networks
 from logsieve.operators.timing import rounded
 from logsieve.queries import sqlkit as s
 from logsieve.queries.registry import query
@@ -240,3 +240,23 @@ def lookup_reputation(spark, sf_dir):
     as_of = F.lit("2001-10-15").cast("timestamp")
     found = intel.lookup_reputation(keys, reports(spark, sf_dir), as_of, 5_184_000)
     return found.select("ioc_value", "status")
+
+
+@query(
+    "network_match",
+    """WITH a AS (SELECT event_id, (10::BIGINT << 24) + (user_id % 5 << 16) + (event_id % 7 << 8) + event_id % 256 AS num FROM events),
+    n AS (SELECT s_suppkey, 8 + s_suppkey * 5 % 25 AS len, (10::BIGINT << 24) + (s_suppkey % 6 << 16) + (s_suppkey % 9 << 8) + s_suppkey % 256 AS num FROM supplier)
+    SELECT event_id, s_suppkey, len AS prefix_length FROM a JOIN n ON a.num >> (32 - len) = n.num >> (32 - len)
+    QUALIFY rank() OVER (PARTITION BY event_id ORDER BY len DESC) = 1""",
+)
+def network_match(spark, sf_dir):
+    """Addresses of events in the networks of suppliers."""
+    st = lambda c: c.cast("string")
+    key = F.col("s_suppkey")
+    nets = adapt.table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.concat(F.lit("10."), st(key % 6), F.lit("."), st(key % 9), F.lit("."), st(key % 256), F.lit("/"), st(8 + key * 5 % 25)).alias("network")
+    )
+    addresses = adapt.table(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.lit("10."), st(F.col("user_id") % 5), F.lit("."), st(F.col("event_id") % 7), F.lit("."), st(F.col("event_id") % 256)).alias("address")
+    )
+    return networks.network_match(addresses, nets, "address").select("event_id", "s_suppkey", F.col("prefix_length").cast("long").alias("prefix_length"))
