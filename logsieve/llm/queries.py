@@ -36,10 +36,9 @@ def op2_packing(spark, sf_dir):
 
 
 def _quality_sql(false_rejection: float = 0.03, risk: float = 0.05) -> str:
-    """The rules of `quality` in SQL; P(X <= k) summed over all terms."""
-    rules = quality.RULES
-    rate = false_rejection / len(rules)
-    tests = ", ".join(f"('{r.name}', {j}, {c}::DOUBLE)" for r in rules for j, c in enumerate(r.cutoffs))
+    """The rules of `quality` in SQL, certified together along their path; P(X <= k) summed over all terms."""
+    rules, rate = quality.RULES, false_rejection
+    tests = ", ".join(f"('{r.name}', {j}, {r.cutoffs[at[i]]}::DOUBLE)" for j, at in enumerate(quality.joint_path(rules)) for i, r in enumerate(rules))
     values = " UNION ALL ".join(f"SELECT doc_id, lang, '{r.name}' AS rule, ({r.measure.replace('/', '::DOUBLE /')})::DOUBLE AS value FROM m WHERE NOT base_failed" for r in rules)
     return rf"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
     g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM t WHERE len(w) >= 3),
@@ -53,17 +52,18 @@ def _quality_sql(false_rejection: float = 0.03, risk: float = 0.05) -> str:
     v AS ({values}),
     good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1),
     c(rule, step, cutoff) AS (VALUES {tests}),
-    k AS (SELECT lang, rule, step, cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS k FROM v JOIN good USING (doc_id) JOIN c USING (rule) GROUP BY ALL),
+    n AS (SELECT lang, count(*) AS n FROM m JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY 1),
+    o AS (SELECT DISTINCT v.lang, v.doc_id, step FROM v JOIN good USING (doc_id) JOIN c USING (rule) WHERE value > cutoff),
+    k AS (SELECT n.lang, s.step, n.n, count(o.doc_id) AS k FROM n CROSS JOIN (SELECT DISTINCT step FROM c) s LEFT JOIN o ON o.lang = n.lang AND o.step = s.step GROUP BY 1, 2, 3),
     p AS (SELECT *, CASE WHEN k >= n * {rate} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({rate}) + (n - i) * ln(1 - {rate})))) END AS p FROM k),
-    f AS (SELECT lang, rule, max(cutoff) AS loosest, min(cutoff) FILTER (ok) AS cutoff FROM (SELECT *, bool_and(p <= {risk} / ({len(rules)} * (SELECT count(DISTINCT lang) FROM m))) OVER (PARTITION BY lang, rule ORDER BY step) AS ok FROM p) GROUP BY 1, 2),
-    bad AS (SELECT DISTINCT doc_id FROM v JOIN f USING (lang, rule) WHERE value > f.cutoff)
+    f AS (SELECT lang, max(step) FILTER (ok) AS step FROM (SELECT *, bool_and(p <= {risk} / (SELECT count(*) FROM n)) OVER (PARTITION BY lang ORDER BY step) AS ok FROM p) GROUP BY 1),
+    bad AS (SELECT DISTINCT doc_id FROM v JOIN f USING (lang) JOIN c USING (rule, step) WHERE value > cutoff)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m"""
 
 
 @query("op3_quality_rules", _quality_sql())
 def op3_quality_rules(spark, sf_dir):
-    # the SQL beside it shares the budget out by rule
-    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), joint=False)
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
