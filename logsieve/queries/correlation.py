@@ -263,7 +263,7 @@ def _paths_sql() -> str:
       FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)),
     p0 AS (SELECT DISTINCT src AS start, src AS last, [src] AS path FROM e WHERE src NOT IN (SELECT dst FROM e)){steps},
     d AS ({done})
-    SELECT start, last AS end, array_to_string(path, '>') AS path, row_number() OVER (PARTITION BY start, last ORDER BY path) AS position FROM d
+    SELECT start, last AS end, array_to_string(path, '>') AS path, CAST(row_number() OVER (PARTITION BY start, last ORDER BY d.path) AS INTEGER) AS position FROM d
     QUALIFY position <= 3"""
 
 
