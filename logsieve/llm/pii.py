@@ -2,6 +2,7 @@
 
 All work is in DataFrame expressions within the row of a text. The patterns are written so that matching takes time in
 proportion to the text: runs are possessive, and a run is entered at its start or at the end of the previous match only.
+Places are running sums by chunks and context is read from blocks of the text, so a text of many spans takes no longer a span.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logsieve.functions.rows import bind
 
-CONTEXT_CHARS = 40  # so many characters before a span are searched for context words
+CONTEXT_CHARS = 40  # so many characters before and after a span are searched for context words
 ACCEPT = 0.5
 
 
@@ -50,8 +51,8 @@ class Kind:
     """A kind of personal data.
 
     valid: a condition on the matched string. score, near and against: the score of a confirmed match, raised if a word
-    of `near` and lowered if one of `against` (regular expressions over lower-case text) stands before it. `always`: kept
-    whatever its score.
+    of `near` and lowered if one of `against` (regular expressions over lower-case text) stands near it. `always`: kept
+    whatever its score; of the other kinds the score decides.
     """
 
     name: str
@@ -76,7 +77,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]",
          lambda h: F.length(digits(h)).between(10, 15), 0.7, r"\b(?:phone|tel|call|mobile|fax)\b", always=True),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-         lambda h: bind(F.regexp_replace(h, " ", ""), mod97), 0.8, r"\b(?:iban|account|bank|konto|compte)\b"),
+         lambda h: bind(F.regexp_replace(h, " ", ""), mod97), 0.6, r"\b(?:iban|account|bank|konto|compte)\b", r"\b(?:example|sample|version|isbn)\b"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
          lambda h: F.lit(True), 0.3, r"\b(?:ssn|social security)\b"),
     Kind("secret", r"(?<![A-Za-z0-9_-])(?:[0-9a-f]{32,64}|[A-Za-z0-9_-]{40})(?![A-Za-z0-9_-])",
@@ -85,6 +86,46 @@ KINDS = (
 BASE_KINDS = ("email", "ip", "card", "phone")
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
+CHUNK = 256  # values of a running result, or code points of a block of text, that are gone through one by one
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For every value (not negative) the result of `op` over all values before it, 0 before the first.
+
+    An array that grows by one element a step is copied at every step, so results run within chunks, then over the
+    totals of the chunks.
+    """
+
+    def within(part: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, start, lambda acc, v: F.struct(op(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def over(v: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda c: within(F.slice(v, c * CHUNK + 1, F.lit(CHUNK))))
+
+        def joined(parts: Column) -> Column:
+            bases = within(F.transform(parts, lambda p: p["at"]))
+            return bind(bases, lambda base: F.flatten(F.transform(parts, lambda p, c: F.transform(p["out"], lambda x: op(F.get(base["out"], c), x)))))
+
+        return F.when(F.size(v) > 0, bind(chunks, joined)).otherwise(F.array().cast("array<int>"))
+
+    return bind(values, over)
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of CHUNK code points, so that a place is found without walking there from the start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def between(blocks: Column, first: Column, end: Column) -> Column:
+    """The text from code point `first` to `end`, exclusive; what lies behind the text is left out."""
+
+    def of_block(at: Column) -> Column:
+        n = F.floor((end - 1) / CHUNK).cast("int") - at + 1
+        joined = F.array_join(F.slice(blocks, at + 1, n), "")
+        return F.substring(joined, first - at * CHUNK + 1, end - first)
+
+    return F.when(end > first, bind(F.floor(first / CHUNK).cast("int"), of_block)).otherwise(F.lit(""))
 
 
 def _placed(text: Column, kind: Kind, rank: int) -> Column:
@@ -95,25 +136,28 @@ def _placed(text: Column, kind: Kind, rank: int) -> Column:
         gaps = F.transform(F.split(text, kind.pattern, -1), F.char_length)
 
         def walk(widths: Column) -> Column:
-            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
+            taken = running(F.transform(found, lambda h, i: F.get(widths, i) + F.char_length(h)), lambda x, y: x + y)
 
-            def step(acc: Column, i: Column) -> Column:
-                begin, hit = acc["at"] + F.get(widths, i), F.get(found, i)
-                end = begin + F.char_length(hit)
-                one = F.struct(begin.alias("start"), end.alias("end"), hit.alias("hit"))
-                return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+            def place(before: Column) -> Column:
+                def one(h: Column, i: Column) -> Column:
+                    begin = F.get(before, i) + F.get(widths, i)
+                    return F.struct(begin.alias("start"), (begin + F.char_length(h)).alias("end"), h.alias("hit"))
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
+                return F.transform(found, one)
+
+            return bind(taken, place)
 
         confirmed = F.filter(bind(gaps, walk), lambda s: F.coalesce(kind.valid(s["hit"]), F.lit(False)))
 
-        def scored(s: Column) -> Column:
-            first = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-            before = F.lower(F.substring(text, first + 1, s["start"] - first))
-            score = bind(before, lambda b: F.lit(kind.score) + F.when(b.rlike(kind.near), 0.3).otherwise(0.0) - F.when(b.rlike(kind.against), 0.2).otherwise(0.0))
+        def scored(s: Column, blocks: Column) -> Column:
+            around = F.concat_ws("\n", between(blocks, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)), s["start"]), between(blocks, s["end"], s["end"] + CONTEXT_CHARS))
+            score = bind(F.lower(around), lambda b: F.lit(kind.score) + F.when(b.rlike(kind.near), 0.3).otherwise(0.0) - F.when(b.rlike(kind.against), 0.2).otherwise(0.0))
             return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind.name).alias("kind"), F.round(score, 2).alias("score"))
 
-        kept = F.transform(confirmed, scored)
+        def all_scored(rows: Column) -> Column:
+            return F.when(F.size(rows) > 0, bind(blocks_of(text), lambda blocks: F.transform(rows, lambda s: scored(s, blocks)))).otherwise(F.array().cast(SPAN))
+
+        kept = bind(confirmed, all_scored)
         return kept if kind.always else F.filter(kept, lambda s: s["score"] >= ACCEPT)
 
     return bind(hits, lambda found: F.when(F.size(found) > 0, spans(found)).otherwise(F.array().cast(SPAN)))
@@ -136,6 +180,11 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def scores_text(spans: Column) -> Column:
+    """The score of each span, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: s["score"].cast("string")), ",")
+
+
 def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
@@ -147,22 +196,15 @@ def redact(docs: DataFrame, kinds: Sequence[Kind] = KINDS, text_col: str = "text
     """
     found = find_pii(docs, kinds, text_col, "__spans")
     text, spans = F.col(f"`{text_col}`"), F.col("__spans")
-    part = "array<struct<start:int,end:int,kind:string>>"
-
-    def join(acc: Column, s: Column) -> Column:
-        one = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-        last = F.try_element_at(acc, F.lit(-1))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when((F.size(acc) > 0) & (s["start"] < last["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(one)))
 
-    def replaced(merged: Column) -> Column:
+    def replaced(reached: Column, blocks: Column) -> Column:
         def piece(s: Column, i: Column) -> Column:
-            before = F.coalesce(F.get(merged, i - 1)["end"], F.lit(0))
-            return F.concat(F.substring(text, before + 1, s["start"] - before), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            new = F.concat(between(blocks, F.get(reached, i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.when(s["start"] >= F.get(reached, i), new).otherwise(F.lit(""))
 
-        tail = F.substring(text, F.element_at(merged, -1)["end"] + 1, F.char_length(text))
-        return F.concat(F.array_join(F.transform(merged, piece), ""), tail)
+        last = F.greatest(F.element_at(reached, -1), F.element_at(spans, -1)["end"])
+        return F.concat(F.array_join(F.transform(spans, piece), ""), between(blocks, last, F.char_length(text)))
 
-    merged = F.aggregate(spans, F.array().cast(part), join)
-    new = F.when(F.size(spans) > 0, bind(merged, replaced)).otherwise(text)
+    reached = running(F.transform(spans, lambda s: s["end"]), F.greatest)  # the end of all spans before a span
+    new = F.when(F.size(spans) > 0, bind(reached, lambda r: bind(blocks_of(text), lambda b: replaced(r, b)))).otherwise(text)
     return found.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

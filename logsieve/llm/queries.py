@@ -94,7 +94,7 @@ def op4_pii(spark, sf_dir):
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     base = F.filter("pii_spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
     counts = [pii.count_of(F.col("pii_spans"), k).alias(f"n_{k}") for k in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.spans_text(base), 256).alias("base_sha256"), pii.spans_text(F.col("pii_spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text(base), 256).alias("base_sha256"), pii.spans_text(F.col("pii_spans")).alias("spans"), pii.scores_text(F.col("pii_spans")).alias("scores"))
 
 
 @query("op8_ngram_join")

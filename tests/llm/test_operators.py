@@ -509,3 +509,22 @@ def test_pipeline_stages(spark, docs, labels, tmp_path):
 def test_registered():
     assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", n)[0] for n in queries.QUERIES}
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+def test_personal_data_in_a_text_of_many_spans(spark):
+    text = "\n".join(f"é𝄞 u{i}@mail.example.org 10.0.{i % 256}.7 +49 (0)30 {1000000 + i}" for i in range(10_000))
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = pii.find_pii(rows).first().pii_spans
+    expected = spans(text)
+    assert len(expected) == 30_000
+    assert [(s.start, s.end, s.kind) for s in found if s.kind in pii.BASE_KINDS] == [(a, b, k) for a, _, b, k in expected]
+    clean = pii.redact(rows).first().text.split("\n")
+    assert set(clean) == {"é𝄞 [EMAIL] [IP] [PHONE]"} and len(clean) == 10_000
+
+
+def test_context_on_both_sides_decides_for_added_kinds(spark):
+    iban = "DE89370400440532013000"
+    cases = ["123-45-6789", "ssn 123-45-6789", "123-45-6789 social security", "sample " + iban, iban, iban + " (example)", iban + " sample account", "x" * 300 + " 123-45-6789 ssn"]
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, s.score) for s in r.pii_spans] for r in pii.find_pii(rows).collect()}
+    assert found == {0: [], 1: [("ssn", 0.6)], 2: [("ssn", 0.6)], 3: [], 4: [("iban", 0.6)], 5: [], 6: [("iban", 0.7)], 7: [("ssn", 0.6)]}
