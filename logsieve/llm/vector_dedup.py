@@ -1,8 +1,9 @@
 """Vectors linked by cosine: learned binary codes, multi-index Hamming tables, then the original vectors.
 
 Iterative quantisation learns rotations on a bounded sample; each rotation turns a vector into a code of balanced bits.
-The codes are cut into substrings, each a table: vectors that agree in a substring meet in a bucket and are compared
-by their original components in double precision. Buckets are compared in blocks, whatever their size.
+The codes are cut into substrings, each a table: vectors that agree in a substring meet in a bucket, where codes only are
+moved and compared by Hamming distance, in blocks, whatever the size of a bucket. The original vectors are fetched for
+those that have a partner within the radius, and compared in double precision.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from logsieve.operators.overlap import connected_components
 
 ROUNDS = 30  # of the alternation between codes and rotation
 MAX_BITS = 64
+RADIUS_ROTATIONS = 4  # of the codes of so many rotations the Hamming distance is taken
 
 
 def learn_rotation(x: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +97,20 @@ def fit_tables(x: np.ndarray, n: int, bits: int, threshold: float, recall: float
     return width, rotations
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of all rows of a to all rows of b, over the codes of the first rotations."""
+    return sum(np.bitwise_count(a[:, None, r] ^ b[None, :, r]).astype(np.int32) for r in range(min(RADIUS_ROTATIONS, a.shape[1])))
+
+
+def fit_radius(x: np.ndarray, rotations: list[tuple[np.ndarray, np.ndarray]], threshold: float, recall: float, seed: int) -> int:
+    """The Hamming distance that pairs at the threshold exceed in a twentieth of the share 1 - `recall` only."""
+    radius = 0
+    for a, b in pairs_at(x, threshold, max(4000, math.ceil(40 / (1 - recall))), seed + 1):
+        differ = sum((((a - mean) @ p >= 0) != ((b - mean) @ p >= 0)).sum(1) for mean, p in rotations[:RADIUS_ROTATIONS])
+        radius = max(radius, math.ceil(np.quantile(differ, 1 - (1 - recall) / 20)))
+    return radius
+
+
 def _raw(value: pa.Scalar) -> np.ndarray | None:
     """The components of a usable vector."""
     if not value.is_valid:
@@ -178,26 +194,60 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray
         label = new
 
 
-def _comparing(threshold: float, width: int, bits: int, dtype: str):
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places of the two blocks of a unit, and whether they are one."""
+    i, j, side = rows["i"][0].as_py(), rows["j"][0].as_py(), rows["side"].to_numpy()
+    if i == j:
+        every = np.arange(rows.num_rows)
+        return every, every, True
+    return np.flatnonzero(side == i), np.flatnonzero(side == j), False
+
+
+def _pairs(rows: pa.Table, width: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a unit within the radius that meet in this table first."""
+    codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), "<u8").reshape(rows.num_rows, -1)
+    left, right, one = _sides(rows)
+    a, b = np.nonzero(distances(codes[left], codes[right]) <= radius)
+    a, b = left[a], right[b]
+    if one:
+        a, b = a[a < b], b[a < b]
+    table = rows["table"][0].as_py()
+    if len(a) and table:
+        keys = substrings(codes, width, bits)[:, :table]
+        first = np.ones(len(a), bool)
+        for t in range(table):
+            first &= keys[a, t] != keys[b, t]
+        a, b = a[first], b[first]
+    return a, b
+
+
+def _near(width: int, bits: int, radius: int):
+    """Of a unit the rows that have a partner within the radius."""
+
+    def near(rows: pa.Table) -> pa.RecordBatch | None:
+        if rows.num_rows < 2:
+            return None
+        a, b = _pairs(rows, width, bits, radius)
+        kept = np.unique(np.concatenate([a, b]))
+        return rows.take(pa.array(kept)).combine_chunks().to_batches()[0] if len(kept) else None
+
+    return _by_unit(near)
+
+
+def _comparing(threshold: float, width: int, bits: int, radius: int, dtype: str):
     """Units of at most two blocks, sorted: links of each vector to the others that first meet in this table."""
 
     def compare(rows: pa.Table) -> pa.RecordBatch | None:
         if rows.num_rows < 2:
             return None
         ids, copies = rows["id"].to_numpy(), rows["copies"].to_numpy()
+        a, b = _pairs(rows, width, bits, radius)
+        left, right, _ = _sides(rows)
         x = unit(rows["vector"].to_pylist(), dtype)
-        codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), "<u8").reshape(len(ids), -1)
-        side, table, one = rows["side"].to_numpy(), rows["table"][0].as_py(), rows["i"][0].as_py() == rows["j"][0].as_py()
-        left = np.arange(len(ids)) if one else np.flatnonzero(side == rows["i"][0].as_py())
-        right = left if one else np.flatnonzero(side == rows["j"][0].as_py())
-        a, b = np.nonzero(x[left] @ x[right].T >= threshold)
-        a, b = left[a], right[b]
-        if one:
-            a, b = a[a < b], b[a < b]
-        if len(a) and table:
-            keys = substrings(codes, width, bits)[:, :table]
-            first = ~(keys[a] == keys[b]).any(1)
-            a, b = a[first], b[first]
+        place = np.empty((2, len(ids)), np.int64)
+        place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+        linked = (x[left] @ x[right].T >= threshold)[place[0, a], place[1, b]]
+        a, b = a[linked], b[linked]
         if not len(a):
             return None
         links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
@@ -205,6 +255,12 @@ def _comparing(threshold: float, width: int, bits: int, dtype: str):
         label = _labels(len(ids), a, b, ids)
         return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit].astype(np.int64)), pa.array(label[hit])], ["id", "links", "label"])
 
+    return _by_unit(compare)
+
+
+def _by_unit(of_unit):
+    """Calls `of_unit` with the rows of each unit; rows are sorted by unit, of a batch the last unit waits for the next."""
+
     def run(batches):
         unit_of = ("table", "size", "key", "i", "j")
         rest: pa.Table | None = None
@@ -220,10 +276,10 @@ def _comparing(threshold: float, width: int, bits: int, dtype: str):
                 marks[1:] |= v[1:] != v[:-1]
             starts = np.flatnonzero(marks)
             for a, b in zip(starts[:-1], starts[1:], strict=True):
-                if (out := compare(rows.slice(a, b - a))) is not None:
+                if (out := of_unit(rows.slice(a, b - a))) is not None:
                     yield out
             rest = rows.slice(starts[-1]).combine_chunks()
-        if rest is not None and (out := compare(rest)) is not None:
+        if rest is not None and (out := of_unit(rest)) is not None:
             yield out
 
     return run
@@ -237,14 +293,15 @@ def link_vectors(
 
     A link is a cosine of at least `threshold`, in double precision. Null or zero vectors, and those with null or
     non-finite components, link with nothing. Vectors of different length never link. Rows whose id is null are left out;
-    rows of one id are taken as different vectors, each linked with the others that are similar. Other columns are
+    rows of one id are different vectors, each linked with the others that are similar, with those of its own id too. Other columns are
     ignored. An empty table gives no rows. Ids must be integers.
 
     The rotations are learned on `fit_rows` vectors, those of the smallest hashed ids; all vectors are indexed. Equal
     vectors become one with a number of copies. A link is counted in the first table in which its two codes agree, so
     none counts twice and no pairs leave a task: per compared unit (at most two blocks of a bucket) each vector gives its
-    number of links and the smallest id that it reaches. Links between vectors that agree in no substring are missed:
-    at the threshold a share of 1 - `recall` is expected, less for closer vectors (`fit_tables` measures it on the sample).
+    number of links and the smallest number that it reaches. Links between vectors that agree in no substring are missed:
+    at the threshold a share of 1 - `recall` is expected, less for closer vectors (`fit_tables` measures it on the sample);
+    a twentieth of that share more lies beyond the radius of the Hamming distance (`fit_radius`).
     """
     spark = vectors.sparkSession
     source = vectors.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v"))
@@ -252,12 +309,14 @@ def link_vectors(
     source = source if dtype == "<f4" else source.withColumn("v", F.col("v").cast("array<double>"))
     read = written(source.mapInArrow(_reading, "id long, vector binary, digest binary"), "vectors")
     usable = read.where(F.col("digest").isNotNull())
-    classes = written(usable.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
-    own = written(usable.join(classes, ["digest", "id"]).dropDuplicates(["id", "digest"]).select("id", "copies", "vector"), "distinct")
+    # a class is the set of equal vectors; it is numbered once, in a written table, since an id may have several vectors
+    classes = usable.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
+    own = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = own.select("id", "digest", "least", "copies")
     alone = lambda rows: rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
 
     n = own.count()
-    sample = own.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("vector").collect()
+    sample = own.orderBy("digest").limit(fit_rows).select("vector").collect()
     if not sample:
         return alone(read)
     lengths, counts = np.unique([len(r["vector"]) for r in sample], return_counts=True)
@@ -265,6 +324,7 @@ def link_vectors(
     x = unit([bytes(r["vector"]) for r in sample if len(r["vector"]) == length], dtype)
     bits = min(x.shape[1], MAX_BITS)
     width, rotations = fit_tables(x, n, bits, threshold, recall, seed)
+    radius = fit_radius(np.concatenate([x, x]) if len(x) < 2 else x, rotations, threshold, recall, seed)
     model = spark.sparkContext.broadcast((rotations, x.shape[1]))
 
     coded = written(own.select("id", "vector").mapInArrow(_coding(model, dtype), "id long, codes binary, size int"), "codes")
@@ -274,15 +334,19 @@ def link_vectors(
     placed = keys.join(full, bucket).withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     units = placed.select("id", *bucket, "side", other.alias("other")).select("id", *bucket, "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    met = units.join(own, "id").join(coded.select("id", "codes"), "id")
     order = [*bucket, "i", "j"]
-    found = met.repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(_comparing(threshold, width, bits, dtype), "id long, links long, label long")
+    met = units.join(coded.select("id", "codes"), "id").repartition(*order).sortWithinPartitions(*order, "id")
+    near = written(met.mapInArrow(_near(width, bits, radius), met.schema), "near")
+    rows = near.join(own.select("id", "copies", "vector"), "id").repartition(*order).sortWithinPartitions(*order, "id")
+    found = rows.mapInArrow(_comparing(threshold, width, bits, radius, dtype), "id long, links long, label long")
     found = written(found, "links")
     components = connected_components(found.where("id <> label").select(F.col("id").alias("u"), F.col("label").alias("v")))
     totals = found.groupBy("id").agg(F.sum("links").alias("links"))
+    smallest = components.join(classes, F.col("id") == F.col("node")).groupBy("component").agg(F.min("least").alias("smallest"))
+    named = components.join(smallest, "component").select("node", "smallest")
     by_class = (
-        classes.join(totals, "id", "left").join(components, F.col("id") == F.col("node"), "left")
-        .select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        classes.join(totals, "id", "left").join(named, F.col("id") == F.col("node"), "left")
+        .select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("component_id"))
     )
     met = read.select("id", "digest").join(by_class, "digest", "left")
     component = F.coalesce("component_id", "id")

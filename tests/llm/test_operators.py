@@ -528,3 +528,19 @@ def test_context_on_both_sides_decides_for_added_kinds(spark):
     rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     found = {r.doc_id: [(s.kind, s.score) for s in r.pii_spans] for r in pii.find_pii(rows).collect()}
     assert found == {0: [], 1: [("ssn", 0.6)], 2: [("ssn", 0.6)], 3: [], 4: [("iban", 0.6)], 5: [], 6: [("iban", 0.7)], 7: [("ssn", 0.6)]}
+
+
+def test_vectors_of_one_id(spark):
+    rng = np.random.default_rng(5)
+    first, second = rng.standard_normal((2, 24))
+    near = lambda v: v + 0.01 * rng.standard_normal(24)
+    pairs = [(i, rng.standard_normal(24)) for i in range(10, 48)] + [(5, first), (5, second), (60, near(first)), (61, near(second)), (61, second), (2, second)]
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in pairs], "vec_id long, embedding array<double>")
+    unit = np.stack([v / np.linalg.norm(v) for _, v in pairs])
+    links = (unit @ unit.T >= 0.9).sum(1) - 1
+    expected = Counter((i, int(n)) for (i, _), n in zip(pairs, links, strict=True))
+    got = vector_dedup.link_vectors(frame, recall=0.9999).collect()
+    assert Counter((r.vec_id, r.n_links) for r in got) == expected
+    component = {(r.vec_id, r.n_links): r.component_id for r in got}
+    assert component[5, 1] == 5 and component[60, 1] == 5 and component[5, 3] == 2 and component[61, 3] == 2 and component[2, 3] == 2
+    assert all(r.kept == (r.component_id == r.vec_id) for r in got)
