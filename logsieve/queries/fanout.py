@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logsieve import adapt
 from logsieve.functions import text
-from logsieve.operators import fanout
+from logsieve.operators import fanout, sketches
 from logsieve.operators.timing import rounded
 from logsieve.queries import sqlkit as s
 from logsieve.queries.buckets import is_outlier, outliers_sql
@@ -52,6 +52,19 @@ def multi_source_users(spark, sf_dir):
     return fanout.multi_source_users(adapt.messages(spark, sf_dir), source="k", over=40)
 
 
+@query(
+    "sources_by_sketch",
+    s.with_ctes(
+        "messages",
+        '''SELECT "user", count(*) AS events, count(DISTINCT k) AS sources FROM messages
+        WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' GROUP BY 1 HAVING count(DISTINCT k) > 0''',
+    ),
+)
+def sources_by_sketch(spark, sf_dir):
+    daily = sketches.daily_sketches(adapt.messages(spark, sf_dir), ["user"], "k")
+    return sketches.distinct_between(daily, ["user"], "sources", "2024-01-03", "2024-01-20")
+
+
 @query(
     "sources_of_users",
     s.with_ctes(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from logsieve import adapt
@@ -9,7 +11,7 @@ from logsieve.functions import text as txt
 from logsieve.queries import sqlkit as s
 from logsieve.queries.registry import query
 from logsieve.session import shared_path
-from logsieve.sources import csvlogs, inventory, jsonlogs, logcat, registry, text
+from logsieve.sources import csvlogs, inventory, jsonlogs, logcat, parsers, registry, text
 
 ST = "strftime(ts, '{}')"
 
@@ -370,3 +372,22 @@ def json_array_files(spark, sf_dir):
         F.get_json_object(o, "$.more[0].event_type").alias("event_type"), F.get_json_object(said, "$.props").alias("props"),
         F.get_json_object(o, "$.more[0].chunk").cast("long").alias("chunk"),
     )
+
+
+class NameValues:
+    """A parser as a user would bring it: the fields of a JSON object, one row each."""
+
+    def eval(self, text: str):
+        try:
+            found = json.loads(text or "")
+        except ValueError:
+            return
+        if isinstance(found, dict):
+            for name, value in found.items():
+                yield name, str(value)
+
+
+@query("user_parser_rows", "SELECT event_id, unnest(json_keys(props)) AS name, json_extract_string(props, '$.' || unnest(json_keys(props))) AS field FROM events")
+def user_parser_rows(spark, sf_dir):
+    parsers.register_parser(spark, parsers.Parser("name_values", NameValues, "name string, field string", (".json",)))
+    return parsers.parse_with(adapt.table(spark, sf_dir, "events").select("event_id", "props"), "name_values", "props").drop("props")
