@@ -191,25 +191,16 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log lines, document lines and page addresses together; `whole_corpus` has the sources of pages too."""
+    """Log lines, document lines, addresses and sources of pages together."""
 
     def named(prefix: str, key: str):
         return F.concat(F.lit(prefix), F.col(key).cast("string"))
 
-    pages = table(spark, sf_dir, "pages").select(
-        named("p", "page_id").alias("entry_id"),
-        named("page-", "page_id").alias("file_id"),
-        F.col("url").alias("message"),
-    )
-    lines = entries(spark, sf_dir).select("entry_id", named("document-", "file_id").alias("file_id"), "message")
-    return messages(spark, sf_dir).select("entry_id", named("user-", "file_id").alias("file_id"), "message").union(pages).union(lines)
-
+    def pages(prefix: str, column: str):
+        return table(spark, sf_dir, "pages").select(
+            named(prefix, "page_id").alias("entry_id"), named("page-", "page_id").alias("file_id"), F.col(column).alias("message")
+        )
 
-def whole_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus with the source of each page beside its address."""
-    sources = table(spark, sf_dir, "pages").select(
-        F.concat(F.lit("h"), F.col("page_id").cast("string")).alias("entry_id"),
-        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("file_id"),
-        F.col("html").alias("message"),
-    )
-    return corpus(spark, sf_dir).union(sources)
+    lines = entries(spark, sf_dir).select("entry_id", named("document-", "file_id").alias("file_id"), "message")
+    logged = messages(spark, sf_dir).select("entry_id", named("user-", "file_id").alias("file_id"), "message")
+    return logged.union(pages("p", "url")).union(pages("h", "html")).union(lines)

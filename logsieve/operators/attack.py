@@ -92,6 +92,7 @@ BEHAVIOUR_TECHNIQUES = {
     "data_exfiltration": (("T1041", 0.9), ("T1048", 0.8)),
     "recon_commands": (("T1018", 0.8), ("T1016", 0.8)),
 }
+# fixed values: wording of behaviours
 BEHAVIOUR_TESTS = {
     "process_injection": r"createremotethread|setthreadcontext|writeprocessmemory",
     "credential_dumping": r"lsass|sam\.hive|ntds\.dit|hashdump",
@@ -135,6 +136,7 @@ MITIGATIONS = {
     "T1041": ("Data loss prevention", "Network intrusion prevention"),
     "T1496": ("Resource monitoring", "User account management"),
 }
+# fixed values: techniques by weight
 URGENT_TECHNIQUES = ("T1003", "T1486")
 CRITICAL_TECHNIQUES = ("T1486", "T1003", "T1055", "T1505.003")
 HIGH_TECHNIQUES = ("T1059", "T1053", "T1547", "T1110")
@@ -299,6 +301,7 @@ def tactic_chain(techniques: DataFrame) -> DataFrame:
     return best.join(tactics_table(techniques.sparkSession), "tactic")
 
 
+# fixed values: advice on an assessment
 ASSESSMENT_ADVICE = (
     "Immediate incident response required", "Isolate affected systems", "Reset all credentials immediately",
     "Check and secure backups", "Implement ransomware protection", "Audit persistence mechanisms",

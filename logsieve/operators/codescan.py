@@ -63,6 +63,7 @@ WEAKNESSES = {
         ), (), "warning",
     ),
 }
+# fixed values
 MALICIOUS = {
     "reverse_shell": (
         (
@@ -87,12 +88,14 @@ MALICIOUS = {
         ), (), "warning",
     ),
 }
+# fixed values
 SLASHES = ("//", "/*", "*")
 COMMENTS = {
     "python": ("#",), "javascript": SLASHES, "java": SLASHES, "c": SLASHES, "cpp": SLASHES, "csharp": SLASHES, "php": (*SLASHES, "#"),
     "ruby": ("#",), "go": SLASHES, "rust": SLASHES, "bash": ("#",), "powershell": ("#",), "batch": ("REM", "::"),
 }
 DEFAULT_COMMENTS = ("#", "//")
+# fixed values
 IMPORTS = {
     "python": (r"^import\s+(\S+)", r"^from\s+(\S+)\s+import"),
     "javascript": (r"""^import.*from\s+['"]([^'"]+)['"]""", r"""^require\s*\(['"]([^'"]+)['"]\)"""),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +56,22 @@ ADVANCED_PATTERNS = {
     "powershell_encoded": r"-[Ee]nc(?:odedCommand)?\s+[A-Za-z0-9+/=]+",
     "suspicious_command": r"""(?:cmd|powershell|bash|sh).*(?:/c|/k|-Command|-c)\s+["']?.*["']?""",
 }
+# fixed values: kinds to ask for beside them
+MORE_PATTERNS = {
+    "subdomain": r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.){2,}[a-zA-Z]{2,}\b",
+    "ethereum": r"\b0x[a-fA-F0-9]{40}\b",
+    "monero": r"\b4[0-9AB][1-9A-HJ-NP-Za-km-z]{93}\b",
+}
+MAPPED_KINDS = ("ips", "domains", "urls", "hashes")  # of the basic pass, those that point to techniques
+# what every match holds, literally or as a shorter expression: texts without it skip the pattern
+NEEDED = {
+    "domains": (".",), "urls": ("://",), "emails": ("@",), "domain": (".",), "subdomain": (".",), "url": ("://",), "suspicious_url": ("://",), "email": ("@",),
+    "windows_path": (":\\",), "unix_path": ("/",), "registry_key": ("HK",), "cve": ("CVE-",), "powershell_encoded": ("-enc", "-Enc"), "ethereum": ("0x",),
+}
+NEEDED_RUN = {
+    "ips": r"\d\.\d", "ipv4": r"\d\.\d", "ipv6": r"::|(?::[0-9a-fA-F]{1,4}){7}", "suspicious_command": r"(?:/c|/k|-Command|-c)\s", "monero": r"4[0-9AB]",
+    "bitcoin": r"[13][a-km-zA-HJ-NP-Z1-9]{25}|bc1",
+}
 # the same languages written without backtracking into a repeated group
 POSSESSIVE = {
     "unix_path": r"(?:/[^/\x00]++)++/?+",
@@ -64,8 +82,9 @@ ADVANCED_TYPES = {
     "md5": "hashes", "sha1": "hashes", "sha256": "hashes", "sha512": "hashes", "windows_path": "file_paths",
     "unix_path": "file_paths", "registry_key": "registry_keys", "bitcoin": "bitcoin_addresses", "cve": "cves",
     "base64": "base64_strings", "powershell_encoded": "commands", "suspicious_command": "commands",
+    "subdomain": "domains", "ethereum": "ethereum_addresses", "monero": "monero_addresses",
 }
-LOWERED = ("domain", "email", "md5", "sha1", "sha256", "sha512")
+LOWERED = ("domain", "subdomain", "email", "md5", "sha1", "sha256", "sha512")
 
 # fixed values: well-known values that are no indicators
 WHITELIST_DOMAINS = (
@@ -113,6 +132,10 @@ def find_all(text: Column, patterns: Mapping[str, str]) -> Column:
 
 def _matches(text: Column, name: str, pattern: str, lowered: bool) -> Column:
     values = F.array_distinct(F.regexp_extract_all(text, F.lit(POSSESSIVE.get(name, pattern)), F.lit(0)))
+    if name in NEEDED:
+        values = F.when(reduce(or_, [F.contains(text, F.lit(word)) for word in NEEDED[name]]), values).otherwise(F.array().cast("array<string>"))
+    elif name in NEEDED_RUN:
+        values = F.when(text.rlike(NEEDED_RUN[name]), values).otherwise(F.array().cast("array<string>"))
     return F.transform(
         values, lambda v: F.struct(F.lit(name).alias("kind"), (F.lower(v) if lowered else v).alias("value"))
     )
@@ -124,10 +147,12 @@ def extract(df: DataFrame, text: Column, patterns: Mapping[str, str], keep: Sequ
     return found.select(*keep, F.col("_m.kind").alias("kind"), F.col("_m.value").alias("ioc_value"))
 
 
-def extract_iocs(df: DataFrame, columns: Sequence[str] = ("message",), keep: Sequence[str] = ("entry_id", "file_id")):
-    """Basic pass: addresses, domains, URLs, mail addresses, hashes and paths, once per entry."""
+def extract_iocs(
+    df: DataFrame, columns: Sequence[str] = ("message",), keep: Sequence[str] = ("entry_id", "file_id"), kinds: Sequence[str] = tuple(BASIC_PATTERNS)
+):
+    """Basic pass: addresses, domains, URLs, mail addresses, hashes and paths, once per entry; only `kinds` are looked for."""
     text = F.concat_ws(" ", *[F.col(c) for c in columns])
-    found = extract(df, text, BASIC_PATTERNS, keep).withColumnRenamed("kind", "ioc_type")
+    found = extract(df, text, {k: BASIC_PATTERNS[k] for k in kinds}, keep).withColumnRenamed("kind", "ioc_type")
     is_file_name = F.lit(False)
     for ending in BASIC_DOMAIN_ENDINGS:
         is_file_name = is_file_name | F.col("ioc_value").endswith(ending)
@@ -156,7 +181,7 @@ def is_valid_ioc(kind: Column, value: Column) -> Column:
     mail_domain = net.email_domain(value)
     return (
         F.when(kind.isin("ipv4", "ipv6"), net.is_public_ip(value) & ~value.isin(*WHITELIST_IPS))
-        .when(kind == "domain", is_valid_domain(value))
+        .when(kind.isin("domain", "subdomain"), is_valid_domain(value))
         .when(kind == "url", is_valid_domain(host))
         .when(kind == "email", is_valid_domain(mail_domain) & (F.length(F.regexp_replace(value, "[^@]", "")) == 1))
         .when(kind.isin("md5", "sha1", "sha256", "sha512"), ~value.isin(*EMPTY_FILE_HASHES))
@@ -177,10 +202,14 @@ def extract_advanced(
     columns: Sequence[str] = ("message",),
     keep: Sequence[str] = ("entry_id", "file_id"),
     whitelist: DataFrame | None = None,
+    patterns: Mapping[str, str] = ADVANCED_PATTERNS,
 ) -> DataFrame:
-    """Advanced pass: more kinds, each validated; `whitelist(ioc_value)` drops further values."""
+    """Advanced pass: more kinds, each validated; `whitelist(ioc_value)` drops further values.
+
+    `{**ADVANCED_PATTERNS, **MORE_PATTERNS}` adds sub-domains and two more currencies.
+    """
     text = F.concat_ws(" ", *[F.col(c) for c in columns])
-    found = extract(df, text, ADVANCED_PATTERNS, keep).where(is_valid_ioc(F.col("kind"), F.col("ioc_value")))
+    found = extract(df, text, patterns, keep).where(is_valid_ioc(F.col("kind"), F.col("ioc_value")))
     if whitelist is not None:
         found = found.join(whitelist.select("ioc_value"), "ioc_value", "left_anti")
     return found.withColumn("ioc_type", ioc_group(F.col("kind")))

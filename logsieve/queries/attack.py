@@ -1,4 +1,4 @@
-"""Technique mapping over log lines."""
+"""Technique mapping over indicators of the whole corpus and behaviour in log lines."""
 
 from __future__ import annotations
 
@@ -18,9 +18,9 @@ from logsieve.queries.scalars import count_chars_sql
 PHISHING = "(" + " OR ".join(
     f"(contains(lower(v), {s.text(w)}) AND NOT ends_with(lower(v), {s.text(w + '.com')}))" for w in text.PHISHING_WORDS
 ) + ")"
-KINDS = {k: ioc.BASIC_PATTERNS[k] for k in ("ips", "domains", "urls", "hashes")}
+KINDS = {k: ioc.BASIC_PATTERNS[k] for k in ioc.MAPPED_KINDS}
 IOC_SQL = (
-    ", c AS (SELECT entry_id, file_id, message AS t FROM messages), raw AS (" + s.find_all("c", KINDS, KEEP)
+    f", {s.CORPUS_TEXTS}, raw AS (" + s.find_all("c", KINDS, KEEP, guarded="g")
     + """), iv AS (SELECT DISTINCT kind AS ioc_type, ioc_value AS v FROM raw WHERE NOT (kind = 'domains' AND regexp_matches(ioc_value, '\\.(log|txt|json|xml)$'))),
     im AS (SELECT 'T1568.002' AS technique, 0.9 AS confidence, 'DGA domain: ' || v AS evidence FROM iv WHERE ioc_type = 'domains' AND length(v) > 15 AND """.replace("\\\\", "\\")
     + f"{count_chars_sql('lower(v)', text.CONSONANTS)} / length(v) > 0.75"
@@ -33,11 +33,11 @@ IOC_SQL = (
 
 
 def ioc_mapping(spark, sf_dir):
-    found = ioc.extract_iocs(adapt.messages(spark, sf_dir)).where("ioc_type <> 'files'")
+    found = ioc.extract_iocs(adapt.corpus(spark, sf_dir), kinds=ioc.MAPPED_KINDS)
     return attack.map_iocs(found, feed(spark, sf_dir))
 
 
-@query("map_iocs", s.with_ctes("messages", PUBLIC_SQL + IOC_SQL + " SELECT technique, round(confidence, 6) AS confidence, evidence FROM im"))
+@query("map_iocs", s.with_ctes("messages corpus", PUBLIC_SQL + IOC_SQL + " SELECT technique, round(confidence, 6) AS confidence, evidence FROM im"))
 def map_iocs(spark, sf_dir):
     return rounded(ioc_mapping(spark, sf_dir))
 
@@ -119,7 +119,7 @@ def scored(spark, sf_dir):
 
 @query(
     "technique_scores",
-    s.with_ctes("messages", ALL_SQL + " SELECT technique, name, tactics, confidence, evidence_count, first_evidence, coalesce(sub_techniques, '') AS sub_techniques FROM tq"),
+    s.with_ctes("messages corpus", ALL_SQL + " SELECT technique, name, tactics, confidence, evidence_count, first_evidence, coalesce(sub_techniques, '') AS sub_techniques FROM tq"),
 )
 def technique_scores(spark, sf_dir):
     subs = F.array_join(F.transform("sub_techniques", lambda x: x["sub_technique"]), ",")
@@ -131,7 +131,7 @@ TACTICS_SQL = ALL_SQL + ", ta AS (SELECT technique, name, confidence, first_evid
 
 @query(
     "tactic_summary",
-    s.with_ctes("messages", TACTICS_SQL + " SELECT tactic, count(*) AS technique_count, string_agg(technique, ',' ORDER BY technique) AS techniques FROM ta GROUP BY 1"),
+    s.with_ctes("messages corpus", TACTICS_SQL + " SELECT tactic, count(*) AS technique_count, string_agg(technique, ',' ORDER BY technique) AS techniques FROM ta GROUP BY 1"),
 )
 def tactic_summary(spark, sf_dir):
     return attack.tactic_summary(scored(spark, sf_dir)).withColumn("techniques", F.array_join("techniques", ","))
@@ -143,7 +143,7 @@ ORDER_ROWS = [[t, i] for i, t in enumerate(attack.TACTIC_ORDER)]
 @query(
     "tactic_chain",
     s.with_ctes(
-        "messages",
+        "messages corpus",
         TACTICS_SQL + f""", o AS {s.values(ORDER_ROWS, 'tactic', 'tactic_no')}, b AS (SELECT *, row_number() OVER (PARTITION BY tactic ORDER BY confidence DESC, technique) AS rn FROM ta)
         SELECT tactic, tactic_no, technique, name, confidence, first_evidence FROM b JOIN o USING (tactic) WHERE rn = 1""",
     ),
@@ -155,7 +155,7 @@ def tactic_chain(spark, sf_dir):
 @query(
     "threat_assessment",
     s.with_ctes(
-        "messages",
+        "messages corpus",
         TACTICS_SQL + f""", n AS (SELECT count(*) AS n, avg(confidence) AS mc, count(*) FILTER (technique IN {attack.CRITICAL_TECHNIQUES}) AS cr,
           count(*) FILTER (technique IN {attack.HIGH_TECHNIQUES}) AS hi, count(*) FILTER (technique IN {attack.IMPACT_TECHNIQUES}) AS im2 FROM tq),
         t AS (SELECT count(DISTINCT tactic) AS t FROM ta)
@@ -175,7 +175,7 @@ MITIGATION_ROWS = [[t, i, m] for i, (t, ms) in enumerate(attack.MITIGATIONS.item
 @query(
     "mitigations",
     s.with_ctes(
-        "messages",
+        "messages corpus",
         ALL_SQL + f""", mt AS {s.values(MITIGATION_ROWS, 'technique', 'no', 'mitigation')}, f AS (SELECT mitigation, arg_min(technique, no) AS technique
           FROM mt WHERE technique IN (SELECT technique FROM tq) GROUP BY 1)
         SELECT mitigation, technique, CASE WHEN technique IN ('T1003', 'T1486') THEN 'high' ELSE 'medium' END AS priority FROM f""",

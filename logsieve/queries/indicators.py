@@ -13,8 +13,8 @@ from logsieve.queries.scalars import PHISHY_SQL, URL_PARTS_SQL, URLS_SQL, chars_
 
 KEEP = ["entry_id", "file_id"]
 BASIC_SQL = (
-    f", c AS (SELECT entry_id, file_id, {s.GUARDED} AS t FROM corpus), raw AS ("
-    + s.find_all("c", ioc.BASIC_PATTERNS, KEEP)
+    f", {s.CORPUS_TEXTS}, raw AS ("
+    + s.find_all("c", ioc.BASIC_PATTERNS, KEEP, guarded="g")
     + """), basic AS (SELECT entry_id, file_id, kind AS ioc_type, ioc_value FROM raw
     WHERE NOT (kind = 'domains' AND regexp_matches(ioc_value, '\\.(log|txt|json|xml)$')))""".replace("\\\\", "\\")
 )
@@ -25,27 +25,21 @@ ASCII_ONLY = "regexp_matches(ioc_value, '^[\\x00-\\x5E\\x60-\\x7F]*$')"
     "extract_iocs",
     s.with_ctes(
         "corpus",
-        BASIC_SQL + """ SELECT file_id, ioc_type, ioc_value, count(*) AS mentions FROM basic
-        WHERE ioc_type NOT IN ('files') GROUP BY 1, 2, 3""",
+        BASIC_SQL + " SELECT file_id, ioc_type, ioc_value, count(*) AS mentions FROM basic GROUP BY 1, 2, 3",
     ),
+    also="extract_iocs_whole",
 )
 def extract_iocs(spark, sf_dir):
-    found = ioc.extract_iocs(adapt.corpus(spark, sf_dir)).where("ioc_type <> 'files'")
-    return ioc.distinct_iocs(found)
+    return ioc.distinct_iocs(ioc.extract_iocs(adapt.corpus(spark, sf_dir)))
 
 
 @query(
     "extract_file_paths",
-    s.with_ctes(
-        "messages",
-        ", c AS (SELECT entry_id, file_id, message AS t FROM messages), raw AS ("
-        + s.find_all("c", {"files": ioc.BASIC_PATTERNS["files"]}, KEEP)
-        + ") SELECT entry_id, ioc_value FROM raw",
-    ),
+    s.with_ctes("corpus", BASIC_SQL + " SELECT entry_id, ioc_value FROM basic WHERE ioc_type = 'files'"),
+    also="extract_file_paths_whole",
 )
 def extract_file_paths(spark, sf_dir):
-    found = ioc.extract_iocs(adapt.messages(spark, sf_dir)).where("ioc_type = 'files'")
-    return found.select("entry_id", "ioc_value")
+    return ioc.extract_iocs(adapt.corpus(spark, sf_dir), kinds=["files"]).select("entry_id", "ioc_value")
 
 
 def _ends(column, endings):
@@ -73,7 +67,7 @@ VALID_SQL = f"""CASE
       AND NOT coalesce({_in_networks(net.PRIVATE_NETWORKS)}, false)
       AND NOT (num IS NULL AND regexp_matches(lower(ioc_value), '^(::1$|::$|f[cd][0-9a-f]{{2}}:|fe[89ab][0-9a-f]:)'))
       AND ioc_value NOT IN ({', '.join(s.text(x) for x in ioc.WHITELIST_IPS)})
-    WHEN kind = 'domain' THEN {_valid_domain('ioc_value')}
+    WHEN kind IN ('domain', 'subdomain') THEN {_valid_domain('ioc_value')}
     WHEN kind = 'url' THEN {_valid_domain(HOST)}
     WHEN kind = 'email' THEN {_valid_domain("split_part(ioc_value, '@', 2)")} AND length(regexp_replace(ioc_value, '[^@]', '', 'g')) = 1
     WHEN kind IN ('md5', 'sha1', 'sha256', 'sha512') THEN ioc_value NOT IN ({', '.join(s.text(x) for x in ioc.EMPTY_FILE_HASHES)})
@@ -83,10 +77,11 @@ VALID_SQL = f"""CASE
     WHEN kind = 'base64' THEN length(ioc_value) >= 40 ELSE true END"""
 
 
-def advanced_sql(source: str, guarded: str = "message") -> str:
+def advanced_sql(source: str, patterns=ioc.ADVANCED_PATTERNS) -> str:
+    texts = s.CORPUS_TEXTS if source == "corpus" else f"c AS (SELECT entry_id, file_id, message AS t, message AS g FROM {source})"
     return (
-        f", c AS (SELECT entry_id, file_id, {guarded} AS t FROM {source}), raw AS ("
-        + s.find_all("c", ioc.ADVANCED_PATTERNS, KEEP, ioc.LOWERED)
+        f", {texts}, raw AS ("
+        + s.find_all("c", patterns, KEEP, ioc.LOWERED, "g")
         + f"), numbered AS (SELECT *, {NUM} AS num FROM raw), advanced AS (SELECT entry_id, file_id, kind, ioc_value FROM numbered WHERE {VALID_SQL})"
     )
 
@@ -99,19 +94,23 @@ def extract_advanced(spark, sf_dir):
     return ioc.extract_advanced(adapt.messages(spark, sf_dir)).select("entry_id", "kind", "ioc_value")
 
 
-TEXT_KINDS = ("ipv4", "ipv6", "domain", "url", "md5", "sha1", "sha256", "sha512", "cve", "registry_key", "bitcoin")
-
-
 @query(
     "extract_advanced_corpus",
-    s.with_ctes(
-        "corpus",
-        advanced_sql("corpus", s.GUARDED)
-        + f" SELECT kind, ioc_value, count(*) AS entries FROM advanced WHERE kind IN {TEXT_KINDS} GROUP BY 1, 2",
-    ),
+    s.with_ctes("corpus", advanced_sql("corpus") + " SELECT kind, ioc_value, count(*) AS entries FROM advanced GROUP BY 1, 2"),
+    also="extract_advanced_whole",
 )
 def extract_advanced_corpus(spark, sf_dir):
-    found = ioc.extract_advanced(adapt.corpus(spark, sf_dir)).where(F.col("kind").isin(*TEXT_KINDS))
+    found = ioc.extract_advanced(adapt.corpus(spark, sf_dir))
+    return found.groupBy("kind", "ioc_value").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query(
+    "extract_more_kinds",
+    s.with_ctes("corpus", advanced_sql("corpus", ioc.MORE_PATTERNS) + " SELECT kind, ioc_value, count(*) AS entries FROM advanced GROUP BY 1, 2"),
+)
+def extract_more_kinds(spark, sf_dir):
+    """Sub-domains and two more currencies."""
+    found = ioc.extract_advanced(adapt.corpus(spark, sf_dir), patterns=ioc.MORE_PATTERNS)
     return found.groupBy("kind", "ioc_value").agg(F.count(F.lit(1)).alias("entries"))
 
 
@@ -206,11 +205,12 @@ def base64_previews(spark, sf_dir):
     s.with_ctes(
         "corpus",
         BASIC_SQL + """ SELECT ioc_type, count(*) AS mentions, count(DISTINCT ioc_value) AS distinct_values,
-        count(DISTINCT file_id) AS files FROM basic WHERE ioc_type <> 'files' GROUP BY 1""",
+        count(DISTINCT file_id) AS files FROM basic GROUP BY 1""",
     ),
+    also="ioc_summary_whole",
 )
 def ioc_summary(spark, sf_dir):
-    return ioc.ioc_summary(ioc.extract_iocs(adapt.corpus(spark, sf_dir)).where("ioc_type <> 'files'"))
+    return ioc.ioc_summary(ioc.extract_iocs(adapt.corpus(spark, sf_dir)))
 
 
 @query(
@@ -423,27 +423,3 @@ def _register(name):
 
 for _name in ioc.VARIANTS:
     _register(_name)
-
-
-# The operators over everything, with all kinds; no SQL, since its engine's patterns differ on page sources.
-
-
-@query("extract_iocs_whole")
-def extract_iocs_whole(spark, sf_dir):
-    return ioc.distinct_iocs(ioc.extract_iocs(adapt.whole_corpus(spark, sf_dir)))
-
-
-@query("ioc_summary_whole")
-def ioc_summary_whole(spark, sf_dir):
-    return ioc.ioc_summary(ioc.extract_iocs(adapt.whole_corpus(spark, sf_dir)))
-
-
-@query("extract_file_paths_whole")
-def extract_file_paths_whole(spark, sf_dir):
-    return ioc.extract_iocs(adapt.whole_corpus(spark, sf_dir)).where("ioc_type = 'files'").select("entry_id", "ioc_value")
-
-
-@query("extract_advanced_whole")
-def extract_advanced_whole(spark, sf_dir):
-    found = ioc.extract_advanced(adapt.whole_corpus(spark, sf_dir))
-    return found.groupBy("kind", "ioc_value").agg(F.count(F.lit(1)).alias("entries"))

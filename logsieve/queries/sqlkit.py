@@ -82,6 +82,7 @@ CTES = {
 CTES["corpus"] = f"""
         SELECT entry_id, 'user-' || file_id AS file_id, message FROM ({CTES['messages']}) UNION ALL
         SELECT 'p' || page_id, 'page-' || page_id, url FROM pages UNION ALL
+        SELECT 'h' || page_id, 'page-' || page_id, html FROM pages UNION ALL
         SELECT entry_id, 'document-' || file_id, message FROM ({CTES['entries']})"""
 
 # \\b of RE2 knows ASCII only: letters and digits outside ASCII become a word character,
@@ -89,15 +90,23 @@ CTES["corpus"] = f"""
 GUARDED = r"regexp_replace(regexp_replace(message, '[^\x00-\x7F\P{L}]', '_', 'g'), '[^\x00-\x7F]', ' ', 'g')"
 
 
-def find_all(source: str, patterns: Mapping[str, str], keep: Sequence[str], lowered: Sequence[str] = ()) -> str:
-    """Rows (keep..., kind, ioc_value), one per distinct match of a pattern in `t` of a row of `source`."""
+#: a source of `find_all` over the corpus
+CORPUS_TEXTS = f"c AS (SELECT entry_id, file_id, message AS t, {GUARDED} AS g FROM corpus)"
+
+
+def find_all(source: str, patterns: Mapping[str, str], keep: Sequence[str], lowered: Sequence[str] = (), guarded: str = "t") -> str:
+    """Rows (keep..., kind, ioc_value), one per distinct match of a pattern in `t` of a row of `source`.
+
+    Patterns that begin at a word's border match ASCII only and look into `guarded`.
+    """
     cols = ", ".join(keep)
     parts = []
     for kind, pattern in patterns.items():
         value = "lower(m)" if kind in lowered else "m"
+        column = guarded if pattern.startswith(r"\b") else "t"
         parts.append(
             f"SELECT {cols}, '{kind}' AS kind, {value} AS ioc_value FROM (SELECT {cols}, "
-            f"unnest(list_distinct(regexp_extract_all(t, {text(pattern)}))) AS m FROM {source})"
+            f"unnest(list_distinct(regexp_extract_all({column}, {text(pattern)}))) AS m FROM {source})"
         )
     return " UNION ALL ".join(parts)
 

@@ -139,6 +139,28 @@ def test_long_paths_do_not_exhaust_the_stack(spark):
     assert {"unix_path", "base64"} <= kinds
 
 
+def test_needed_words_lose_no_match(spark):
+    """Every pattern finds the same with and without the test that lets a text skip it."""
+    import random
+
+    random.seed(7)
+    wallet = "4A" + "".join(random.choice("123456789ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(93))
+    parts = [
+        "10.1.2.3", "8.8.8.8:53", "a.b.example.org", "EXAMPLE.com.", "https://x.io/a.exe?b", "http://évil.com/ü", "x@y.zz", "C:\\a\\b.exe", "/etc/passwd", "HKLM\\x.y", "HKU",
+        "1:2:3:4:5:6:7:8", "::1", "fe80::", "1:2:3:4:5:6:7", ":::", "CVE-2024-12345", "cve-2024-1", "-enc AAAA", "-EncodedCommand QUJD", "cmd /c dir", "sh -c", "bash -Command x", "é", " ", "\n",
+        "1" + "a" * 26, "bc1" + "q" * 39, "0x" + "aB" * 20, wallet, "d41d8cd98f00b204e9800998ecf8427e", "QUJD" * 11 + "==", "f" * 128, "f" * 64, "f" * 40,
+    ]
+    texts = [(i, "".join(random.choice([p, p + " "]) for p in random.choices(parts, k=random.randint(0, 6)))) for i in range(400)] + [(400, ""), (401, None)]
+    df = spark.createDataFrame(texts, "entry_id int, message string")
+    for patterns in (ioc.BASIC_PATTERNS, ioc.ADVANCED_PATTERNS, ioc.MORE_PATTERNS):
+        found = {tuple(r) for r in ioc.extract(df, F.col("message"), patterns, ["entry_id"]).collect()}
+        plain = set()
+        for kind, pattern in patterns.items():
+            value = F.explode(F.regexp_extract_all(F.coalesce("message", F.lit("")), F.lit(ioc.POSSESSIVE.get(kind, pattern)), F.lit(0))).alias("v")
+            plain |= {(r.entry_id, kind, r.v.lower() if kind in ioc.LOWERED else r.v) for r in df.select("entry_id", value).collect()}
+        assert found == plain and {k for _, k, _ in plain} == set(patterns)
+
+
 def test_report_severity(spark):
     df = spark.createDataFrame([("file", 45, 5, 10, 5, 0, "")], "resource_type string, malicious int, suspicious int, harmless int, undetected int, reputation int, categories string")
     (row,) = intel.report_severity(df).collect()

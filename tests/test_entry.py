@@ -16,7 +16,7 @@ SAMPLE = [
     "error_rate_spikes", "rapid_fire", "burst", "impossible_travel", "trend_change", "extract_iocs", "match_feed", "sigma_match", "custom_match",
     "signature_match", "behavioural_indicators", "lateral_movement", "data_exfiltration", "graph_pivots", "attack_chains", "technique_scores",
     "threat_scores", "history_counts", "json_entries", "stitch_multiline", "sensor_dns", "cloud_rapid_calls", "phishing_score", "code_score",
-    "near_duplicates", "cluster_noise",
+    "near_duplicates", "cluster_noise", "extract_file_paths", "extract_advanced_corpus", "extract_more_kinds", "ioc_summary", "map_iocs",
 ]
 
 
@@ -61,9 +61,9 @@ def test_whole_corpus_has_page_sources_and_all_kinds(spark):
     def brute(kind):
         return {(f"h{r['page_id']}", m[0]) for r in pages for m in re.finditer(ioc.BASIC_PATTERNS[kind], r["html"] or "", re.ASCII)}
 
-    paths = queries["extract_file_paths_whole"](spark, SF)
+    paths = queries["extract_file_paths"](spark, SF)
     assert {(r.entry_id, r.ioc_value) for r in paths.where("entry_id like 'h%'").collect()} == brute("files")
-    found = {(r.ioc_type, r.ioc_value) for r in queries["extract_iocs_whole"](spark, SF).where("ioc_type in ('files', 'emails')").collect()}
+    found = {(r.ioc_type, r.ioc_value) for r in queries["extract_iocs"](spark, SF).where("ioc_type in ('files', 'emails')").collect()}
     assert {(kind, v) for kind in ("files", "emails") for _, v in brute(kind)} <= found and brute("files")
-    assert "files" in {r.ioc_type for r in queries["ioc_summary_whole"](spark, SF).collect()}
-    assert {"email", "unix_path"} <= {r.kind for r in queries["extract_advanced_whole"](spark, SF).select("kind").distinct().collect()}
+    assert "files" in {r.ioc_type for r in queries["ioc_summary"](spark, SF).collect()}
+    assert {"email", "unix_path"} <= {r.kind for r in queries["extract_advanced_corpus"](spark, SF).select("kind").distinct().collect()}
