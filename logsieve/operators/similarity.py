@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsieve.functions.rows import bind, explode_computed
-from logsieve.operators.overlap import distinct_sets, jaccard_pairs
+from logsieve.operators.overlap import distinct_sets, jaccard_pairs, similar_classes
 from logsieve.session import cut_lineage
 
 SHINGLE_WORDS = 3
@@ -23,16 +23,30 @@ def shingles(text: Column, size: int = SHINGLE_WORDS) -> Column:
     return F.array_distinct(bind(words, runs))
 
 
+def _sets(df: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
+    rows = explode_computed(df.where(F.trim(text) != ""), [key], shingles(F.col(text), size), "shingle")
+    members, tokens = distinct_sets(rows, key, "shingle")
+    # the texts are read once more for every use of the shingles unless they are written down
+    return cut_lineage(members), cut_lineage(tokens)
+
+
+def near_duplicate_classes(df: DataFrame, key: str, text: str, over: float = 0.8, size: int = SHINGLE_WORDS) -> DataFrame:
+    """(key, set_id, class_id) of every text with a word.
+
+    `set_id` is the smallest key with the same shingles, `class_id` the smallest key reachable over texts that are similar
+    above the threshold. As many rows as texts, however large a group of near copies is.
+    """
+    members, tokens = _sets(df, key, text, size)
+    return members.join(similar_classes(tokens, over), "set_id").select(key, "set_id", "class_id")
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, over: float = 0.8, size: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
     """(pairs of distinct texts above the threshold, members of each text).
 
     Texts with the same shingles are one text with many members, so a pile of copies is
     never paired with itself. Pairs are named by the smallest key of either side.
     """
-    rows = explode_computed(df.where(F.trim(text) != ""), [key], shingles(F.col(text), size), "shingle")
-    members, tokens = distinct_sets(rows, key, "shingle")
-    # the texts are read once more for every use of the shingles unless they are written down
-    members, tokens = cut_lineage(members), cut_lineage(tokens)
+    members, tokens = _sets(df, key, text, size)
     pairs = jaccard_pairs(tokens, over)
     # a set is named by its smallest key
     sizes = members.groupBy("set_id").agg(F.count(F.lit(1)).alias("_n"))

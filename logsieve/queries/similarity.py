@@ -10,20 +10,32 @@ from logsieve.operators.timing import rounded
 from logsieve.queries.registry import query
 
 
-@query(
-    "near_duplicates",
-    r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\f\r\x0B]+'), lambda x: x <> '') AS ws FROM documents WHERE trim(text) <> ''),
+PAIRS_SQL = r"""w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\f\r\x0B]+'), lambda x: x <> '') AS ws FROM documents WHERE trim(text) <> ''),
     sh AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - 1, 2)), lambda i: array_to_string(list_slice(ws, i, i + 2), ' ')))) AS ss FROM w),
     st AS (SELECT ss, min(doc_id) AS head, count(*) AS members FROM sh GROUP BY 1), t AS (SELECT head, members, len(ss) AS size, unnest(ss) AS x FROM st),
     p AS (SELECT a.head AS first_key, b.head AS second_key, a.members AS first_members, b.members AS second_members, count(*) / (a.size + b.size - count(*)) AS sim
-          FROM t a JOIN t b ON a.x = b.x AND a.head < b.head GROUP BY a.head, b.head, a.members, b.members, a.size, b.size)
-    SELECT first_key, second_key, first_members, second_members, round(sim, 6) AS similarity FROM p WHERE sim > 0.5""",
-)
+          FROM t a JOIN t b ON a.x = b.x AND a.head < b.head GROUP BY a.head, b.head, a.members, b.members, a.size, b.size),
+    p2 AS (SELECT * FROM p WHERE sim > 0.5)"""
+
+
+@query("near_duplicates", f"WITH {PAIRS_SQL} SELECT first_key, second_key, first_members, second_members, round(sim, 6) AS similarity FROM p2")
 def near_duplicates(spark, sf_dir):
     pairs, _ = similarity.near_duplicates(adapt.spread(adapt.table(spark, sf_dir, "documents")), "doc_id", "text", over=0.5)
     return rounded(pairs)
 
 
+@query(
+    "near_duplicate_classes",
+    f"""WITH RECURSIVE {PAIRS_SQL}, e AS (SELECT first_key AS u, second_key AS v FROM p2 UNION ALL SELECT second_key, first_key FROM p2),
+    r AS (SELECT head AS node, head AS seen FROM st UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.seen),
+    c AS (SELECT node, min(seen) AS class_id FROM r GROUP BY 1)
+    SELECT doc_id, node AS set_id, class_id FROM sh JOIN st USING (ss) JOIN c ON c.node = st.head""",
+)
+def near_duplicate_classes(spark, sf_dir):
+    """Every document with its class of near copies."""
+    return similarity.near_duplicate_classes(adapt.spread(adapt.table(spark, sf_dir, "documents")), "doc_id", "text", over=0.5)
+
+
 @query(
     "set_overlap_pairs",
     """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 64 AS t FROM lineitem), sz AS (SELECT s, count(*) AS n, string_agg(t, ',' ORDER BY t) AS sig FROM e GROUP BY 1),

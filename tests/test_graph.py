@@ -119,6 +119,42 @@ def test_jaccard_pairs(spark, over):
     assert found == expected and names[60] == names[61] == names[0]
 
 
+@pytest.mark.parametrize("over", [0.4, 0.75])
+def test_similar_classes_against_all_pairs(spark, over):
+    """Groups of near copies, chains and sets of their own: the classes are those of all pairs."""
+    rng = random.Random(int(over * 100))
+    sets = {i: frozenset(rng.sample(range(14), rng.randrange(1, 9))) for i in range(40)}
+    trunk = list(range(100, 130))
+    for i in range(40, 100):  # near copies of one set, all different
+        sets[i] = frozenset([*rng.sample(trunk, 28), 200 + i])
+    for i in range(100, 120):  # a chain, ends far apart
+        sets[i] = frozenset(range(1000 + i, 1012 + i))
+    df = spark.createDataFrame([(i, t) for i, ts in sets.items() for t in ts], "id int, t int")
+    members, tokens = overlap.distinct_sets(df, "id", "t")
+    found = {r.id: r.class_id for r in members.join(overlap.similar_classes(tokens, over), "set_id").collect()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        x, y = sets[a], sets[b]
+        if len(x & y) / len(x | y) > over:
+            one, other = sorted((find(a), find(b)))
+            root[other] = one
+    assert found == {i: find(i) for i in sets}
+
+
+def test_near_duplicate_classes(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (2, base), (3, base + " tail"), (4, "something else entirely"), (5, "x"), (6, " "), (7, None)]
+    found = similarity.near_duplicate_classes(spark.createDataFrame(rows, "id int, text string"), "id", "text").collect()
+    assert {tuple(r) for r in found} == {(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 4, 4), (5, 5, 5)}
+    assert similarity.near_duplicate_classes(spark.createDataFrame([], "id int, text string"), "id", "text").collect() == []
+
+
 def test_merge_findings(spark):
     sets = {"a": range(0, 10), "b": range(5, 12), "c": range(100, 110), "d": range(9, 60), "e": range(0, 10)}
     rows = [(f, str(e)) for f, es in sets.items() for e in es]
