@@ -25,8 +25,11 @@ NONE = np.int64(1) << np.int64(60)
 LONG = 200  # characters from which a part has an agenda of its own; shorter ones are segmented together
 SHORT = 24  # characters up to which the segmentations of a part are kept
 MEMORY_BYTES = 64 << 20  # a worker forgets the segmentations when they take about so many bytes
-NODE_BYTES = 500  # of a node's entries in lists and dictionaries; its arrays and skips come on top
+NODE_BYTES = 200  # of a node's entry in a dictionary; its arrays come on top
 OCCURRENCES = 1 << 15  # taken through the trees at once
+DECODED = 100  # rows that are decoded together
+CELLS = 1 << 16  # of the table of parts and places that are segmented together
+NOTHING = (1 << SYMBOL_BITS) - 1  # in a cell without a symbol; makes no piece with any
 
 
 class PieceModel:
@@ -38,11 +41,12 @@ class PieceModel:
         self.ids = {file.id_to_piece(i): i for i in normal}
         self.order = {file.id_to_piece(i): -file.get_score(i) for i in normal}
         self.byte_ids = [file.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.texts = [b""] * file.get_piece_size()
+        texts = [b""] * file.get_piece_size()
         for piece, i in self.ids.items():
-            self.texts[i] = piece.replace(MARK, " ").encode()
+            texts[i] = piece.replace(MARK, " ").encode()
         for b, i in enumerate(self.byte_ids):
-            self.texts[i] = bytes([b])
+            texts[i] = bytes([b])
+        self.texts = pa.array(texts, pa.binary())
 
         self._pairs()
 
@@ -70,17 +74,47 @@ class PieceModel:
                     rows.append((left << SYMBOL_BITS | right, i, int(self.order[piece])))
         rows.sort()
         self.pair_keys, self.pair_pieces, self.pair_ranks = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-        self.characters = np.arange(size, size + 0x110000, dtype=np.int64)
+        self.slot_shift = np.uint64(62 - len(rows).bit_length())  # four slots and more for each pair
+        slots = self._slots(self.pair_keys)
+        self.slots = np.zeros(1 << (64 - int(self.slot_shift)), np.int32)
+        self.slots[slots] = np.arange(len(rows))
+        self.shared = np.bincount(slots, minlength=len(self.slots)) > 1
+        self.characters = np.arange(size, size + 0x110000, dtype=np.int32)
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.characters[ord(piece)] = i
 
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * BASE) >> self.slot_shift).view(np.int64)
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these symbols beside each other make a piece, and their rows in the table of pairs."""
+        keys = left.astype(np.int64) << SYMBOL_BITS | right
+        slots = self._slots(keys)
+        found = self.slots[slots]
+        hit = self.pair_keys[found] == keys
+        rest = np.flatnonzero(self.shared[slots] > hit)
+        if len(rest):
+            found[rest] = np.minimum(np.searchsorted(self.pair_keys, keys[rest]), len(self.pair_keys) - 1)
+            hit[rest] = self.pair_keys[found[rest]] == keys[rest]
+        hit = np.flatnonzero(hit)
+        return hit, found[hit]
+
     def symbol_ids(self, symbol: str) -> list[int]:
         found = self.ids.get(symbol)
         return [found] if found is not None else [self.byte_ids[b] for b in symbol.replace(MARK, " ").encode()]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.texts.__getitem__, ids)).decode(errors="replace")[1:]
+    def decode(self, lists: pa.ListArray) -> list[str | None]:
+        """The text of each list of ids, the blank before it left out."""
+        taken = self.texts.take(lists.flatten())
+        if taken.null_count:
+            raise ValueError("null among the ids of a text")
+        _, offsets, data = taken.buffers()
+        ends = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())))
+        ends = np.frombuffer(offsets, np.int32)[ends].tolist() if len(taken) else [0] * len(ends)
+        data = memoryview(data or b"")
+        found = zip(lists.is_valid().to_pylist(), ends[:-1], ends[1:], strict=True)
+        return [str(data[a:b], "utf-8", "replace")[1:] if valid else None for valid, a, b in found]
 
 
 @lru_cache(maxsize=2)
@@ -115,6 +149,17 @@ def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
+def _taken(values: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """These rows of values that lie one after the other, and how many each has."""
+    return values[_places((np.cumsum(sizes) - sizes)[rows], sizes[rows])], sizes[rows]
+
+
+def _codes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of parts, blanks as pieces write them, and how many each has."""
+    codes = np.frombuffer("".join(parts).replace(" ", MARK).encode("utf-32-le"), np.int32)
+    return codes, np.fromiter(map(len, parts), np.int64, len(parts))
+
+
 class DropoutEncoder:
     """Merges in the order of an agenda, each candidate skipped with a probability decided by a keyed hash.
 
@@ -137,14 +182,16 @@ class DropoutEncoder:
     def _forget(self) -> None:
         self.roots: dict[str, int] = {}
         self.children: dict[int, int] = {}  # by node and place among its merges
-        self.parts: list[str] = []  # of the nodes, like the next three
-        self.without: list[tuple[int, ...]] = []
-        self.merges, self.ids = _Rows(np.int64), _Rows(np.int32)
+        self.codes, self.merges, self.ids = _Rows(np.int32), _Rows(np.int64), _Rows(np.int32)  # of the nodes
         self.held = 0  # bytes, about
 
-    def _skipped(self, draws: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        x = mix(draws ^ (place.astype(np.uint64) * BASE + rank.astype(np.uint64)))
-        return (x >> np.uint64(32)).astype(np.int64) < self.limit
+    def _skipped(self, draws: np.ndarray, merges: np.ndarray) -> np.ndarray:
+        """Whether these merges, each written as rank and place, are skipped by these draws."""
+        x = (merges & PLACE).view(np.uint64)
+        x *= BASE
+        x += (merges >> SYMBOL_BITS).view(np.uint64)
+        x ^= draws
+        return mix(x) >> np.uint64(32) < self.limit
 
     def segment(self, part: str, draw: int) -> list[str]:
         """One part by an agenda of its own."""
@@ -167,7 +214,7 @@ class DropoutEncoder:
             rank, i, j, merged = heapq.heappop(agenda)
             if symbols[i] is None or symbols[j] is None or symbols[i] + symbols[j] != merged or after[i] != j:
                 continue  # one of the two was merged meanwhile
-            if self.limit and self._skipped(own, np.array([i]), np.array([int(rank)]))[0]:
+            if self.limit and self._skipped(own, np.array([int(rank) << SYMBOL_BITS | i]))[0]:
                 continue
             symbols[i], symbols[j] = merged, None
             k = after[i] = after[j]
@@ -181,116 +228,129 @@ class DropoutEncoder:
     def segment_together(self, parts: list[str], draws: np.ndarray) -> list[bytes]:
         """The ids of many parts, each with the skips of its draw; a step of all agendas is a few array operations."""
         draws = draws.astype(np.uint64)
-        return self._run(parts, (lambda part, place, rank: self._skipped(draws[part], place, rank)) if self.limit else None)[0]
+        ids, counts, _, _ = self._run(*_codes(parts), (lambda part, merges: self._skipped(draws[part], merges)) if self.limit else None)
+        blob, ends = ids.tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
+        return [blob[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-    def _run(self, parts: list[str], skipped) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The ids of the parts, and all merges made: number of the part and rank and place, in order for each part."""
-        model = self.model
-        codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
-        sizes = np.array([len(p) for p in parts])
+    def _run(self, codes: np.ndarray, sizes: np.ndarray, skipped) -> tuple[np.ndarray, ...]:
+        """The ids of the parts and how many each has, and the merges made in their order and how many each part has."""
         starts = np.cumsum(sizes) - sizes
-        part = np.repeat(np.arange(len(parts)), sizes)
-        place = np.arange(len(codes)) - starts[part]
-        symbols = model.characters[codes]
-        value, merged = np.full(len(symbols), NONE), np.zeros(len(symbols), np.int64)
-        last_key = len(model.pair_keys) - 1
-
-        def propose(at: np.ndarray) -> None:
+        order = np.argsort(sizes, kind="stable")
+        lengths = sizes[order]
+        found, first = [], 0
+        while first < len(order):  # parts of about the same length at a time
+            last = first + max(1, int(np.searchsorted(np.arange(1, len(order) - first + 1) * (lengths[first:] + 2), CELLS, "right")))
+            block = order[first:last]
+            own = lengths[first:last]
+            found.append(self._block(codes[_places(starts[block], own)], own, block, skipped))
+            first = last
+        ids, counts, made, n_made = (np.concatenate(x) for x in zip(*found, strict=True))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return *_taken(ids, counts, back), *_taken(made, n_made, back)
+
+    def _block(self, codes: np.ndarray, sizes: np.ndarray, parts: np.ndarray, skipped) -> tuple[np.ndarray, ...]:
+        """`_run` for parts in one table: a column for each, a row for each place and one row before and after them."""
+        model, n = self.model, len(sizes)
+        column = np.repeat(np.arange(n), sizes)
+        cells = (_places(np.zeros(n, np.int64), sizes) + 1) * n + column
+        rows = int(sizes[-1]) + 2
+        symbols, merged = np.full(rows * n, NOTHING, np.int32), np.empty(rows * n, np.int32)
+        symbols[cells] = model.characters[codes]
+        value = np.full(rows * n, NONE)
+        table = value.reshape(rows, n)
+        after, before = np.arange(n, (rows + 1) * n), np.arange(-n, (rows - 1) * n)
+
+        def propose(at: np.ndarray, nearest: np.ndarray) -> None:
             value[at] = NONE
-            at = at[at + 1 < len(symbols)]
-            at = at[part[at] == part[at + 1]]
-            key = symbols[at] << SYMBOL_BITS | symbols[at + 1]
-            found = np.minimum(np.searchsorted(model.pair_keys, key), last_key)
-            hit = model.pair_keys[found] == key
-            at, found = at[hit], found[hit]
-            rank = model.pair_ranks[found]
+            hit, found = model.pairs(symbols[at], symbols[nearest])
+            at = at[hit]
+            place, column = np.divmod(at, n)
+            merges = model.pair_ranks[found] << SYMBOL_BITS | place - 1
             if skipped is not None:
-                stay = ~skipped(part[at], place[at], rank)
-                at, found, rank = at[stay], found[stay], rank[stay]
-            value[at] = rank << SYMBOL_BITS | place[at]
+                stay = ~skipped(parts[column], merges)
+                at, found, merges = at[stay], found[stay], merges[stay]
+            value[at] = merges
             merged[at] = model.pair_pieces[found]
 
-        propose(np.arange(len(symbols)))
-        done_part, done_symbols, made_part, made = [], [], [], []
-        while len(symbols):
-            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            best = np.repeat(np.minimum.reduceat(value, first), np.diff(np.append(first, len(part))))
-            over = best == NONE
-            if over.any():
-                done_part.append(part[over])
-                done_symbols.append(symbols[over])
-                part, place, symbols, value, merged, best = (x[~over] for x in (part, place, symbols, value, merged, best))
-            at = np.flatnonzero(value == best)
-            made_part.append(part[at])
-            made.append(value[at])
-            symbols[at] = merged[at]
-            keep = np.ones(len(symbols), bool)
-            keep[at + 1] = False
-            part, place, symbols, value, merged = (x[keep] for x in (part, place, symbols, value, merged))
-            at = at - np.arange(len(at))
-            left = at[at > 0] - 1
-            changed = np.zeros(len(symbols), bool)
-            changed[at] = True
-            changed[left[part[left] == part[left + 1]]] = True
-            propose(np.flatnonzero(changed))
-        whole, symbols = np.concatenate(done_part), np.concatenate(done_symbols)
-        order = np.argsort(whole, kind="stable")
-        whole, symbols = whole[order], symbols[order]
-        bounds = np.searchsorted(whole, np.arange(len(parts) + 1))
-        strange = set(whole[symbols >= model.first_character].tolist())
-        blob = symbols.astype(np.int32).tobytes()
-        out = [blob[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        for w in strange:
-            ids = []
-            for s in symbols[bounds[w] : bounds[w + 1]].tolist():
-                ids += [s] if s < model.first_character else model.symbol_ids(chr(s - model.first_character))
-            out[w] = array("i", ids).tobytes()
-        made_part, made = np.concatenate(made_part), np.concatenate(made)
-        order = np.argsort(made_part, kind="stable")
-        return out, made_part[order], made[order]
-
-    def _add(self, parts: list[str], without: list[tuple[int, ...]]) -> range:
-        """New nodes: these parts without these merges."""
-        skips = np.array([v for skips in without for v in skips], np.int64)
-        owner = np.repeat(np.arange(len(without)), [len(skips) for skips in without])
-        keys = np.sort(owner << 32 | (skips & PLACE) << 24 | skips >> SYMBOL_BITS)
-
-        def skipped(part, place, rank):
-            key = part << 32 | place << 24 | rank
-            return keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
-
-        ids, part, made = self._run([p.replace(" ", MARK) for p in parts], skipped if len(keys) else None)
-        first = len(self.parts)
-        self.parts += parts
-        self.without += without
-        self.merges.append(made, np.bincount(part, minlength=len(parts)))
-        blob = b"".join(ids)
-        self.ids.append(np.frombuffer(blob, np.int32), np.array([len(i) // 4 for i in ids]))
-        self.held += NODE_BYTES * len(parts) + 2 * (made.nbytes + len(blob)) + 40 * len(skips)  # arrays have up to twice their length
-        return range(first, len(self.parts))
+        propose(cells, cells + n)
+        made_column, made = [], []
+        while True:
+            best = table.min(axis=0)
+            column = np.flatnonzero(best != NONE)
+            if not len(column):
+                break
+            best = best[column]
+            at = ((best & PLACE) + 1) * n + column
+            gone = after[at]
+            nearest = after[gone]
+            symbols[at], symbols[gone], value[gone] = merged[at], NOTHING, NONE
+            after[at], before[nearest] = nearest, at
+            propose(np.concatenate((before[at], at)), np.concatenate((at, nearest)))
+            made_column.append(column)
+            made.append(best)
+        ids = symbols.reshape(rows, n).T
+        there = ids != NOTHING
+        ids, counts = self._by_bytes(ids[there], there.sum(axis=1))
+        if not made:
+            return ids, counts, np.empty(0, np.int64), np.zeros(n, np.int64)
+        made_column = np.concatenate(made_column)
+        return ids, counts, np.concatenate(made)[np.argsort(made_column.astype(np.uint16), kind="stable")], np.bincount(made_column, minlength=n)
+
+    def _by_bytes(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of symbols, where characters without a piece go by their bytes, and how many each part has."""
+        size = self.model.first_character
+        strange = np.flatnonzero(symbols >= size)
+        if not len(strange):
+            return symbols, counts
+        written = [self.model.symbol_ids(chr(c - size)) for c in symbols[strange].tolist()]
+        lengths = np.ones(len(symbols), np.int64)
+        lengths[strange] = [len(w) for w in written]
+        ids = np.repeat(symbols, lengths)
+        ids[_places((np.cumsum(lengths) - lengths)[strange], lengths[strange])] = [i for w in written for i in w]
+        return ids, np.diff(np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))])
+
+    def _add(self, codes: np.ndarray, sizes: np.ndarray, without: list[np.ndarray]) -> range:
+        """New nodes: these parts, each without its merge in every one of these arrays."""
+
+        def skipped(part, merges):
+            hit = without[0][part] == merges
+            for other in without[1:]:
+                hit |= other[part] == merges
+            return hit
+
+        ids, counts, made, n_made = self._run(codes, sizes, skipped if without else None)
+        first = self.ids.n
+        self.codes.append(codes, sizes)
+        self.merges.append(made, n_made)
+        self.ids.append(ids, counts)
+        self.held += NODE_BYTES * len(sizes) + 2 * (codes.nbytes + made.nbytes + ids.nbytes)  # arrays have up to twice their length
+        return range(first, self.ids.n)
 
     def _walk(self, node: np.ndarray, draws: np.ndarray) -> None:
         """Takes each occurrence from the root of its part, in `node`, to the node of its skips."""
-        active, after = np.arange(len(node)), np.zeros(len(node), np.int64)
+        active, after, path = np.arange(len(node)), np.zeros(len(node), np.int64), []
         while len(active):
             made, sizes = self.merges.gather(node[active], after)
             some = sizes > 0
-            active, after, sizes = active[some], after[some], sizes[some]
+            active, after, sizes, path = active[some], after[some], sizes[some], [p[some] for p in path]
             if not len(active):
                 break
-            hit = self._skipped(np.repeat(draws[active], sizes), made & PLACE, made >> SYMBOL_BITS)
-            starts = np.cumsum(sizes) - sizes
-            first = np.minimum.reduceat(np.where(hit, np.arange(len(made)), len(made)), starts)
-            some = first < len(made)
-            active, after = active[some], (after + first - starts)[some]
-            keys, inverse = np.unique(node[active] << 8 | after, return_inverse=True)
-            keys = keys.tolist()
-            new = [k for k in keys if k not in self.children]
-            if new:
-                parents = [k >> 8 for k in new]
-                skips = [(*self.without[n], int(self.merges.data[self.merges.ends[n] + (k & 255)])) for n, k in zip(parents, new, strict=True)]
-                self.children.update(zip(new, self._add([self.parts[n] for n in parents], skips), strict=True))
-            node[active] = np.array([self.children[k] for k in keys], np.int64)[inverse]
+            hit = np.append(np.flatnonzero(self._skipped(np.repeat(draws[active], sizes), made)), len(made))
+            ends = np.cumsum(sizes)
+            first = hit[np.searchsorted(hit, ends - sizes)]
+            some = first < ends
+            active, after, path = active[some], (after + first - ends + sizes)[some], [p[some] for p in path]
+            path.append(made[first[some]])
+            keys, one, inverse = np.unique(node[active] << 8 | after, return_index=True, return_inverse=True)
+            named = keys.tolist()
+            child = np.fromiter(map(self.children.get, named, repeat(-1)), np.int64, len(named))
+            new = np.flatnonzero(child < 0)
+            if len(new):
+                added = self._add(*self.codes.gather(keys[new] >> 8), [p[one[new]] for p in path])
+                self.children.update(zip(keys[new].tolist(), added, strict=True))
+                child[new] = added
+            node[active] = child[inverse]
 
     def _alone(self, parts: list[str], draws: np.ndarray) -> list[np.ndarray]:
         """The ids of occurrences of parts that have no tree."""
@@ -313,7 +373,7 @@ class DropoutEncoder:
         unknown = np.flatnonzero(node < 0).tolist()
         fresh = list({p for i in unknown if len(p := parts[i]) <= most and p != MARK})
         if fresh:
-            self.roots.update(zip(fresh, self._add(fresh, [()] * len(fresh)), strict=True))
+            self.roots.update(zip(fresh, self._add(*_codes(fresh), []), strict=True))
             node[unknown] = [self.roots.get(parts[i], -1) for i in unknown]
         kept, alone = np.flatnonzero(node >= 0), np.flatnonzero(node < 0)
         inside = node[kept]
@@ -390,9 +450,9 @@ def _decoding(path: str, place: int):
     def run(batches):
         model = piece_model(path)
         for batch in batches:
-            lists = batch.column(place)
-            texts = [model.decode(v.values.to_pylist()) if v.is_valid else None for v in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            for first in range(0, batch.num_rows, DECODED):
+                part = batch.slice(first, DECODED)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.decode(part.column(place)), pa.string())], [*part.schema.names, "decoded"])
 
     return run
 

@@ -282,6 +282,48 @@ def test_pieces_together_as_one_by_one():
         assert np.frombuffer(ids, np.int32).tolist() == [i for s in encoder.segment(p, v) for i in encoder.model.symbol_ids(s)]
 
 
+def test_pieces_runs_of_blanks():
+    """Merges of blanks rank far behind all others; they are skipped at their own places only."""
+    model = pieces.piece_model(PIECES)
+    encoder = pieces.DropoutEncoder(model, 0.1, 11)
+    lines = [("x" + " " * n + "y\n") * 50 for n in range(1, 28)]
+    found = encoder.encode(lines, list(range(len(lines))))
+    for i, (line, ids) in enumerate(zip(lines, found, strict=True)):
+        cut = model.part.findall(" " + line)
+        draws = pieces.mix(np.arange(len(cut), dtype=np.uint64) + pieces.mix(np.array([i], np.uint64) ^ encoder.key))
+        alone = [k for p, d in zip(cut, draws, strict=True) for s in encoder.segment(p.replace(" ", pieces.MARK), int(d)) for k in model.symbol_ids(s)]
+        assert np.frombuffer(ids, np.int32).tolist() == alone
+
+
+def test_pieces_decode_together():
+    """Lists are decoded by array operations: in far less time than it takes to make Python numbers of the ids."""
+    import time
+
+    import pyarrow as pa
+
+    model = pieces.piece_model(PIECES)
+    rng = np.random.default_rng(7)
+    known = list(model.ids.values()) + model.byte_ids
+    rows = [None, [], [model.byte_ids[200]], [model.byte_ids[0xC3], model.byte_ids[0xA9], model.ids["a"]]]
+    rows += [rng.choice(known, n).tolist() for n in rng.integers(0, 40, 300)]
+    text = {i: p.replace(pieces.MARK, " ").encode() for p, i in model.ids.items()} | {i: bytes([b]) for b, i in enumerate(model.byte_ids)}
+    expected = [None if r is None else b"".join(text[i] for i in r).decode(errors="replace")[1:] for r in rows]
+    lists = pa.array(rows, pa.list_(pa.int32()))
+    for first, last in ((0, len(rows)), (1, 3), (3, 200), (0, 1), (5, 5)):
+        batch = pa.RecordBatch.from_arrays([lists.slice(first, last - first)], ["ids"])
+        assert [t for b in pieces._decoding(PIECES, 0)([batch]) for t in b.column("decoded").to_pylist()] == expected[first:last]
+    large = pa.RecordBatch.from_arrays([pa.array([rng.choice(known, 1000) for _ in range(400)], pa.list_(pa.int32()))], ["ids"])
+    times = []
+    for work in (lambda: list(pieces._decoding(PIECES, 0)([large])), large.column(0).to_pylist):
+        runs = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            runs.append(time.process_time() - began)
+        times.append(min(runs))
+    assert times[0] < times[1] / 2
+
+
 def components(links, nodes):
     parent = {i: i for i in nodes}
 
