@@ -23,10 +23,10 @@ SYMBOL_BITS = 21
 PLACE = (1 << SYMBOL_BITS) - 1  # of a merge, which is written as rank and place
 NONE = np.int64(1) << np.int64(60)
 LONG = 200  # characters from which a part has an agenda of its own; shorter ones are segmented together
-SHORT = 24  # characters up to which the segmentations of a part are kept
+SHORT = 24  # characters up to which the segmentation of a part without skips is kept
 MEMORY_BYTES = 64 << 20  # a worker forgets the segmentations when they take about so many bytes
-NODE_BYTES = 200  # of a node's entry in a dictionary; its arrays come on top
-OCCURRENCES = 1 << 15  # taken through the trees at once
+KEPT_BYTES = 200  # of a part's entry in a dictionary; its arrays come on top
+OCCURRENCES = 1 << 15  # looked up at once
 DECODED = 100  # rows that are decoded together
 CELLS = 1 << 16  # of the table of parts and places that are segmented together
 NOTHING = (1 << SYMBOL_BITS) - 1  # in a cell without a symbol; makes no piece with any
@@ -167,11 +167,10 @@ class DropoutEncoder:
     covers the place in the part and the merged piece. So every occurrence of a word is segmented by skips of its own, and
     the same document always in the same way.
 
-    A candidate that never comes up as the best of its agenda changes nothing if it is skipped. Short parts therefore have
-    a tree: a node stands for a set of skipped merges and holds the merges of the agenda without them and the ids. An
-    occurrence starts at the root and goes on at its first skipped merge, until none is skipped; nodes are made when an
-    occurrence first comes to them. The new ones in a group of texts are segmented together: in each step every part takes
-    the next candidate of its agenda (best score, then leftmost). Longer parts are segmented for each occurrence.
+    A candidate that never comes up as the best of its agenda changes nothing if it is skipped. Of short parts the merges
+    made without skips and the ids are therefore kept: an occurrence that skips none of these merges has these ids. The
+    others in a group of texts are segmented together, each with its own skips: in each step every part takes the next
+    candidate of its agenda (best score, then leftmost). So are longer parts, the longest of them one by one.
     """
 
     def __init__(self, model: PieceModel, dropout: float, seed: int, memory: int = MEMORY_BYTES):
@@ -181,8 +180,7 @@ class DropoutEncoder:
 
     def _forget(self) -> None:
         self.roots: dict[str, int] = {}
-        self.children: dict[int, int] = {}  # by node and place among its merges
-        self.codes, self.merges, self.ids = _Rows(np.int32), _Rows(np.int64), _Rows(np.int32)  # of the nodes
+        self.codes, self.merges, self.ids = _Rows(np.int32), _Rows(np.int64), _Rows(np.int32)  # of the parts without skips
         self.held = 0  # bytes, about
 
     def _skipped(self, draws: np.ndarray, merges: np.ndarray) -> np.ndarray:
@@ -227,53 +225,54 @@ class DropoutEncoder:
 
     def segment_together(self, parts: list[str], draws: np.ndarray) -> list[bytes]:
         """The ids of many parts, each with the skips of its draw; a step of all agendas is a few array operations."""
-        draws = draws.astype(np.uint64)
-        ids, counts, _, _ = self._run(*_codes(parts), (lambda part, merges: self._skipped(draws[part], merges)) if self.limit else None)
+        ids, counts, _, _ = self._run(*_codes(parts), draws.astype(np.uint64) if self.limit else None)
         blob, ends = ids.tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
         return [blob[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-    def _run(self, codes: np.ndarray, sizes: np.ndarray, skipped) -> tuple[np.ndarray, ...]:
-        """The ids of the parts and how many each has, and the merges made in their order and how many each part has."""
+    def _run(self, codes: np.ndarray, sizes: np.ndarray, draws: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """The ids of the parts and how many each has; without draws also the merges in their order and how many each has."""
         starts = np.cumsum(sizes) - sizes
         order = np.argsort(sizes, kind="stable")
         lengths = sizes[order]
         found, first = [], 0
         while first < len(order):  # parts of about the same length at a time
             last = first + max(1, int(np.searchsorted(np.arange(1, len(order) - first + 1) * (lengths[first:] + 2), CELLS, "right")))
-            block = order[first:last]
-            own = lengths[first:last]
-            found.append(self._block(codes[_places(starts[block], own)], own, block, skipped))
+            if last < len(order):
+                last = first + (1 << (last - first).bit_length() - 1)
+            block, own = order[first:last], lengths[first:last]
+            found.append(self._block(codes[_places(starts[block], own)], own, None if draws is None else draws[block]))
             first = last
         ids, counts, made, n_made = (np.concatenate(x) for x in zip(*found, strict=True))
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         return *_taken(ids, counts, back), *_taken(made, n_made, back)
 
-    def _block(self, codes: np.ndarray, sizes: np.ndarray, parts: np.ndarray, skipped) -> tuple[np.ndarray, ...]:
+    def _block(self, codes: np.ndarray, sizes: np.ndarray, draws: np.ndarray | None) -> tuple[np.ndarray, ...]:
         """`_run` for parts in one table: a column for each, a row for each place and one row before and after them."""
-        model, n = self.model, len(sizes)
-        column = np.repeat(np.arange(n), sizes)
-        cells = (_places(np.zeros(n, np.int64), sizes) + 1) * n + column
-        rows = int(sizes[-1]) + 2
-        symbols, merged = np.full(rows * n, NOTHING, np.int32), np.empty(rows * n, np.int32)
+        model, n, rows = self.model, len(sizes), int(sizes[-1]) + 2
+        bits = (n - 1).bit_length()
+        width = 1 << bits
+        cells = (_places(np.ones(n, np.int64), sizes) << bits) + np.repeat(np.arange(n), sizes)
+        symbols, merged = np.full(rows * width, NOTHING, np.int32), np.empty(rows * width, np.int32)
         symbols[cells] = model.characters[codes]
-        value = np.full(rows * n, NONE)
-        table = value.reshape(rows, n)
-        after, before = np.arange(n, (rows + 1) * n), np.arange(-n, (rows - 1) * n)
+        value = np.full(rows * width, NONE)
+        table = value.reshape(rows, width)
+        after, before = np.arange(width, (rows + 1) * width), np.arange(-width, (rows - 1) * width)
 
         def propose(at: np.ndarray, nearest: np.ndarray) -> None:
             value[at] = NONE
             hit, found = model.pairs(symbols[at], symbols[nearest])
             at = at[hit]
-            place, column = np.divmod(at, n)
-            merges = model.pair_ranks[found] << SYMBOL_BITS | place - 1
-            if skipped is not None:
-                stay = ~skipped(parts[column], merges)
+            merges = model.pair_ranks[found]
+            merges <<= SYMBOL_BITS
+            merges += (at >> bits) - 1
+            if draws is not None:
+                stay = np.flatnonzero(~self._skipped(draws[at & width - 1], merges))
                 at, found, merges = at[stay], found[stay], merges[stay]
             value[at] = merges
             merged[at] = model.pair_pieces[found]
 
-        propose(cells, cells + n)
+        propose(cells, cells + width)
         made_column, made = [], []
         while True:
             best = table.min(axis=0)
@@ -281,15 +280,16 @@ class DropoutEncoder:
             if not len(column):
                 break
             best = best[column]
-            at = ((best & PLACE) + 1) * n + column
+            at = ((best & PLACE) + 1 << bits) + column
             gone = after[at]
             nearest = after[gone]
             symbols[at], symbols[gone], value[gone] = merged[at], NOTHING, NONE
             after[at], before[nearest] = nearest, at
             propose(np.concatenate((before[at], at)), np.concatenate((at, nearest)))
-            made_column.append(column)
-            made.append(best)
-        ids = symbols.reshape(rows, n).T
+            if draws is None:
+                made_column.append(column)
+                made.append(best)
+        ids = symbols.reshape(rows, width)[:, :n].T
         there = ids != NOTHING
         ids, counts = self._by_bytes(ids[there], there.sum(axis=1))
         if not made:
@@ -310,47 +310,23 @@ class DropoutEncoder:
         ids[_places((np.cumsum(lengths) - lengths)[strange], lengths[strange])] = [i for w in written for i in w]
         return ids, np.diff(np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))])
 
-    def _add(self, codes: np.ndarray, sizes: np.ndarray, without: list[np.ndarray]) -> range:
-        """New nodes: these parts, each without its merge in every one of these arrays."""
-
-        def skipped(part, merges):
-            hit = without[0][part] == merges
-            for other in without[1:]:
-                hit |= other[part] == merges
-            return hit
-
-        ids, counts, made, n_made = self._run(codes, sizes, skipped if without else None)
+    def _add(self, parts: list[str]) -> range:
+        """Keeps these parts."""
+        codes, sizes = _codes(parts)
+        ids, counts, made, n_made = self._run(codes, sizes, None)
         first = self.ids.n
         self.codes.append(codes, sizes)
         self.merges.append(made, n_made)
         self.ids.append(ids, counts)
-        self.held += NODE_BYTES * len(sizes) + 2 * (codes.nbytes + made.nbytes + ids.nbytes)  # arrays have up to twice their length
+        self.held += KEPT_BYTES * len(sizes) + 2 * (codes.nbytes + made.nbytes + ids.nbytes)  # arrays have up to twice their length
         return range(first, self.ids.n)
 
     def _walk(self, node: np.ndarray, draws: np.ndarray) -> None:
-        """Takes each occurrence from the root of its part, in `node`, to the node of its skips."""
-        active, after, path = np.arange(len(node)), np.zeros(len(node), np.int64), []
-        while len(active):
-            made, sizes = self.merges.gather(node[active], after)
-            some = sizes > 0
-            active, after, sizes, path = active[some], after[some], sizes[some], [p[some] for p in path]
-            if not len(active):
-                break
-            hit = np.append(np.flatnonzero(self._skipped(np.repeat(draws[active], sizes), made)), len(made))
-            ends = np.cumsum(sizes)
-            first = hit[np.searchsorted(hit, ends - sizes)]
-            some = first < ends
-            active, after, path = active[some], (after + first - ends + sizes)[some], [p[some] for p in path]
-            path.append(made[first[some]])
-            keys, one, inverse = np.unique(node[active] << 8 | after, return_index=True, return_inverse=True)
-            named = keys.tolist()
-            child = np.fromiter(map(self.children.get, named, repeat(-1)), np.int64, len(named))
-            new = np.flatnonzero(child < 0)
-            if len(new):
-                added = self._add(*self.codes.gather(keys[new] >> 8), [p[one[new]] for p in path])
-                self.children.update(zip(keys[new].tolist(), added, strict=True))
-                child[new] = added
-            node[active] = child[inverse]
+        """Puts -1 into `node`, the numbers of kept parts, for each occurrence that skips one of their merges."""
+        made, sizes = self.merges.gather(node)
+        hit = np.append(np.flatnonzero(self._skipped(np.repeat(draws, sizes), made)), len(made))
+        ends = np.cumsum(sizes)
+        node[hit[np.searchsorted(hit, ends - sizes)] < ends] = -1
 
     def _alone(self, parts: list[str], draws: np.ndarray) -> list[np.ndarray]:
         """The ids of occurrences of parts that have no tree."""
@@ -373,22 +349,26 @@ class DropoutEncoder:
         unknown = np.flatnonzero(node < 0).tolist()
         fresh = list({p for i in unknown if len(p := parts[i]) <= most and p != MARK})
         if fresh:
-            self.roots.update(zip(fresh, self._add(*_codes(fresh), []), strict=True))
+            self.roots.update(zip(fresh, self._add(fresh), strict=True))
             node[unknown] = [self.roots.get(parts[i], -1) for i in unknown]
         kept, alone = np.flatnonzero(node >= 0), np.flatnonzero(node < 0)
-        inside = node[kept]
+        whole = node[kept]
         if self.limit:
-            self._walk(inside, draws[kept])
-        values, counts = self.ids.gather(inside)
-        if not len(alone):
-            return values, counts
-        others = self._alone([parts[i] for i in alone.tolist()], draws[alone])
+            self._walk(whole, draws[kept])
+        varied, kept = kept[whole < 0], kept[whole >= 0]
+        found = [(kept, *self.ids.gather(node[kept]))]
+        if len(varied):
+            found.append((varied, *self._run(*self.codes.gather(node[varied]), draws[varied])[:2]))
+        if len(alone):
+            others = self._alone([parts[i] for i in alone.tolist()], draws[alone])
+            found.append((alone, np.concatenate(others), np.array([len(x) for x in others])))
         sizes = np.empty(len(parts), np.int64)
-        sizes[kept], sizes[alone] = counts, [len(x) for x in others]
+        for rows, _, counts in found:
+            sizes[rows] = counts
         starts = np.cumsum(sizes) - sizes
         ids = np.empty(sizes.sum(), np.int32)
-        ids[_places(starts[kept], counts)] = values
-        ids[_places(starts[alone], sizes[alone])] = np.concatenate(others)
+        for rows, values, counts in found:
+            ids[_places(starts[rows], counts)] = values
         return ids, sizes
 
     def encode(self, texts: list[str], keys: list[int]) -> list[bytes]:
