@@ -7,7 +7,7 @@ cell, so the work grows linearly however many points share a cell.
 
 Up to MAX_DIMENSIONS features what lies around is found by the cells next to a cell, whose number grows as a power of the
 features. With more, space is cut in boxes by the medians of a sample, feature by feature; every point goes to its
-own box and to those within eps of it, and points of a box are compared in blocks of bounded size.
+own box, those that are compared with it also to the boxes within eps of them, and points of a box are compared in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ MAX_DIMENSIONS = 3  # by cells
 SALTS = 16
 SAMPLE_POINTS = 50_000  # by which the boxes are cut; decides the work, never the result
 BOX_POINTS = 4_096  # of a box, about, as far as the sample can tell; more are compared in blocks of so many
+LEAF_POINTS = 128  # of a block, that a probe is compared with if it is near enough to the box around them
 
 
 def standardized(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -103,13 +104,13 @@ def cluster_noise(
 def cut_boxes(points: np.ndarray, boxes: int, eps: float) -> list | None:
     """A tree of cuts (feature, value, below, above), None for a box: at the median of the feature that spreads most.
 
-    A cut is of use only if both sides are wider than the seam of eps around it.
+    A cut is of use only if both sides are as wide as the seam of eps around it.
     """
     if boxes < 2 or len(points) < 2:
         return None
     spread = np.ptp(points, axis=0)
     feature = int(spread.argmax())
-    if spread[feature] <= 4 * eps:
+    if spread[feature] <= 2 * eps:
         return None
     value = float(np.median(points[:, feature]))
     low = points[:, feature] <= value
@@ -144,39 +145,61 @@ def _dealing(tree, dims: int, margin: float):
     return run
 
 
+def _leaves(x: np.ndarray):
+    """Rows of x in groups of at most LEAF_POINTS that lie together."""
+    waiting = [np.arange(len(x))]
+    while waiting:
+        rows = waiting.pop()
+        if len(rows) <= LEAF_POINTS:
+            if len(rows):
+                yield rows
+            continue
+        c = x[rows, int(np.ptp(x[rows], axis=0).argmax())]
+        order = np.argpartition(c, len(rows) // 2)
+        waiting += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+
+
 def _comparing(z: list[str], eps: float):
-    """Per probe what lies within eps in one block: weight of all, and whether any of it is dense."""
+    """Per probe what lies within eps in one block: weight of all, and whether any of it is dense. Probes that meet nothing are left out."""
 
     def run(key: tuple, probes: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         count, dense = np.zeros(len(probes), np.int64), np.zeros(len(probes), bool)
         weight, flag = others["_w"].to_numpy(), others["_dense"].to_numpy(bool)
-        ys = [others[c].to_numpy() for c in z]
-        step = max(1, (1 << 22) // max(1, len(others)))
-        for a in range(0, len(probes), step):
-            near = np.zeros((min(step, len(probes) - a), len(others)))
-            for c, y in zip(z, ys, strict=True):
-                near += (y - probes[c].to_numpy()[a : a + step, None]) ** 2
-            within = near <= eps * eps
-            count[a : a + step], dense[a : a + step] = within @ weight, within @ flag
-        return probes[z].assign(_k=count, _by_dense=dense)
+        ps, ys = probes[z].to_numpy(float).reshape(-1, len(z)), others[z].to_numpy(float).reshape(-1, len(z))
+        for rows in _leaves(ys):
+            y, w, f = ys[rows], weight[rows], flag[rows]
+            off = np.maximum(np.maximum(y.min(axis=0) - ps, ps - y.max(axis=0)), 0)
+            able = np.flatnonzero((off * off).sum(axis=1) <= eps * eps * (1 + 1e-9))  # the others are too far from all of the leaf
+            step = max(1, (1 << 20) // len(rows))
+            for a in range(0, len(able), step):
+                some = able[a : a + step]
+                near = np.zeros((len(some), len(rows)))
+                for i in range(len(z)):
+                    near += (y[:, i] - ps[some, i][:, None]) ** 2
+                within = near <= eps * eps
+                count[some] += within @ w
+                dense[some] |= within @ f
+        return probes[z].assign(_k=count, _by_dense=dense)[count > 0]
 
     return run
 
 
 def _met(probes: DataFrame, others: DataFrame, z: list[str], tree, eps: float) -> DataFrame:
-    """Each probe with `_k`, the weight of the others within eps, and `_by_dense`. Blocks of a box are dealt over the tasks."""
+    """Each probe that has others within eps with `_k`, their weight, and `_by_dense`. Blocks of a box are dealt over the tasks.
+
+    The probes, which are few, go to all boxes that come within eps of them, the others to their own box only.
+    """
     kinds = ", ".join(f"{c} double" for c in z)
-    home = probes.select(*z).mapInArrow(_dealing(tree, len(z), 0.0), f"_box int, {kinds}")
-    around = others.select(*z, "_w", "_dense").mapInArrow(_dealing(tree, len(z), eps * (1 + 1e-9)), f"_box int, {kinds}, _w long, _dense boolean")
-    sizes = {r["_box"]: r["count"] for r in around.groupBy("_box").count().collect()}  # at most as many as boxes of the tree
-    blocks = {b: -(-n // BOX_POINTS) for b, n in sizes.items()}
-    of = F.create_map(*[F.lit(x) for b, n in blocks.items() if n > 1 for x in (b, n)]) if any(n > 1 for n in blocks.values()) else F.create_map().cast("map<int,int>")
-    n_blocks = F.coalesce(F.try_element_at(of, F.col("_box")), F.lit(1))
-    left = home.withColumn("_block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    left = left.withColumn("_part", F.pmod(F.xxhash64(*z), F.greatest(F.lit(1), n_blocks)).cast("int"))
-    right = around.withColumn("_block", F.pmod(F.xxhash64(*z, F.lit(1)), n_blocks).cast("int"))
-    # the probes of a crowded box are few a cell, but may fill a block too: each block of others meets them in parts
-    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    around = probes.select(*z).mapInArrow(_dealing(tree, len(z), eps * (1 + 1e-9)), f"_box int, {kinds}")
+    home = others.select(*z, "_w", "_dense").mapInArrow(_dealing(tree, len(z), 0.0), f"_box int, {kinds}, _w long, _dense boolean")
+    # at most as many rows as boxes of the tree
+    parts, blocks = ({r["_box"]: -(-r["count"] // BOX_POINTS) for r in x.groupBy("_box").count().collect()} for x in (around, home))
+    cuts = F.broadcast(probes.sparkSession.createDataFrame([(b, n, blocks[b]) for b, n in parts.items() if b in blocks], "_box int, _parts long, _blocks long"))
+    # what fills a block meets what fills another: each part of the probes with each block of the others
+    left = around.join(cuts, "_box").withColumn("_part", F.pmod(F.xxhash64(*z), F.col("_parts")))
+    left = left.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).drop("_parts", "_blocks")
+    right = home.join(cuts, "_box").withColumn("_block", F.pmod(F.xxhash64(*z, F.lit(1)), F.col("_blocks")))
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts", "_blocks")
     keys = ["_box", "_block", "_part"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_comparing(z, eps), f"{kinds}, _k long, _by_dense boolean")
     return found.groupBy(*z).agg(F.sum("_k").alias("_k"), F.max("_by_dense").alias("_by_dense"))
@@ -188,8 +211,8 @@ def _noise_in_boxes(points: DataFrame, z: list[str], eps: float, min_points: int
     present = points.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in z))
     cells = [F.floor(F.col(c) / side).cast("long").alias(f"_cell{i}") for i, c in enumerate(z)]
     names = [f"_cell{i}" for i in range(len(z))]
-    distinct = cut_lineage(present.groupBy(*z).agg(F.count(F.lit(1)).alias("_w")).select(*z, "_w", *cells))
-    dense = distinct.groupBy(*names).agg(F.sum("_w").alias("_n")).where(F.col("_n") >= min_points).select(*names, F.lit(True).alias("_dense"))
+    distinct = present.groupBy(*z).agg(F.count(F.lit(1)).alias("_w")).select(*z, "_w", *cells)
+    dense = present.select(*cells).groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points).select(*names, F.lit(True).alias("_dense"))
     # of the cells with the most points only the distinct ones are left, each once
     weighted = cut_lineage(distinct.join(dense, names, "left").select(*z, "_w", F.coalesce("_dense", F.lit(False)).alias("_dense")))
     sample = weighted.orderBy(F.xxhash64(*z)).limit(SAMPLE_POINTS).select(*z).toPandas().to_numpy()

@@ -246,6 +246,33 @@ def test_noise_against_all_pairs(spark, dims, monkeypatch):
     assert sorted(r.id for r in rows) == expected and expected and all(r.neighbours == len(near[r.id]) for r in rows)
 
 
+def test_noise_deals_all_points_once(spark, monkeypatch):
+    """The points that probes are compared with went to every box within eps of them, many times the table."""
+    monkeypatch.setattr(density, "BOX_POINTS", 20)
+    rng = random.Random(9)
+    points = [tuple(rng.uniform(-4, 4) for _ in range(4)) for _ in range(400)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id int, a double, b double, c double, d double")
+    dealt, real = spark.sparkContext.accumulator(0), density._dealing
+
+    def dealing(tree, dims, margin):
+        run = real(tree, dims, margin)
+
+        def counted(batches):
+            for batch in run(batches):
+                if "_w" in batch.schema.names:
+                    dealt.add(batch.num_rows)
+                yield batch
+
+        return counted
+
+    monkeypatch.setattr(density, "_dealing", dealing)
+    near = [[j for j, q in enumerate(points) if sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) <= 1.44] for p in points]
+    core = {i for i, js in enumerate(near) if len(js) >= 5}
+    found = density.cluster_noise(df, "id", [*"abcd"], eps=1.2, scale=False).collect()
+    assert sorted(r.id for r in found) == [i for i, js in enumerate(near) if i not in core and not core & set(js)]
+    assert 0 < dealt.value <= 4 * (len(points) + len(core))  # counted and compared, the core points once more
+
+
 def test_noise_of_odd_rows(spark):
     names = ["a", "b", "c", "d"]
     rows = [(i, 0.0, 0.0, 0.0, 0.0) for i in range(30)] + [(100, 5.0, None, 0.0, 0.0), (101, float("nan"), 1.0, 1.0, 1.0), (102, 9.0, 9.0, 9.0, 9.0), (102, 9.0, 9.0, 9.0, 9.0)]
